@@ -30,7 +30,7 @@ LEVELS = (
 WORD_END = re.compile(r"[，,、：:·…—–\-/]+[’”」』）)】》\"]*|\s+")
 HARD = ("word", "character")
 #: Code points that belong to the one before them: no cut stands before one.
-JOINED = re.compile(r"[̀-ͯ᪰-᫿⃐-⃿‌‍︀-️︠-︯\U0001f3fb-\U0001f3ff]")
+JOINED = re.compile("[̀-ͯ᪰-᫿‌‍⃐-⃿︀-️︠-︯\U0001f3fb-\U0001f3ff]")
 
 PIECES = "id long, piece_no int, start int, end int, overlap int, piece string, cut string"
 
@@ -55,7 +55,7 @@ def atoms(text: str, a: int, b: int, room: int, limit: int, level: int = 0) -> I
             end, kind = a + room, "character"
             for m in WORD_END.finditer(text, a + room // 2, a + room):
                 end, kind = m.end(), "word"
-            while kind == "character" and end > a + 1 and (JOINED.match(text, end) or text[end - 1] == "‍"):
+            while kind == "character" and end > a + 1 and (JOINED.match(text, end) or text[end - 1] == "\u200d"):
                 end -= 1
             if end == a + 1:  # nothing but joined code points
                 end = a + room

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import accumulate
@@ -79,11 +80,16 @@ class Item:
         size = int(half // (errors + 4))
         self.size, self.need = (size, 2) if size >= self.run else (self.run, 1)
 
-    def pieces(self) -> Iterator[tuple[str, int]]:
-        """The pieces and where they begin in the joined item; a short item is one piece."""
-        at = 0
-        for i in range(0, max(1, len(self.words) - self.size + 1), self.size):
-            piece = "".join(self.words[i : i + self.size])
+    def pieces(self, common: Counter) -> Iterator[tuple[str, int]]:
+        """The pieces and where they begin in the joined item; a short item is one piece.
+
+        Any first cut keeps the guarantee; the one is taken whose pieces are least common among the items.
+        """
+        w, n, k = self.words, len(self.words), self.size
+        first = min(range(k), key=lambda o: sum(common[tuple(w[i : i + k])] - 1 for i in range(o, n - k + 1, k))) if n >= 2 * k else 0
+        at = sum(map(len, w[:first]))
+        for i in range(first, max(first + 1, n - k + 1), k):
+            piece = "".join(w[i : i + k])
             yield piece, at
             at += len(piece)
 
@@ -115,15 +121,13 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.ids, self.items = [], []
+        made = [(i, Item(text)) for i, text in items]
+        self.ids, self.items = [i for i, x in made if x.words], [x for _, x in made if x.words]
+        common = {k: Counter(g for x in self.items for g in grams(x.words, k)) for k in {x.size for x in self.items}}
         at: dict[str, list[tuple[int, int]]] = {}
-        for i, text in items:
-            item = Item(text)
-            if item.words:
-                for piece, start in item.pieces():
-                    at.setdefault(piece, []).append((len(self.ids), start))
-                self.ids.append(i)
-                self.items.append(item)
+        for k, item in enumerate(self.items):
+            for piece, start in item.pieces(common[item.size]):
+                at.setdefault(piece, []).append((k, start))
         self.auto = ahocorasick.Automaton()
         for piece, where in at.items():
             self.auto.add_word(piece, (len(piece), where))

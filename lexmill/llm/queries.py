@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage; each has functions p<N>_...(spark, sf_dir) and may have SQL, a dict of oracles.
-MODULES = ("p1_group_splits", "p3_canonical_form", "p4_token_budget", "p5_hidden_duplicates", "p6_cross_split", "p7_split_items", "p8_pack", "p9_eval_leaks", "p10_subjects")
+MODULES = ("p1_group_splits", "p2_main_content", "p3_canonical_form", "p4_token_budget", "p5_hidden_duplicates", "p6_cross_split", "p7_split_items", "p8_pack", "p9_eval_leaks", "p10_subjects")
 
 
 def queries() -> dict:

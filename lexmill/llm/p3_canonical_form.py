@@ -39,7 +39,7 @@ FIRST_MARK = 0x300
 def _plain(c: str) -> str | None:
     """What a single character is replaced with before composition; None if it stays."""
     kind = unicodedata.category(c)
-    if kind == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef":
+    if kind == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef":
         return ""
     if kind == "Zs":
         return BLANK
@@ -47,7 +47,7 @@ def _plain(c: str) -> str | None:
     if not d or d.startswith("<"):
         tag, *codes = d.split() if d else [""]
         to = "".join(chr(int(x, 16)) for x in codes)
-        radical = "⺀" <= c <= "⿟"
+        radical = "⺀" <= c <= "\u2fdf"
         if tag in SAME or tag == "<compat>" and (radical or kind[0] == "L" and "Ā" <= c < "℀" or c == "µ" or c in "℃℉" or "ﬀ" <= c <= "ﬆ"):
             return unicodedata.normalize("NFD", "".join(_plain(x) if _plain(x) is not None else x for x in to))
     d = unicodedata.normalize("NFD", c)

@@ -30,7 +30,7 @@ LEVELS = (
 WORD_END = re.compile(r"[，,、：:·…—–\-/]+[’”」』）)】》\"]*|\s+")
 HARD = ("word", "character")
 #: Code points that belong to the one before them: no cut stands before one.
-JOINED = re.compile("[̀-ͯ᪰-᫿‌‍⃐-⃿︀-️︠-︯\U0001f3fb-\U0001f3ff]")
+JOINED = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u200c\u200d\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff]")
 
 PIECES = "id long, piece_no int, start int, end int, overlap int, piece string, cut string"
 

@@ -1,11 +1,501 @@
-"""The queries for the corpus operators, and their SQL."""
+"""The queries for the corpus operators, each over whole tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import html, text
+from lexmill.functions import unicode as uni
+from lexmill.operators import dedup, gates, packing, qa, review, rights, rules, split, stats, tokens
+from lexmill.operators.tables import written
+from lexmill.sources.files import combined_fingerprint
+from lexmill.sources.web import look_up_revisions, resolve_titles
+
+SEED = 20261107
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").withColumn("line_no", F.col("doc_id"))
+
+
+def _split(c: str = "split") -> Column:
+    s = F.lower(c)
+    return F.when(s == "validation", "valid").otherwise(s)
+
+
+def _words(c: Column) -> Column:
+    """Words between blanks."""
+    return F.filter(F.split(c, f"[{text.WS}]+"), lambda w: w != "")
+
+
+def _codes(c: Column) -> Column:
+    """Code points of a text as tokens."""
+    return F.transform(F.split(c, ""), lambda x: F.ascii(x))
+
+
+# --- duplicates -----------------------------------------------------------------------------------------------------
+
+
+def exact_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    df = _docs(spark, d)
+    return dedup.keep_first(df.select("doc_id", "lang", "n_chars", "line_no", "text"), text.dedup_key(F.col("text"))).select("doc_id", "lang", "n_chars")
+
+
+def dedup_decision_log(spark: SparkSession, d: str) -> DataFrame:
+    df = _docs(spark, d)
+    log = dedup.duplicates_of(df, text.dedup_key(F.col("text")), "doc_id")
+    sha = df.select("doc_id", text.sha256(F.col("text")).alias("original_text_sha256"))
+    return log.join(sha, log["id"] == sha["doc_id"]).select("doc_id", F.col("kept_id").alias("kept_doc_id"), F.lit("EXACT_DUPLICATE_V1").alias("rule_id"), "original_text_sha256")
+
+
+def dedup_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    kept = dedup.keep_first(_docs(spark, d).select("line_no", "lang", "text"), text.dedup_key(F.col("text")))
+    return stats.corpus_stats(kept, F.size(_words(F.col("text"))), ["lang"])
+
+
+def nfc_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh")
+    return dedup.duplicates_of(df, uni.blank_key(F.col("text")), "row_id", "row_id").select(F.col("id").alias("row_id"), F.col("kept_id").alias("kept_row_id"))
+
+
+def prefix_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "english").select("row_id", "text")
+    return dedup.prefix_duplicates(df, 15, "text", "row_id").select("row_id", "group_first", "group_size")
+
+
+def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh").select("row_id", F.lit("zh").alias("language"), "text")
+    return dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written).select(F.col("node").alias("row_id"), F.col("root").alias("component"))
+
+
+def near_dup_pairs_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct sets; a copy has the node of its first row."""
+    df = _t(spark, d, "natural_zh").where(F.col("text").isNotNull()).select("row_id", F.lit("zh").alias("language"), uni.shingles(text.dedup_key(F.col("text"))).alias("sig"))
+    df = written(df)
+    heads = df.groupBy(F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")).agg(F.min("row_id").alias("row_id"))
+    one = written(df.join(heads.select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "node"))
+    p = dedup.jaccard_of(dedup.sketch_pairs(one, written), one).where(F.col("jaccard") >= dedup.SIMILAR)
+    return p.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def cross_split_near_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    df = written(_t(spark, d, "english").where(F.col("text").isNotNull()).select("row_id", _split().alias("s"), uni.shingles(text.dedup_key(F.col("text"))).alias("sig")))
+    side = lambda c: df.where(c).select(F.col("row_id").alias("node"), "sig")
+    p = dedup.similar_across(side(F.col("s").isin("valid", "test")), side(F.col("s") == "train"), written)
+    return p.select(F.col("a").alias("held_row"), F.col("b").alias("train_row"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def provenance_match(spark: SparkSession, d: str) -> DataFrame:
+    new = _t(spark, d, "documents").where(F.col("source_title").isNull()).select("doc_id", "text", "source", "source_title")
+    old = _t(spark, d, "documents").where(F.col("source_title").isNotNull()).select("text", "source_title")
+    return rules.match_provenance(new, old, ["source_title"]).select("doc_id", "source_title", "matched")
+
+
+def title_group_fill(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", "source_title", F.col("group_id").alias("old_group"), "group_id")
+    return rules.fill_group_by_title(df).where(F.col("old_group").isNull()).select("row_id", "source_title", "group_id")
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+
+def corpus_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "documents").where(~text.is_blank(F.col("text")))
+    return stats.corpus_stats(df, F.size(_words(F.col("text"))), ["lang", "source"])
+
+
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.corpus_totals(_t(spark, d, "documents").where(~text.is_blank(F.col("text"))), _words(F.col("text")))
+
+
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").withColumn("s", _split())
+    return split.split_counts(df, "source", "s")
+
+
+def metadata_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return stats.coverage(_t(spark, d, "article_en"), "domain", ["source", "source_url", "source_title", "group_id"])
+
+
+def risk_flags(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "documents").select("doc_id", rules.risk_flags(F.col("text")).alias("flags"))
+    return df.where(F.size("flags") > 0).select("doc_id", F.array_join("flags", ",").alias("flags"))
+
+
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.flag_counts(_t(spark, d, "documents").select(rules.risk_flags(F.col("text")).alias("flags")))
+
+
+def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
+    df = _docs(spark, d)
+    n = F.size(_words(F.col("text")))
+    kept = dedup.keep_first(df.select("line_no", "source", "text"), text.dedup_key(F.col("text")))
+    return stats.manifest_delta(stats.manifest(df, "source", n), stats.manifest(kept, "source", n))
+
+
+def token_weighted_ppl(spark: SparkSession, d: str) -> DataFrame:
+    """The losses are made up: a fixed function of the text's length."""
+    df = _t(spark, d, "documents").select("lang", F.length("text").alias("size"), (F.col("doc_id") % 7 / 4 + 1).alias("loss"))
+    g = stats.weighted_loss(df, ["lang"])
+    return g.select("lang", "n_tokens", F.round("mean_loss", 9).alias("mean_loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+def overall_ppl(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "documents").select("source", F.length("text").alias("size"), (F.col("doc_id") % 7 / 4 + 1).alias("loss"))
+    return stats.overall_loss(stats.weighted_loss(df, ["source"])).select("n_tokens", F.round("mean_loss", 9).alias("mean_loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+def early_stop_fold(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("a", e, x) for e, x in enumerate((3.0, 2.5, 2.6, 2.4, 2.41, 2.42, 2.43, 1.0), 1)] + [("b", e, x) for e, x in enumerate((5.0, 4.0, 3.0), 1)]
+    return stats.early_stopping(spark.createDataFrame(rows, "run string, epoch long, eval_loss double"), 0.01, 3)
+
+
+def fingerprint_combined(spark: SparkSession, d: str) -> DataFrame:
+    """One name and hash per source: the hash of the sources' names stands for a file's."""
+    names = _t(spark, d, "source_catalog").groupBy(F.col("id").alias("name")).agg(F.sha2(F.max("url"), 256).alias("sha256"))
+    return combined_fingerprint(names)
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+def sentence_split_en(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").select("row_id", F.posexplode(text.sentences_en(F.col("text"))).alias("place", "sentence"))
+    return df.groupBy("row_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"), F.max(F.length("sentence")).alias("longest"))
+
+
+def chunk_en(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "english").select("row_id", F.posexplode(text.chunk(text.sentences_en(F.col("text")))).alias("k", "chunk"))
+    return df.select("row_id", (F.col("k") + 1).alias("chunk_index"), "chunk")
+
+
+def zh_sentence_chunk(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", F.posexplode(text.chunk(text.sentences_zh(F.col("text")))).alias("k", "chunk"))
+    return df.select("row_id", (F.col("k") + 1).alias("chunk_index"), "chunk")
+
+
+def zh_sentences(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", F.posexplode(text.sentences_zh(F.col("text"))).alias("k", "sentence"))
+    return df.select("row_id", (F.col("k") + 1).alias("place"), "sentence")
+
+
+def zh_clean(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", text.clean_zh(F.col("text")).alias("cleaned"))
+    return df.select("row_id", F.length("cleaned").alias("n_chars"), F.sha2("cleaned", 256).alias("sha256"), (F.length("cleaned") >= text.MIN_ARTICLE).alias("long_enough"))
+
+
+def zh_punct_space(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh").select("row_id", text.count_space_after_zh(F.col("text")).alias("n_removed"), text.space_after_zh(F.col("text")).alias("text"))
+    return df.where(F.col("n_removed") > 0)
+
+
+def punct_changes_by_domain(spark: SparkSession, d: str) -> DataFrame:
+    return stats.change_counts(_t(spark, d, "natural_zh"), "domain", F.coalesce(text.count_space_after_zh(F.col("text")), F.lit(0)))
+
+
+def en_punct_space(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").select("row_id", "text", text.space_before_punctuation(F.col("text"), "en").alias("fixed"))
+    return df.where(F.col("text") != F.col("fixed")).select("row_id", "fixed")
+
+
+def url_group_ids(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").where(F.col("source_url").isNotNull())
+    return df.select("row_id", text.url_group_id(F.col("source_url")).alias("url_group"), text.host(F.col("source_url")).alias("host"))
+
+
+def title_group_ids(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").where(F.col("source").isNotNull() & F.col("source_title").isNotNull())
+    return df.select("row_id", text.title_group_id(F.col("source"), F.col("source_title")).alias("title_group"), text.title_address(F.col("source_title")).alias("page_name"))
+
+
+def tokenizer_form(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh").select("row_id", "text", uni.tokenizer_form(F.col("text")).alias("normal"))
+    return df.where(F.col("text") != F.col("normal")).select("row_id", "normal")
+
+
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Pages are made of the articles' titles and texts, with parts around them that have to go."""
+    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit("<html><head><title> "), esc(F.col("source_title")), F.lit(" </title><style>p{}</style></head><body><nav>Home</nav><article><h1>"), esc(F.col("topic")),
+        F.lit("</h1><script>var x = 1;</script><p>"), esc(F.col("text")), F.lit("</p><aside>More</aside></article><footer>End</footer></body></html>"),
+    )
+    df = _t(spark, d, "article_en").where(F.col("text").isNotNull()).select("row_id", html.extract(page).alias("p"))
+    return df.select("row_id", F.col("p.title").alias("title"), F.col("p.text").alias("text"))
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+
+_NEEDLE, _TO = "Under steady load", ["In calm weather", "At constant load", "With steady input"]
+
+
+def cyclic_replace(spark: SparkSession, d: str) -> DataFrame:
+    df = rules.cyclic_replace(_t(spark, d, "english").select("row_id", "text"), _NEEDLE, _TO, "row_id")
+    return df.where(F.col("place").isNotNull()).select("row_id", "place", "text")
+
+
+def _rule_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rules made from the data: a furniture line goes where it stands once, a phrase is replaced, house notices go."""
+    e = _t(spark, d, "article_en").select(F.col("row_id").cast("string").alias("id"), "text")
+    lit = lambda **k: [F.lit(v).alias(n) for n, v in k.items()]
+    a = e.where(F.contains("text", F.lit("Back to top"))).select("id", *lit(rule="BACK_TO_TOP", action="remove", needle="Back to top", replacement=None, reason="control", place=1))
+    b = e.where(F.contains("text", F.lit("In simple terms"))).select("id", *lit(rule="SIMPLE_TERMS", action="replace", needle="In simple terms", replacement="Put simply", reason="wording", place=2))
+    c = e.where(F.contains("text", F.lit("Toggle navigation"))).select("id", *lit(rule="NAVIGATION", action="drop", needle=None, replacement=None, reason="navigation", place=3))
+    cast = lambda df: df.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in rules.RULES.split(", ")])
+    return cast(a).unionByName(cast(b)).unionByName(cast(c))
+
+
+def _applied(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").select(F.col("row_id").cast("string").alias("id"), "text")
+    return rules.apply_rules(df, _rule_table(spark, d))
+
+
+def fragment_removal_log(spark: SparkSession, d: str) -> DataFrame:
+    return rules.decisions(_applied(spark, d))
+
+
+def records_after_rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules.kept(_applied(spark, d)).select("id", text.sha256(F.col("text")).alias("text_sha256"))
+
+
+def ordered_pair_replace(spark: SparkSession, d: str) -> DataFrame:
+    pairs = [("the trend holds", "the trend stays"), ("trend stays for", "trend is the same for")]
+    df = _t(spark, d, "english").select("row_id", text.replace_pairs(F.col("text"), pairs).alias("text"))
+    return df.where(F.col("text").isNotNull())
+
+
+def quarantine_restore(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", "text")
+    _, queue = rules.quarantine(df, rules.risk_flags(F.col("text")))
+    repaired = df.where(F.col("source").startswith("R")).select("id")
+    return rules.restore(queue, repaired).select(F.col("record.id").alias("id"), F.array_join("flags", ",").alias("flags"))
+
+
+def topic_translate(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", "topic", "topic_zh")
+    m = df.where(F.col("topic_zh").isNotNull() & text.is_snake_case(F.col("topic"))).select("topic_zh", F.col("topic").alias("topic_en")).distinct()
+    han = df.where(text.has_han(F.col("topic")))
+    return rules.translate_topics(han, m).select("row_id", "topic", "topic_zh")
+
+
+def topic_map_gaps(spark: SparkSession, d: str) -> DataFrame:
+    a, n = _t(spark, d, "article_zh"), _t(spark, d, "natural_zh")
+    m = a.where(F.col("topic_zh").isNotNull()).select("topic_zh").distinct()
+    return gates.missing_in_map(n.select(F.col("topic_zh").alias("t")), "t", m, "topic_zh")
+
+
+def origin_annotation(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh").select("row_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("legacy_id", F.lit("")).alias("legacy_id"))
+    return rules.annotate(df, F.col("legacy_id") == "", origin_class="AI-generated").select("row_id", "origin_class", (F.col("before_sha256") != F.col("after_sha256")).alias("changed"))
+
+
+def merged_origin(spark: SparkSession, d: str) -> DataFrame:
+    df = rules.keep_origin(_t(spark, d, "english").select("row_id", "split"))
+    return df.groupBy("split", "round15_split").agg(F.count("*").alias("n_rows"))
+
+
+# --- gates ----------------------------------------------------------------------------------------------------------
+
+
+def unique_id_violations(spark: SparkSession, d: str) -> DataFrame:
+    return gates.repeated_ids(_t(spark, d, "english"))
+
+
+def unique_text_violations(spark: SparkSession, d: str) -> DataFrame:
+    return gates.repeated_texts(_t(spark, d, "documents"), text.dedup_key(F.col("text")))
+
+
+def groups_in_several_splits(spark: SparkSession, d: str) -> DataFrame:
+    return gates.groups_in_several_splits(_t(spark, d, "article_en").withColumn("split", _split()))
+
+
+def texts_in_several_splits(spark: SparkSession, d: str) -> DataFrame:
+    return gates.texts_in_several_splits(_t(spark, d, "english").withColumn("split", _split()), text.dedup_key(F.col("text")))
+
+
+def wrong_split_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The directory is the split by lower case; labels in other spellings are wrong."""
+    df = _t(spark, d, "english").select("row_id", "split", _split().alias("directory"))
+    return gates.wrong_split_labels(df, F.col("directory"))
+
+
+def overlap_train_eval(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").withColumn("s", _split())
+    return gates.marker_overlap(df.where(F.col("s") == "train"), df.where(F.col("s").isin("valid", "test"))).groupBy("kind").agg(
+        F.count("*").alias("n_markers"), F.sum("n_train").alias("n_train"), F.sum("n_valid").alias("n_valid"))
+
+
+def merge_overlap(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "english").withColumn("s", _split())
+    return gates.merge_overlap(df.where(F.col("s") == "train"), df.where(F.col("s").isin("valid", "test")))
+
+
+def count_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source against the numbers of distinct texts."""
+    df = _t(spark, d, "documents")
+    want = df.where(F.col("source").isNotNull()).groupBy(F.col("source").alias("name")).agg(F.countDistinct("text").alias("n_expected"))
+    return gates.wrong_counts(df.where(F.col("source").isNotNull()), "source", want)
+
+
+# --- splits and samples ---------------------------------------------------------------------------------------------
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_zh").select("row_id", "id", "group_id", F.coalesce("source", F.lit("none")).alias("category"), F.lit("zh").alias("language"), "text")
+    roots = dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written, seed_keys=("group_id",))
+    return written(split.group_name(split.group_rows(df, roots.select(F.col("node"), "root"))))
+
+
+def group_split_assign(spark: SparkSession, d: str) -> DataFrame:
+    g = _groups(spark, d)
+    return g.join(split.assign_groups(g, SEED), "root").select("group_id", "split", F.size("ids").alias("n_rows"), "first_id")
+
+
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "documents").select("doc_id", F.substring(F.lower("lang"), 1, 2).alias("lang"))
+    return split.stratified_sample(df, "lang", "doc_id", ["zh", "en"], 50, SEED).select("lang", "draw", "doc_id")
+
+
+def review_sheets(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "eval_items").withColumn("id", F.col("item_id").cast("string"))
+    return review.review_sheet(df, ["language", "topic", "domain"])
+
+
+def review_results(spark: SparkSession, d: str) -> DataFrame:
+    """Filled by a fixed rule: items of physics are to be modified, the rest pass."""
+    s = review_sheets(spark, d).join(_t(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("id"), "domain"), "id")
+    pick = F.when(F.col("domain") == "physics", "modify").otherwise("pass")
+    return review.review_results(s.select(F.replace("block", F.concat(F.lit("[ ] "), pick), F.concat(F.lit("[x] "), pick)).alias("block")))
+
+
+def first_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_rows(_t(spark, d, "eval_items").select("language", "item_id", "question"), "language", "item_id", 3).select("language", "item_id", "question", "place")
+
+
+def random_windows(spark: SparkSession, d: str) -> DataFrame:
+    s = _stream(spark, d)
+    n = s.agg(F.sum(F.size("tokens"))).first()[0]
+    w = packing.windows(s, split.window_starts(spark, n, 128, 42, 1), 128)
+    return w.select("sample", F.sha2(F.array_join("tokens", ","), 256).alias("tokens_sha256"), F.size("tokens").alias("n_tokens"))
+
+
+# --- packing --------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "eval_items").where(F.col("text").isNotNull()).select("item_id", "text")
+    return packing.stream(df, _codes(F.col("text")), 0, "item_id")
+
+
+def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "english").where(F.col("text").isNotNull()).select("row_id", "text")
+    b = packing.blocks(packing.stream(df, _codes(F.col("text")), 0, "row_id"), 128)
+    return b.select("block", F.array_join("tokens", ",").alias("tokens"))
+
+
+def eval_blocks(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "eval_items").where(F.col("text").isNotNull()).select("item_id", "text")
+    b = packing.eval_blocks(df, _codes(F.col("text")), 128)
+    return b.select("item_id", "block_no", F.size("block").alias("n_tokens"), F.element_at("block", 1).alias("first_token"))
+
+
+def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "eval_items").select("item_id", packing.truncate_prompt(_codes(F.col("question")), 64).alias("p"))
+    return df.select("item_id", F.size("p").alias("prompt_size"), packing.new_token_budget(F.size("p"), 64, 20).alias("new_tokens"))
+
+
+def bpe_pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.pretoken_counts(_t(spark, d, "english"))
+
+
+def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The first merges of a tokenizer trained on the evaluation items."""
+    m = tokens.train(tokens.pretoken_counts(_t(spark, d, "eval_items")), 256 + 4 + 500)
+    return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(m)], "rank_no int, first_piece string, second_piece string")
+
+
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    m = [(r[0], r[1]) for r in _t(spark, d, "bpe_merges").orderBy("rank_no").select("first_piece", "second_piece").collect()]
+    df = _t(spark, d, "english").where(F.col("text").isNotNull()).select("row_id", "text", tokens.encode(F.col("text"), m, template=True).alias("ids"))
+    return df.select("row_id", F.size("ids").alias("n_ids"), (tokens.decode(F.col("ids"), m) == F.col("text")).alias("round_trip"))
+
+
+# --- sources, rights, questions -------------------------------------------------------------------------------------
+
+
+def qa_build(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "eval_items").select("item_id", "question", "answer", "language", "domain", "topic")
+    return qa.build_qa(df, order="item_id").select("item_id", "id", "language", "text")
+
+
+def id_continuation(spark: SparkSession, d: str) -> DataFrame:
+    new = _t(spark, d, "eval_items").select("item_id", "text")
+    return qa.continue_ids(new, _t(spark, d, "english").select("id"), "natural-en", "item_id").select("item_id", "id")
+
+
+def article_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of each catalog source's first page become its chunks."""
+    c = _t(spark, d, "source_catalog")
+    chunks = _t(spark, d, "eval_items").groupBy("topic").agg(F.array_sort(F.collect_list("text")).alias("chunks"))
+    return qa.assemble(c.join(chunks, "topic")).select("id", "source", "source_url", "source_title", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _inventory(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "article_en").select("row_id", F.col("row_id").cast("string").alias("rid"), "source_url", "source_title", "text")
+    return rights.source_inventory(df, order="row_id", id_col="rid")
+
+
+def source_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return _inventory(spark, d).select("source_kind", "source_key", "record_count", F.array_join("record_ids", ",").alias("record_ids"), F.array_join("signal_ids", ",").alias("signal_ids"), "source_title", "host")
+
+
+def attribution_by_host(spark: SparkSession, d: str) -> DataFrame:
+    active = _t(spark, d, "article_en").where(_split() == "train").select(F.col("row_id").cast("string").alias("id"))
+    return rights.by_host(rights.only_active(_inventory(spark, d), active))
+
+
+def attribution_report(spark: SparkSession, d: str) -> DataFrame:
+    return rights.attribution_lines(_inventory(spark, d)).select("host", "part", "line")
+
+
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rights.audit_summary(_inventory(spark, d))
+
+
+def title_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds are the topics of the items; every third topic redirects, every fifth page is missing."""
+    k = F.dense_rank
+    from pyspark.sql import Window
+
+    t = _t(spark, d, "eval_items").select(F.col("topic").alias("title_seed")).distinct().where(F.col("title_seed").isNotNull())
+    n = t.withColumn("k", k().over(Window.orderBy("title_seed")))  # a few hundred topics
+    redirects = n.where("k % 3 = 0").select(F.col("title_seed").alias("source"), F.concat("title_seed", F.lit("_page")).alias("target"))
+    pages = n.select("title_seed", (F.col("k") % 5 == 0).alias("missing")).unionByName(redirects.select(F.col("target").alias("title_seed"), F.lit(False).alias("missing"))).withColumnRenamed("title_seed", "title")
+    hits = n.select("title_seed", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat("title_seed", F.lit("列表")).alias("title")), F.struct(F.lit(2).alias("place"), F.concat("title_seed", F.lit("_hit")).alias("title")))).alias("h")).select("title_seed", "h.*")
+    return resolve_titles(t, redirects, pages, hits)
+
+
+def revision_lookup(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "source_catalog").groupBy("title").agg(F.min("id").alias("i"))
+    none = spark.createDataFrame([], "source string, target string")
+    redirects = t.where(F.length("title") % 2 == 0).select(F.col("title").alias("source"), F.concat("title", F.lit("*")).alias("target"))
+    pages = t.select(F.col("title"), F.length("title").alias("page_id"), (F.length("title") + 1000).alias("revision_id"), F.lit(False).alias("missing"))
+    return look_up_revisions(t.select("title"), none, none, redirects, pages)
+
+
+NOT_QUERIES = {"combined_fingerprint", "written", "look_up_revisions", "resolve_titles", "queries", "oracle_sql"}
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and getattr(f, "__module__", "") == __name__ and k not in NOT_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lexmill.plans.oracle import SQL
+
+    return SQL

@@ -65,18 +65,35 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(to), tuple(more)
 
 
-def casefold(c: Column) -> Column:
-    """Full Unicode case folding; the long folds (as of sharp s) only run on texts that hold such a letter."""
+#: Stand-ins for letters with a longer fold while a text is translated; texts that hold one take a slower way.
+_STAND_IN = 0x10FE00
+
+
+def casefold(c: Column, without: str = "") -> Column:
+    """Full Unicode case folding, and the characters of `without` taken out, in one pass over the text.
+
+    ASCII texts only need lower case. Letters with a longer fold (as sharp s) become stand-ins that are replaced where
+    there are any.
+    """
     one, to, more = _folds()
-    low = F.translate(F.lower(c), one, to)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in more])
-    long = F.aggregate(pairs, low, lambda t, p: F.replace(t, p["a"], p["b"]))
-    return F.when(low.rlike("[" + "".join(a for a, _ in more) + "]"), long).otherwise(low)
+    marks = "".join(chr(_STAND_IN + i) for i in range(len(more)))
+    stands = f"[{marks[0]}-{marks[-1]}]"
+    low = F.lower(c)
+    plain = F.translate(low, "".join(x for x in without if x < "\x80"), "") if without else low
+    fast = F.translate(low, one + "".join(a for a, _ in more) + without, to + marks)
+    pairs = lambda from_: F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(from_, (b for _, b in more))])
+    swap = lambda x, from_: F.aggregate(pairs(from_), x, lambda t, p: F.replace(t, p["a"], p["b"]))
+    slow = swap(F.translate(low, one + without, to), [a for a, _ in more])
+    return F.when(F.octet_length(c) == F.length(c), plain).when(c.rlike(stands), slow).when(fast.rlike(stands), swap(fast, marks)).otherwise(fast)
+
+
+#: The characters of WS one by one.
+BLANKS = "".join(chr(o) for o in range(0x3001) if chr(o).isspace())
 
 
 def dedup_key(c: Column) -> Column:
     """Case-folded text without any blank."""
-    return F.regexp_replace(casefold(c), f"[{WS}]+", "")
+    return casefold(c, BLANKS)
 
 
 def fold_blanks(c: Column) -> Column:

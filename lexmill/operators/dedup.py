@@ -12,6 +12,9 @@ from lexmill.operators.graph import connected_components
 
 #: Shingles per record that go to the buckets, shared buckets and similarity that make a pair, least ratio of sizes.
 BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
+#: Prefixes are longer by this many elements and candidates must share as many: neighbouring shingles come in runs, so
+#: one shared name would make a candidate otherwise.
+DEPTH = 12
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "line_no") -> DataFrame:
@@ -46,26 +49,42 @@ def prefix_duplicates(df: DataFrame, n: int = 15, text_col: str = "text", order:
     return d.join(groups, "prefix")
 
 
-def sketch_pairs(sigs: DataFrame, written: Callable[[DataFrame], DataFrame], bottom: int = BOTTOM, shared: int = SHARED, ratio: float = RATIO) -> DataFrame:
-    """(a, b, common) with a < b: records of one language that share at least `shared` of their smallest shingles.
+def _prefixes(df: DataFrame, rare: DataFrame, node: str, n: str, similar: float) -> DataFrame:
+    """(node, n, h): of each set the rarest elements, so many that two sets this similar share DEPTH of them."""
+    x = df.select("node", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(rare, "h")
+    # elements held by one set only come first in the order and can't be shared: they use up the prefix
+    g = x.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))  # as many as the set has
+    take = F.col("n") - F.ceil(F.col("n") * similar).cast("int") + DEPTH - (F.col("n") - F.size("x"))
+    return g.where(take > 0).select(F.col("node").alias(node), F.col("n").alias(n), F.explode(F.slice("x", F.lit(1), take)).alias("y")).select(node, n, F.col("y.h").alias("h"))
 
-    sigs is (node, language, sig), sig sorted, one row per distinct set. Null signatures are left out.
+
+def _candidates(a: DataFrame, b: DataFrame, similar: float, near: Column) -> DataFrame:
+    """(a, b) that share DEPTH prefix elements, or all they must have in common if that is less."""
+    must = F.least(F.lit(DEPTH), F.ceil(F.col("na") * similar).cast("int"), F.ceil(F.col("nb") * similar).cast("int"))
+    return a.join(b, "h").where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(must).alias("must")).where("c >= must").select("a", "b")
+
+
+def _rare(each: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+
+
+def similar_pairs(sets: DataFrame, written: Callable[[DataFrame], DataFrame], similar: float = SIMILAR, bottom: int = BOTTOM, shared: int = SHARED) -> DataFrame:
+    """(a, b, jaccard) with a < b of sets (node, language, sig) of one language, at least `similar`, that also share at
+    least `shared` of their `bottom` smallest elements.
+
+    Exact, by prefix filtering: only the rarest elements of each set are joined, so elements that a large part of all
+    sets holds meet nothing. The condition on the smallest elements is checked on the pairs.
     """
-    s = sigs.where(F.col("sig").isNotNull()).select("node", "language", F.size("sig").alias("n"), F.explode(F.slice("sig", 1, bottom)).alias("h"))
-    s = written(s)
-    busy = s.groupBy("language", "h").count().where("count > 1").select("language", "h")
-    s = s.join(busy, (s.language.eqNullSafe(busy.language)) & (s.h == busy.h), "left_semi")
-    a, b = s.toDF("a", "la", "na", "h"), s.toDF("b", "lb", "nb", "h")
-    near = a.join(b, "h").where(F.col("la").eqNullSafe(F.col("lb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 10 >= F.greatest("na", "nb") * int(ratio * 10)))
-    return near.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= shared)
-
-
-def jaccard_of(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """pairs (a, b) with the Jaccard similarity of their signatures."""
-    s = sigs.select("node", "sig")
-    p = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return p.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).drop("sa", "sb")
+    s = sets.where(F.size("sig") > 0).select("node", "language", "sig")
+    p = _prefixes(s, _rare(s.select(F.explode("sig").alias("h")), written), "a", "na", similar)
+    p = written(p)
+    q = p.toDF("b", "nb", "h")
+    cand = written(_candidates(p, q, similar, (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar)))
+    both = cand.join(s.toDF("a", "la", "sa"), "a").join(s.toDF("b", "lb", "sb"), "b").where(F.col("la").eqNullSafe(F.col("lb")))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    low = F.size(F.array_intersect(F.slice("sa", 1, bottom), F.slice("sb", 1, bottom)))
+    both = both.withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter))
+    return both.where((F.col("jaccard") >= similar) & (low >= shared)).select("a", "b", "jaccard")
 
 
 def near_duplicates(df: DataFrame, sig: Column, written: Callable[[DataFrame], DataFrame], node: str = "row_id", language: str = "language", seed_keys: tuple[str, ...] = (), similar: float = SIMILAR) -> DataFrame:
@@ -79,8 +98,8 @@ def near_duplicates(df: DataFrame, sig: Column, written: Callable[[DataFrame], D
     h = d.where(F.size("sig") > 1).withColumn("key", F.struct("language", F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")))
     heads = h.groupBy("key").agg(F.min("node").alias("head"))
     copies = h.join(heads, "key").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-    one = written(h.join(heads, h.node == heads.head, "left_semi").select("node", "language", "sig"))
-    pairs = jaccard_of(sketch_pairs(one, written), one).where(F.col("jaccard") >= similar)
+    one = written(h.join(heads, h["node"] == heads["head"], "left_semi").select("node", "language", "sig"))
+    pairs = similar_pairs(one, written, similar)
     links = copies.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     if seed_keys:
         known = d.dropna(subset=list(seed_keys))
@@ -93,8 +112,8 @@ def near_duplicates(df: DataFrame, sig: Column, written: Callable[[DataFrame], D
 def similar_across(left: DataFrame, right: DataFrame, written: Callable[[DataFrame], DataFrame], similar: float = SIMILAR, ratio: float = RATIO) -> DataFrame:
     """(a, b, jaccard) of every pair across the two tables (node, sig) whose sets are at least `similar`; exact.
 
-    Prefix filtering: sets this similar share one of their rarest size - ceil(similar * size) + 1 elements, so only
-    those are joined; equal sets on a side are compared once and expanded again at the end.
+    Prefix filtering: sets this similar share DEPTH of their rarest size - ceil(similar * size) + DEPTH elements, so
+    only those are joined; equal sets on a side are compared once and expanded again at the end.
     """
     def classes(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         d = df.where(F.size("sig") > 0).select("node", "sig", F.xxhash64("sig").alias("k1"), F.xxhash64(F.lit(1), "sig").alias("k2"))
@@ -105,19 +124,10 @@ def similar_across(left: DataFrame, right: DataFrame, written: Callable[[DataFra
     lu, lm = classes(left, "a_row")
     ru, rm = classes(right, "b_row")
     lu, ru = written(lu), written(ru)
-    each = lu.select(F.explode("sig").alias("h")).unionByName(ru.select(F.explode("sig").alias("h")))
-    rare = written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-
-    def prefix(df: DataFrame, node: str, n: str) -> DataFrame:
-        x = df.select("node", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(rare, "h")
-        # elements held by one set only come first in the order and can't be shared: they use up the prefix
-        g = x.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
-        take = F.col("n") - F.ceil(F.col("n") * similar).cast("int") + 1 - (F.col("n") - F.size("x"))
-        return g.where(take > 0).select(F.col("node").alias(node), F.col("n").alias(n), F.explode(F.slice("x", F.lit(1), take)).alias("y")).select(node, n, F.col("y.h").alias("h"))
-
-    a, b = prefix(lu, "a", "na"), prefix(ru, "b", "nb")
+    rare = _rare(lu.select(F.explode("sig").alias("h")).unionByName(ru.select(F.explode("sig").alias("h"))), written)
+    a, b = _prefixes(lu, rare, "a", "na", similar), _prefixes(ru, rare, "b", "nb", similar)
     bound = max(similar, ratio)
-    cand = a.join(b, "h").where(F.least("na", "nb") >= F.greatest("na", "nb") * bound).select("a", "b").distinct()
+    cand = written(_candidates(a, b, similar, F.least("na", "nb") >= F.greatest("na", "nb") * bound))
     p = cand.join(lu.toDF("a", "sa"), "a").join(ru.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     p = p.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).where(F.col("jaccard") >= similar).select("a", "b", "jaccard")

@@ -47,10 +47,10 @@ def manifest(df: DataFrame, file: str, tokens: Column) -> DataFrame:
 
 def manifest_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(file, d_records, d_tokens): what changed per file; a missing file counts as empty."""
-    b = before.select("file", F.col("n_records").alias("r0"), F.col("n_tokens").alias("t0"))
-    a = after.select("file", F.col("n_records").alias("r1"), F.col("n_tokens").alias("t1"))
+    b = before.select(F.col("file").alias("f0"), F.col("n_records").alias("r0"), F.col("n_tokens").alias("t0"))
+    a = after.select(F.col("file").alias("f1"), F.col("n_records").alias("r1"), F.col("n_tokens").alias("t1"))
     z = lambda x: F.coalesce(x, F.lit(0))
-    return b.join(a, "file", "full").select("file", (z("r1") - z("r0")).alias("d_records"), (z("t1") - z("t0")).alias("d_tokens"))
+    return b.join(a, b["f0"].eqNullSafe(a["f1"]), "full").select(F.coalesce("f0", "f1").alias("file"), (z("r1") - z("r0")).alias("d_records"), (z("t1") - z("t0")).alias("d_tokens"))
 
 
 def weighted_loss(blocks: DataFrame, by: list[str], loss: str = "loss", size: str = "size", strict: bool = False) -> DataFrame:

@@ -21,3 +21,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer than half of that: one small file isn't one task.
+
+    A large table has more partitions already and isn't moved.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n / 2 else df

@@ -70,7 +70,7 @@ INVENTORY = f"""
 WITH d AS (SELECT *, CASE WHEN source_url IS NOT NULL THEN 'url' WHEN source_title IS NOT NULL THEN 'title' END AS source_kind,
                   coalesce(source_url, source_title) AS source_key, regexp_matches(text, '{SIGNAL}') AS sig FROM article_en),
 inv AS (SELECT source_kind, source_key, count(*) AS record_count, list(row_id ORDER BY row_id) AS ids,
-               coalesce(list(row_id ORDER BY row_id) FILTER (WHERE sig), []) AS sigs, first(source_title ORDER BY row_id) FILTER (WHERE source_title IS NOT NULL) AS source_title,
+               coalesce(list(row_id ORDER BY row_id) FILTER (WHERE sig), []) AS sigs, first(source_title ORDER BY row_id) AS source_title,
                CASE WHEN source_kind = 'url' THEN {HOST.format('source_key')} END AS host
         FROM d WHERE source_kind IS NOT NULL GROUP BY source_kind, source_key)
 """
@@ -119,7 +119,7 @@ SELECT domain, count(*) AS n_rows, count(source) AS has_source, count(source_url
     "manifest_delta": f"""
 WITH a AS (SELECT source, count(*) AS r, sum(coalesce(len({words('text')}), 0)) AS t FROM documents GROUP BY source),
 b AS (SELECT source, count(*) AS r, sum(coalesce(len({words('text')}), 0)) AS t FROM ({firsts('documents', 'doc_id', key('text'), '*')}) GROUP BY source)
-SELECT a.source AS file, coalesce(b.r, 0) - a.r AS d_records, (coalesce(b.t, 0) - a.t)::BIGINT AS d_tokens FROM a LEFT JOIN b ON a.source = b.source""",
+SELECT a.source AS file, coalesce(b.r, 0) - a.r AS d_records, (coalesce(b.t, 0) - a.t)::BIGINT AS d_tokens FROM a LEFT JOIN b ON a.source IS NOT DISTINCT FROM b.source""",
     "token_weighted_ppl": """
 WITH d AS (SELECT lang, length(text) - 1 AS v, doc_id % 7 / 4 + 1 AS loss FROM documents WHERE length(text) >= 2),
 g AS (SELECT lang, sum(v)::BIGINT AS n, sum(loss * v) / sum(v) AS m FROM d WHERE lang IS NOT NULL GROUP BY lang)
@@ -147,6 +147,8 @@ SELECT domain, count(*) FILTER (WHERE n > 0) AS n_changed, sum(n)::BIGINT AS n_c
     "url_group_ids": f"SELECT row_id, 'article-url-' || substr(sha256(source_url), 1, 16) AS url_group, {HOST.format('source_url')} AS host FROM article_en WHERE source_url IS NOT NULL",
     "title_group_ids": """
 SELECT row_id, 'zhwiki-' || substr(sha256(source || chr(0) || source_title), 1, 16) AS title_group, replace(source_title, ' ', '_') AS page_name FROM article_zh WHERE source IS NOT NULL AND source_title IS NOT NULL""",
+    "html_extract": f"""
+SELECT row_id, coalesce({strip('source_title')}, '') AS title, {strip("regexp_replace(coalesce(topic, '') || ' ' || text, '" + WS + "+', ' ', 'g')")} AS text FROM article_en WHERE text IS NOT NULL""",
     "cyclic_replace": """
 SELECT row_id, k AS place, replace(text, 'Under steady load', ['In calm weather', 'At constant load', 'With steady input'][k % 3 + 1]) AS text
 FROM (SELECT row_id, text, row_number() OVER (ORDER BY row_id) - 1 AS k FROM english WHERE contains(text, 'Under steady load'))""",
@@ -216,7 +218,7 @@ SELECT id || '-' || lpad(k::VARCHAR, 2, '0') AS id, source, url AS source_url, t
     "source_inventory": INVENTORY + "SELECT source_kind, source_key, record_count, array_to_string(ids, ',') AS record_ids, array_to_string(sigs, ',') AS signal_ids, source_title, host FROM inv",
     "attribution_by_host": INVENTORY + f"""
 , act AS (SELECT row_id AS r FROM article_en WHERE {SPLIT} = 'train'),
-k AS (SELECT source_kind, source_key, host, len(sigs) AS s, len(list_filter(ids, lambda i: i IN (SELECT r FROM act))) AS n FROM inv)
+k AS (SELECT source_kind, source_key, host, len(sigs) AS s, count(r) AS n FROM (SELECT *, unnest(ids) AS i FROM inv) LEFT JOIN act ON i = r GROUP BY source_kind, source_key, host, sigs)
 SELECT host, count(*) AS n_pages, sum(n)::BIGINT AS n_records, sum(s)::BIGINT AS n_signals FROM k WHERE n > 0 GROUP BY host""",
     "attribution_report": INVENTORY + """
 SELECT host, 0 AS part, '## ' || host || ': ' || count(*) || ' pages, ' || sum(record_count) || ' records' AS line FROM inv WHERE host IS NOT NULL GROUP BY host

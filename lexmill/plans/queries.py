@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import html, text
 from lexmill.functions import unicode as uni
 from lexmill.operators import dedup, gates, packing, qa, review, rights, rules, split, stats, tokens
-from lexmill.operators.tables import written
+from lexmill.operators.tables import spread, written
 from lexmill.sources.files import combined_fingerprint
 from lexmill.sources.web import look_up_revisions, resolve_titles
 
@@ -16,7 +16,7 @@ SEED = 20261107
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +73,13 @@ def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written).select(F.col("node").alias("row_id"), F.col("root").alias("component"))
 
 
-def near_dup_pairs_sketch(spark: SparkSession, d: str) -> DataFrame:
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct sets; a copy has the node of its first row."""
     df = _t(spark, d, "natural_zh").where(F.col("text").isNotNull()).select("row_id", F.lit("zh").alias("language"), uni.shingles(text.dedup_key(F.col("text"))).alias("sig"))
     df = written(df)
     heads = df.groupBy(F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")).agg(F.min("row_id").alias("row_id"))
     one = written(df.join(heads.select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "node"))
-    p = dedup.jaccard_of(dedup.sketch_pairs(one, written), one).where(F.col("jaccard") >= dedup.SIMILAR)
-    return p.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.round("jaccard", 6).alias("jaccard"))
+    return dedup.similar_pairs(one, written).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def cross_split_near_exhaustive(spark: SparkSession, d: str) -> DataFrame:
@@ -358,7 +357,7 @@ def group_split_assign(spark: SparkSession, d: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "documents").select("doc_id", F.substring(F.lower("lang"), 1, 2).alias("lang"))
-    return split.stratified_sample(df, "lang", "doc_id", ["zh", "en"], 50, SEED).select("lang", "draw", "doc_id")
+    return split.stratified_sample(df, "lang", "doc_id", ["zh", "en"], 25, SEED).select("lang", "draw", "doc_id")
 
 
 def review_sheets(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ def _plain(c: str) -> str | None:
     return d if d != c else None
 
 
+@cache
 def mapping() -> dict[int, str]:
     """Code point -> replacement, for every code point that has one; at most as large as Unicode."""
     out: dict[int, str] = {}

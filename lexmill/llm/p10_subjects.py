@@ -180,6 +180,8 @@ def subjects(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
             counts, sizes = document_subjects(pdf["text"].tolist(), lex, kept["a"])
             ratio = counts / np.maximum(sizes, 1)[:, None]
             d, s = np.nonzero((ratio >= share) & (counts > 0))
+            if not len(d):
+                continue
             yield pd.DataFrame({"doc_id": pdf["id"].to_numpy()[d], "subject": [lex.subjects[i] for i in s], "n_sentences": counts[d, s], "share": ratio[d, s], "n_chars": pdf["text"].str.len().to_numpy()[d]})
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col(id_col).isNotNull())

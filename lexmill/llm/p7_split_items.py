@@ -21,8 +21,8 @@ LIMIT, OVERLAP = 380, 40
 ENDS, CLOSING = "。！？!?；;", "」』”’）)】》\""
 #: What ends a stretch at each natural level, coarse to fine; the match's end is the cut.
 LEVELS = (
-    ("section", re.compile(rf"\n[{CLOSING}]*[^\S\n]*\n[^\S\n]*(?:\n\s*|(?=#|=+ ?\S|第[一二三四五六七八九十百0-9]+[章节]))")),
-    ("paragraph", re.compile(rf"\n[{CLOSING}]*[^\S\n]*\n\s*")),
+    ("section", re.compile(rf"\n[{CLOSING}]*(?:(?:[^\S\n]*\n){{2,}}|(?:[^\S\n]*\n)+(?=[^\S\n]*(?:#|=+ ?\S|第[一二三四五六七八九十百0-9]+[章节])))[{CLOSING}]*")),
+    ("paragraph", re.compile(rf"\n[{CLOSING}]*(?:[^\S\n]*\n)+[{CLOSING}]*")),
     ("line", re.compile(rf"\n[{CLOSING}]*")),
     ("sentence", re.compile(rf"[{ENDS}\n][{CLOSING}]*")),
 )

@@ -159,7 +159,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN
 
     items = items.select(*COLUMNS[:4])
     one = written(items.mapInPandas(first, PLACED))
-    n = -(-items.rdd.getNumPartitions() // FAN_IN)
+    n = max(1, -(-items.rdd.getNumPartitions() // FAN_IN))
     rest = one.where(F.col("container").isNull()).select(*COLUMNS[:4]).repartition(n, "id", "piece_no").sortWithinPartitions(F.desc("size"), "id", "piece_no")
     return one.where(F.col("container").isNotNull()).unionByName(rest.mapInPandas(again, PLACED))
 

@@ -33,7 +33,7 @@ NEAR = 0.75
 
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 #: A hyphen inside a word or at a line's end joins its halves.
-HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*(?=[^\W\d_])")
+HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*(?=[^\W\d_])|(?<=\w)[-‐‑][^\S\n]*\n\s*(?=\w)")
 WORD = re.compile(r"[㐀-䶿一-鿿\u3040-\u30ff\uac00-\ud7af]|[^\W_㐀-䶿一-鿿\u3040-\u30ff\uac00-\ud7af]+")
 
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again: cuts the lineage and survives lost executors.
-
-    The setting is read from the session; only where it is unset, as in tests, a temporary folder is made.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/lexmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.tables import shared_root, spread, written
+
+__all__ = ["language_code", "norm_split", "shared_dir", "slice_name", "spread", "table", "tokenizer_path", "written"]
+
 #: Spellings of the three split names; anything else counts as no split.
 SPLITS = ("train", "valid", "test")
 
@@ -28,28 +30,8 @@ def norm_split(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors reach: below spark.checkpoint.dir, which is set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, so that one small file doesn't make one Python task.
-
-    A large table already has more partitions and isn't moved.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n / 2 else df
+    """A new folder that all executors reach."""
+    return f"{shared_root(spark)}/lexmill-{uuid.uuid4().hex}"
 
 
 def slice_name(c: Column) -> Column:
@@ -72,6 +54,3 @@ def language_code(c: Column) -> Column:
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where a public tokenizer's file lies; the folder is a parameter of the environment with a default."""
     return os.path.join(os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers"), name)
-
-
-WORD = re.compile(r"[^\W_]+")

@@ -29,6 +29,9 @@ SENTENCE, MARGIN = 1.6, 0.7
 #: The share of a document's sentences from which on it is about a subject: between a passing mention (an eighth) and a fifth.
 SHARE = 0.16
 
+#: Documents whose terms are counted at once.
+AT_ONCE = 500
+
 HAN = "㐀-䶿一-鿿"
 TOKENS = re.compile(rf"[a-z]+(?:[-'][a-z]+)*|[{HAN}]+")
 #: Sentences end at these marks; a point between digits is none.
@@ -176,7 +179,7 @@ def subjects(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
             kept["l"] = Lexicon.of(sent.value)
             kept["a"] = kept["l"].automaton()
         lex = kept["l"]
-        for pdf in batches:
+        for pdf in (b[i : i + AT_ONCE] for b in batches for i in range(0, len(b), AT_ONCE)):
             counts, sizes = document_subjects(pdf["text"].tolist(), lex, kept["a"])
             ratio = counts / np.maximum(sizes, 1)[:, None]
             d, s = np.nonzero((ratio >= share) & (counts > 0))

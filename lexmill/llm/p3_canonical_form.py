@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import spread, table
+from lexmill.llm.common import spread, table, written
 
 #: Letters that look like a Latin letter in common fonts, and the Latin letters (fixed values).
 CYRILLIC = "АВЕЅЈІКМНОРСТУХаеіјорсухѕһԁԛԝӏ"
@@ -33,6 +33,8 @@ RADICALS_AS = "厂几小小兀尣尢巳幺月母民氵丬犭王疋竹糸罒羊
 #: Compatibility decompositions that make no visible difference; raised, lowered, circled, fraction and font forms do.
 SAME = {"<wide>", "<narrow>", "<noBreak>", "<small>", "<isolated>", "<initial>", "<medial>", "<final>"}
 BLANK = " "
+#: Characters that are handled as arrays at once; longer texts are an array of their own.
+AT_ONCE = 1_000_000
 #: Canonical letters and combining marks from here on may take part in recomposition.
 FIRST_MARK = 0x300
 
@@ -96,6 +98,17 @@ class Canonical:
                 self.mark[o] = True
         self.mark[0x1100:0x1200] = True  # Hangul parts compose too
 
+    def forms(self, texts: list[str]) -> Iterator[str]:
+        """The canonical forms of texts, in arrays of bounded size."""
+        part, size = [], 0
+        for t in texts:
+            if part and size + len(t) > AT_ONCE:
+                yield from self.batch(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        yield from self.batch(part)
+
     def batch(self, texts: list[str]) -> list[str]:
         """The canonical forms of many texts at once."""
         joined = "".join(texts)
@@ -136,7 +149,7 @@ def canonical(df: DataFrame, text_col: str = "text", out: str = "canonical") ->
         c = kept["c"]
         for s in batches:
             null = s.isna()
-            made = iter(c.batch(s[~null].tolist()))
+            made = c.forms(s[~null].tolist())
             yield pd.Series([None if x else next(made) for x in null], dtype=object)
 
     return spread(df.drop(out)).withColumn(out, form(F.col(text_col)))
@@ -152,8 +165,6 @@ def same_looking(df: DataFrame, id_col: str = "row_id", text_col: str = "text")
     f = canonical(df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col(id_col).isNotNull()))
     f1, f2 = two("canonical")
     t1, t2 = two("text")
-    from lexmill.llm.common import written
-
     h = written(f.select("row", f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2")))
     several = h.groupBy("f1", "f2").agg(F.min("t1").alias("lo1"), F.max("t1").alias("hi1"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2"))
     several = several.where((F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))).select("f1", "f2")

@@ -8,13 +8,14 @@ places into chunks that are dealt to all workers; each chunk's count is exact an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import language_code, slice_name, spread, table
+from lexmill.llm.common import language_code, slice_name, spread, table, written
 
 #: Words of the tokenizer: ` ?letters`, ` ?digits`, ` ?other marks`, blanks.
 WORDS = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
@@ -23,6 +24,8 @@ PROVEN = regex.compile(r"(?<=\S)(?= \S)")
 CHUNK = 50_000
 #: At most so many words' counts are kept by a worker; others are counted again.
 CACHE = 500_000
+#: Words of more bytes are merged with a heap.
+LONG_WORD = 200
 #: A merge table may be sent to the workers up to this many rows (a tokenizer's vocabulary has an end).
 MAX_MERGES = 1_000_000
 
@@ -48,6 +51,8 @@ class Merges:
     def encode(self, word: str) -> list[str]:
         """The tokens of one word; always the pair of lowest rank is merged next, everywhere in the word."""
         parts = [self.byte[b] for b in word.encode("utf-8", "surrogatepass")]
+        if len(parts) > LONG_WORD:
+            return self.encode_long(parts)
         while len(parts) > 1:
             best = min(zip(parts, parts[1:]), key=lambda p: self.rank.get(p, 1 << 60))
             if best not in self.rank:
@@ -63,12 +68,30 @@ class Merges:
             parts = out
         return parts
 
+    def encode_long(self, parts: list[str | None]) -> list[str]:
+        """The same for a long word: pairs wait in a heap by rank and place, neighbours are linked."""
+        n = len(parts)
+        left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = right[i]
+            if parts[i] != a or j >= n or parts[j] != b:  # merged meanwhile
+                continue
+            parts[i], parts[j], right[i] = a + b, None, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for p, q in ((left[i], i), (i, right[i])):
+                if p >= 0 and q < n and (r := self.rank.get((parts[p], parts[q]))) is not None:
+                    heappush(heap, (r, p, parts[p], parts[q]))
+        return [p for p in parts if p is not None]
+
     def count(self, text: str) -> int:
         known, n = self.known, 0
         for w in WORDS.findall(text):
             k = known.get(w)
             if k is None:
-                # a run of one character class without blanks can be very long: its merges are local, still exact
                 k = len(self.encode(w))
                 if len(known) < CACHE and len(w) < 64:
                     known[w] = k
@@ -126,7 +149,7 @@ def token_counts(df: DataFrame, merges: list[tuple[str, str]], text_col: str = "
     short = spread(df.where(~is_long)).withColumn(out, count(F.col(text_col)))
     rest = df.columns
     key = "_whole"
-    long = df.where(is_long).withColumn(key, F.struct(*rest)).select(F.monotonically_increasing_id().alias("_k"), key)
+    long = written(df.where(is_long).withColumn(key, F.struct(*rest)).select(F.monotonically_increasing_id().alias("_k"), key))
     part = long.select("_k", F.posexplode(cut(F.col(f"{key}.{text_col}"))).alias("_p", "_t"))
     n = spark.sparkContext.defaultParallelism
     salted = part.repartition(max(n, 1), F.xxhash64("_k", "_p"))
@@ -142,14 +165,12 @@ def slice_totals(df: DataFrame, n: str = "n_tokens") -> DataFrame:
     """
     df = df.select(slice_name(F.col("source")).alias("source"), language_code(F.col("language")).alias("language"), slice_name(F.col("domain")).alias("domain"), F.col(n).alias("t"))
     base = df.groupBy("source", "language", "domain").agg(F.count("*").alias("n_docs"), F.count("t").alias("n_texts"), F.sum("t").alias("n_tokens"))
-    base.createOrReplaceTempView("lexmill_slices")
-    return df.sparkSession.sql("""
-        SELECT CASE grouping_id(source, language, domain) WHEN 0 THEN 'source+language+domain' WHEN 3 THEN 'source'
-                    WHEN 5 THEN 'language' WHEN 6 THEN 'domain' ELSE 'all' END AS level,
-               source, language, domain, sum(n_docs) AS n_docs, sum(n_texts) AS n_texts, coalesce(sum(n_tokens), 0) AS n_tokens
-        FROM lexmill_slices
-        GROUP BY GROUPING SETS ((source, language, domain), (source), (language), (domain), ())
-    """)
+    one, none = ["source", "language", "domain"], {7: "all", 3: "source", 5: "language", 6: "domain", 0: "source+language+domain"}
+    sets = base.groupingSets([[F.col(c) for c in one], *[[F.col(c)] for c in one], []], *one).agg(
+        F.grouping_id().alias("g"), F.sum("n_docs").alias("n_docs"), F.sum("n_texts").alias("n_texts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
+    )
+    level = F.create_map(*[F.lit(x) for kv in none.items() for x in kv])[F.col("g").cast("int")]
+    return sets.select(level.alias("level"), *one, "n_docs", "n_texts", "n_tokens")
 
 
 def _counted(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

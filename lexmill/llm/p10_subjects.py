@@ -26,8 +26,10 @@ FIT_ROWS = 20_000
 MIN_ROWS, MIN_SHARE = 5, 0.3
 #: A sentence counts for a subject from this sum of weights on, if no other subject comes within the margin.
 SENTENCE, MARGIN = 1.6, 0.7
+#: ... and from so many different terms on that speak for the subject.
+SUPPORT = 2
 #: The share of a document's sentences from which on it is about a subject: between a passing mention (an eighth) and a fifth.
-SHARE = 0.16
+SHARE = 0.175
 
 #: Documents whose terms are counted at once.
 AT_ONCE = 500
@@ -147,7 +149,9 @@ def document_subjects(texts: list[str], lexicon: Lexicon, automaton) -> tuple[np
         score = np.stack([np.bincount(where, weights=lexicon.weights[term, s], minlength=base) for s in range(n_s)], axis=1)
         best = score.argmax(axis=1)
         two = np.partition(score, -2, axis=1)[:, -2:] if n_s > 1 else np.stack([np.full(base, -9.0), score[:, 0]], axis=1)
-        sure = (two[:, 1] >= SENTENCE) & (two[:, 1] - two[:, 0] >= MARGIN)
+        # one word alone may stand in a sentence on nothing of the kind
+        support = np.bincount(where, weights=lexicon.weights[term, best[where]] > 0, minlength=base)
+        sure = (two[:, 1] >= SENTENCE) & (two[:, 1] - two[:, 0] >= MARGIN) & (support >= SUPPORT)
         doc = np.repeat(np.arange(len(texts)), sizes)
         np.add.at(counts, (doc[sure], best[sure]), 1)
     return counts, sizes

@@ -1,9 +1,10 @@
 """Problem 6: the same or nearly the same records across splits.
 
-Records become sequences of words (letter case, blanks and punctuation ignored) and are cut into content-defined
-chunks: a rolling hash over two words decides where, so a change moves only the cuts next to it. Digests of adjacent
-chunks are joined across splits, rarest first, the shared lengths are summed into overlap fractions, and pairs with
-enough overlap are decided by their longest common subsequence of words.
+Records become sequences of words (letter case, blanks and punctuation ignored). Pairs are searched by exact prefix
+filtering: two records that have enough words in common share one of their rarest words, so only those are joined across
+the splits; bitmaps of all words drop most of the pairs, and the rest is decided by the longest common subsequence of
+words. Overlap fractions against the whole of train come from content-defined chunks: a rolling hash over two words
+decides where to cut, so a change moves only the cuts next to it.
 """
 
 from __future__ import annotations
@@ -23,11 +24,8 @@ from lexmill.llm.common import norm_split, slice_name, spread, table, written
 ALIKE = 0.8
 #: A cut follows one of so many word pairs; no chunk is shorter than SHORTEST or longer than LONGEST words.
 DIVISOR, SHORTEST, LONGEST = 2, 2, 8
-#: A digest weighs one over the number of records with it. Of a record's digests, from the rarest on, so many are joined
-#: that the rest weighs less than SURE of all: two records that share at least this part are found for sure.
-SURE = 0.1
-#: Pairs are compared word by word from this part of the longer one's words on, summed over the shared chunk pairs.
-OVERLAP = 0.1
+#: Longs in the bitmap of a record's words.
+LONGS = 4
 #: Words kept by a worker with their hashes, at most; others are hashed again.
 CACHE = 500_000
 
@@ -78,6 +76,19 @@ class Chunker:
         return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), b - a) for a, b in spans if b > a]
 
 
+def bag(code: np.ndarray) -> tuple[list[int], list[int]]:
+    """(tokens, bitmap): one 64-bit token per word, repeated words told apart by their count so far; a bit per token."""
+    seen: dict[int, int] = {}
+    tokens, bits = [], 0
+    for x in code.tolist():
+        k = seen.get(x, 0)
+        seen[x] = k + 1
+        t = (x + k * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        tokens.append(t - (1 << 63))
+        bits |= 1 << t % (64 * LONGS)
+    return tokens, np.frombuffer(bits.to_bytes(8 * LONGS, "little"), "<i8").tolist()
+
+
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, one bit per element of a."""
     at: dict[int, int] = {}
@@ -93,55 +104,70 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def records(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split") -> DataFrame:
-    """(row, held, w1, w2, n, codes, digests): held is whether the split is valid or test. Null text, id or split is left out."""
+def records(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", chunks: bool = False) -> DataFrame:
+    """(row, held, w1, w2, n, codes, tokens, bits), with chunks (row, held, w1, w2, n, codes, digests).
+
+    held is whether the split is valid or test. Null text, id or split is left out.
+    """
     made: dict[str, Chunker] = {}
+    kind = "digests:array<struct<d:long,len:int>>" if chunks else "tokens:array<long>,bits:array<long>"
 
-    @F.pandas_udf("struct<w1:long,w2:long,n:int,codes:binary,digests:array<struct<d:long,len:int>>>")
+    @F.pandas_udf(f"struct<w1:long,w2:long,n:int,codes:binary,{kind}>")
     def chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = made.setdefault("c", Chunker())
         for s in batches:
             code = [c.codes(t) for t in s]
             raw = [x.tobytes() for x in code]
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "w1": [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raw], "w2": [xxhash.xxh64_intdigest(r, 7) - (1 << 63) for r in raw],
                 "n": [len(x) for x in code], "codes": [x.astype("<u4").tobytes() for x in code],
-                "digests": [[{"d": d, "len": n} for d, n in {k: m for k, m in c.digests(x)}.items()] for x in code],
             })
+            if chunks:
+                out["digests"] = [[{"d": d, "len": n} for d, n in {k: m for k, m in c.digests(x)}.items()] for x in code]
+            else:
+                bags = [bag(x) for x in code]
+                out["tokens"], out["bits"] = [t for t, _ in bags], [b for _, b in bags]
+            yield out
 
     rows = df.select(F.col(id_col).cast("long").alias("row"), norm_split(F.col(split_col)).alias("s"), F.col(text_col).alias("text"))
     rows = spread(rows.where(F.col("row").isNotNull() & F.col("s").isNotNull() & F.col("text").isNotNull()))
     return rows.select("row", (F.col("s") != "train").alias("held"), chunked("text").alias("c")).select("row", "held", "c.*")
 
 
-def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", alike: float = ALIKE, sure: float = SURE, overlap: float = OVERLAP) -> DataFrame:
+def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", alike: float = ALIKE) -> DataFrame:
     """(row_a, row_b), row_a < row_b: one in train, the other in valid or test, with `alike` of the longer one's words in common and in order.
 
+    Exact: with C words in common, the first shared one of the rarest is among the n - C + 1 rarest of each record.
     Equal word sequences form one class, so copies are compared once, and pairs of rows are made only for the result.
     Texts without words are equal to each other. Null text, id or split is no case; repeated rows count each.
     """
     rows = written(records(df, id_col, text_col, split_col))
     classes = rows.groupBy("w1", "w2").agg(F.min("row").alias("cls"), F.max(F.col("held").cast("int")).alias("any_held"), F.min(F.col("held").cast("int")).alias("all_held"))
-    members = written(rows.join(classes, ["w1", "w2"]).select("row", "held", "cls", "any_held", "all_held", "n", "codes", "digests"))
+    members = written(rows.join(classes, ["w1", "w2"]).select("row", "held", "cls", "any_held", "all_held", "n", "codes", "tokens", "bits"))
     one = members.where(F.col("row") == F.col("cls"))
     held, train = F.col("any_held") == 1, F.col("all_held") == 0
 
-    # digests that stand on both sides, with how many classes hold them
-    each = one.where("n > 0").select("cls", "n", held.alias("h"), train.alias("t"), F.explode("digests").alias("x")).select("cls", "n", "h", "t", "x.d", "x.len")
+    # words that stand on both sides, with how many classes hold them; the others come first in the order and can't be shared
+    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(LONGS)]
+    each = one.where("n > 0").select("cls", held.alias("h"), train.alias("t"), F.explode("tokens").alias("d"))
     freq = each.groupBy("d").agg(F.count("*").alias("df"), F.count_if("h").alias("hs"), F.count_if("t").alias("ts"))
     both = freq.where((F.col("df") > 1) & (F.col("hs") > 0) & (F.col("ts") > 0)).select("d", "df")
-    # a record's own digests from the rarest on, as far as they are needed
-    k = each.join(both, "d").groupBy("cls", "n", "h", "t").agg(F.array_sort(F.collect_list(F.struct("df", "d", "len"))).alias("x"))
-    k = k.withColumn("all", F.expr("aggregate(x, 0D, (s, e) -> s + 1D / e.df)"))
-    need = F.expr(f"aggregate(x, struct(0D AS w, 0 AS k), (s, e) -> if(s.w <= {1 - sure}D * all, struct(s.w + 1D / e.df AS w, s.k + 1 AS k), s)).k")
-    first = k.select("cls", "n", "h", "t", F.explode(F.slice("x", F.lit(1), need)).alias("x")).select("cls", "n", "h", "t", "x.d", "x.len")
-    first = written(first)
-    a = first.where("h").select("d", "len", F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = first.where("t").select("d", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * alike)
-    shared = a.join(b, "d").where(near).groupBy("a", "b").agg(F.sum("len").alias("words"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    k = each.join(both, "d").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("x"))  # as many as the text has words
+    k = k.join(one.select("cls", "n", held.alias("h"), train.alias("t"), *bits), "cls").withColumn("u", F.col("n") - F.size("x"))
+    least = lambda n: F.ceil(n * alike - 1e-9)
+    take = (F.col("n") - least(F.col("n")) + 1 - F.col("u")).cast("int")
+    # passed: words before this one, which are not shared if it is the first shared
+    names = [f"b{i}" for i in range(LONGS)]
+    first = k.where(take > 0).select("cls", "n", "h", "t", "u", *names, F.posexplode(F.slice("x", F.lit(1), take)).alias("at", "x"))
+    first = written(first.select(F.col("x.d").alias("d"), "cls", "n", (F.col("u") + F.col("at")).alias("passed"), *names, "h", "t"))
+    a = first.where("h").drop("h", "t").toDF("d", "a", "na", "pa", *(f"a{x}" for x in names))
+    b = first.where("t").drop("h", "t").toDF("d", "b", "nb", "pb", *(f"b{x}" for x in names))
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}{x}").bitwiseAND(F.bitwise_not(F.col(f"{q}{x}")))) for x in names), F.lit(0))
+    must = least(F.greatest("na", "nb"))
+    near = (F.col("a") != F.col("b")) & (F.col("na") - F.col("pa") >= must) & (F.col("nb") - F.col("pb") >= must)
+    near = near & (F.col("na") - only("a", "b") >= must) & (F.col("nb") - only("b", "a") >= must)
     # in both orders a pair of two-sided classes is the same pair
-    pairs = shared.where(F.col("words") >= F.greatest("na", "nb") * overlap).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = a.join(b, "d").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     text = one.select("cls", "codes")
     pairs = pairs.join(text.select(F.col("cls").alias("a"), F.col("codes").alias("ca")), "a").join(text.select(F.col("cls").alias("b"), F.col("codes").alias("cb")), "b")
@@ -167,7 +193,7 @@ def overlap_fractions(df: DataFrame, id_col: str = "row_id", text_col: str = "te
 
     Every digest of train counts once however many records hold it, so no pair of records is formed.
     """
-    rows = written(records(df, id_col, text_col, split_col).select("row", "held", "n", "digests"))
+    rows = written(records(df, id_col, text_col, split_col, chunks=True).select("row", "held", "n", "digests"))
     train = rows.where("NOT held").select(F.explode("digests.d").alias("d")).distinct().withColumn("in_train", F.lit(True))
     x = rows.where("held").select("row", "n", F.explode_outer("digests").alias("x")).select("row", "n", "x.d", "x.len").join(train, "d", "left")
     total = x.groupBy("row", "n").agg(F.sum("len").alias("all"), F.sum(F.when(F.col("in_train"), F.col("len")).otherwise(0)).alias("common"))

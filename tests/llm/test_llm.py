@@ -265,6 +265,19 @@ def hashes(words):
     return [hash(w) for w in words]
 
 
+def test_cross_split_large_family_and_rare_words(spark):
+    """A record of a large family that shares rare words with one other record keeps its pairs with both."""
+    rng = random.Random(12)
+    voc = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(voc) for _ in range(100)]
+    fam = [base[:i % 90] + [f"own{i}"] + base[i % 90 + 1 :] for i in range(700)]
+    rare = base[:47] + [f"rare{i}" for i in range(6)] + base[53:]
+    other = [f"o{i}" for i in range(44)] + rare[44:56] + [f"p{i}" for i in range(44)]  # shares the rare words and no more
+    data = [(i, "train", w) for i, w in enumerate(fam)] + [(1000, "test", rare), (1001, "train", other), (1002, "train", rare[:-8])]
+    d = spark.createDataFrame([(i, s, " ".join(w)) for i, s, w in data], "row_id long, split string, text string")
+    assert rows(p6.cross_pairs(d)) == [(i, 1000) for i in range(700)] + [(1000, 1002)]
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 

@@ -265,6 +265,24 @@ def hashes(words):
     return [hash(w) for w in words]
 
 
+def test_cross_split_spread_changes_match_brute_force(spark):
+    """Pairs near four fifths whose altered words are spread evenly, at random, or inserted and dropped."""
+    rng = random.Random(13)
+    voc = [f"w{i}" for i in range(2000)]
+    data = []
+    for i in range(240):
+        n, share = rng.choice([40, 56, 100]), rng.choice([0.76, 0.8, 0.8, 0.85])
+        w = [rng.choice(voc) for _ in range(n)]
+        k = round(n * (1 - share))
+        at = {int((j + 0.5) * n / k) for j in range(k)} if i % 3 else set(rng.sample(range(n), k))
+        v = [x if j not in at else "" if i % 3 == 2 and j % 2 else f"new{i}x{j}" for j, x in enumerate(w)]
+        data += [(2 * i, "train", w), (2 * i + 1, "test", [x for x in v if x])]
+    d = spark.createDataFrame([(i, s, " ".join(w)) for i, s, w in data], "row_id long, split string, text string")
+    h = [hashes(w) for _, _, w in data]
+    want = sorted((min(i, j), max(i, j)) for i in range(0, 480, 2) for j in range(1, 480, 2) if p6.common_words(h[i], h[j]) >= 0.8 * max(len(h[i]), len(h[j])))
+    assert len(want) > 150
+    assert rows(p6.cross_pairs(d)) == want
+
 def test_cross_split_large_family_and_rare_words(spark):
     """A record of a large family that shares rare words with one other record keeps its pairs with both."""
     rng = random.Random(12)

@@ -65,6 +65,10 @@ def new_token_budget(prompt_size: Column, context: int, most: int) -> Column:
 def windows(streamed: DataFrame, starts: DataFrame, size: int) -> DataFrame:
     """(sample, tokens) of windows (sample, start) over the stream; each takes its parts from the blocks it touches."""
     whole = streamed.select("offset", "tokens", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.size("tokens") - 1) / size))).alias("cell"))
+    # of each document only the part inside the cell moves
+    begin = F.greatest(F.col("offset"), F.col("cell") * size)
+    end = F.least(F.col("offset") + F.size("tokens"), (F.col("cell") + 1) * size)
+    whole = whole.select("cell", begin.alias("offset"), F.slice("tokens", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("tokens"))
     s = starts.select("sample", "start", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + size - 1) / size))).alias("cell"))
     d = s.join(whole, "cell")
     lo = F.greatest("start", F.col("cell") * size, "offset")

@@ -387,8 +387,8 @@ def random_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "eval_items").where(F.col("text").isNotNull()).select("item_id", "text")
-    return packing.stream(df, _codes(F.col("text")), 0, "item_id")
+    df = _t(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    return packing.stream(df, _codes(F.col("text")), 0, "doc_id")
 
 
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -413,8 +413,8 @@ def bpe_pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
-    """The first merges of a tokenizer trained on the evaluation items."""
-    m = tokens.train(tokens.pretoken_counts(_t(spark, d, "eval_items")), 256 + 4 + 500)
+    """The merges of a tokenizer trained on the documents."""
+    m = tokens.train(tokens.pretoken_counts(_t(spark, d, "documents")))
     return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(m)], "rank_no int, first_piece string, second_piece string")
 
 

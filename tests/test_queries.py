@@ -43,3 +43,16 @@ def test_query(spark, small, con, name):
 
 def test_no_oracle_without_query():
     assert {*oracle.SQL} <= {*plans.queries()}
+
+
+def test_windows_and_merges_are_of_the_documents(spark, small):
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import tokens
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text IS NOT NULL")
+    n = docs.agg(F.sum(F.length("text") + 1)).first()[0]
+    w = plans.random_windows(spark, small).collect()
+    assert len(w) == n // 128 and {r["n_tokens"] for r in w} == {128}
+    got = [(r["first_piece"], r["second_piece"]) for r in plans.bpe_merges(spark, small).orderBy("rank_no").collect()]
+    assert got == tokens.train(tokens.pretoken_counts(docs), tokens.VOCABULARY) and len(got) > 500

@@ -14,13 +14,14 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table
+from lexmill.llm.common import table, written
 from lexmill.llm.p1_group_splits import page_address
 
-#: A host with more rows or characters is split into shards of about so many; repetition shows in each of them.
+#: A host with more rows or characters is split into shards of about so many; runs are counted over all of them.
 SHARD, SHARD_CHARS = 4000, 8_000_000
 #: More big hosts than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST = 100_000
@@ -127,13 +128,38 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
     return np.cumsum(reach[:n]) > 0
 
 
+def run_digests(tokens: np.ndarray, names: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit digest of the run that begins at each token but the last ones; names: digest of each token."""
+    code = names[np.maximum(tokens, 0)]
+    out = np.zeros(max(0, len(code) - run + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(run):
+            out = (out ^ code[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def shard_runs(texts: list[str], pages: list[int]) -> pd.DataFrame:
+    """(run, low, high): the digest of each run of a shard, with the smallest and the largest of its pages."""
+    stream, owner, _, names = token_stream(texts, pages)
+    d = run_digests(stream, names)
+    x = pd.DataFrame({"run": d, "page": owner[: len(d)]})[inside(stream)]
+    return x.groupby("run")["page"].agg(low="min", high="max").reset_index()
+
+
+def inside(stream: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Whether the run that begins at a token ends before the page does."""
+    ends = np.concatenate([[0], np.cumsum(stream < 0)])
+    return ends[run:] == ends[: len(ends) - run]
+
+
 def blocks(text: str) -> list[str]:
     """The non-blank lines."""
     return [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
 
 
-def judge(texts: list[str], pages: list[int]) -> list[list[tuple[bool, float]]]:
-    """(is furniture, covered share) of each block of the texts of one host (or shard)."""
+def token_stream(texts: list[str], pages: list[int]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, str]]], np.ndarray]:
+    """(tokens, their pages, (from, to, block) of each text's blocks, digest of each token); a token below 0 ends a text."""
     ids: defaultdict[str, int] = defaultdict(count(1).__next__)
     line_end = 0
     stream: list[int] = []
@@ -154,9 +180,22 @@ def judge(texts: list[str], pages: list[int]) -> list[list[tuple[bool, float]]]:
         stream.append(end)  # a token that occurs once
         owner.append(page)
         where.append(spans)
+    names = np.array([1, *(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ids)], np.uint64)  # ids count from 1 in this order
+    return np.array(stream, np.int64), np.array(owner, np.int64), where, names
+
+
+def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = None) -> list[list[tuple[bool, float]]]:
+    """(is furniture, covered share) of each block of the texts of one host, or of a shard with its host's repeated runs."""
+    stream, owner, where, names = token_stream(texts, pages)
     cover = np.zeros(len(stream) + 1)
-    if stream:
-        np.cumsum(repeated(np.array(stream, np.int64), np.array(owner, np.int64)), out=cover[1:])
+    if host_runs is not None:
+        starts = np.isin(run_digests(stream, names), host_runs) & inside(stream)
+        reach = np.zeros(len(stream) + 1, np.int64)
+        reach[: len(starts)] += starts
+        reach[RUN : RUN + len(starts)] -= starts
+        cover[1:] = np.cumsum(np.cumsum(reach[:-1]) > 0)
+    elif len(stream):
+        np.cumsum(repeated(stream, owner), out=cover[1:])
     out = []
     known: dict[str, bool] = {}
     for spans in where:
@@ -184,7 +223,7 @@ def judged(df: DataFrame, shard: int = SHARD) -> DataFrame:
     Needs row_id, text, source_url, source, group_id. Blocks are the non-blank lines, numbered from 1. Null texts and
     texts of blanks have no block, null ids pass; a row without host or source is judged by itself. A host with more
     than `shard` rows (or very long ones), be it a third of all, is split into shards by row, so that one page with a
-    third of all rows is split too.
+    third of all rows is split too; its runs are counted over all shards, so the result doesn't depend on them.
     """
     address = page_address(F.col("source_url"))
     host = F.coalesce(F.nullif(F.substring_index(address, "/", 1), F.lit("")), F.concat(F.lit("source "), F.col("source")))
@@ -195,13 +234,24 @@ def judged(df: DataFrame, shard: int = SHARD) -> DataFrame:
     sized = df.join(F.broadcast(big) if big.count() <= MAX_BROADCAST else big, "host", "left")
     salt = F.pmod(F.xxhash64("row_id", "text"), F.coalesce("shards", F.lit(1)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = shard_runs(pdf["text"].tolist(), pdf["page"].tolist())
+        return out.assign(host=pdf["host"].iloc[0], salt=pdf["salt"].iloc[0])[["host", "salt", "run", "low", "high"]]
+
+    def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["row_id", "block_no", "furniture", "covered", "block"])
         pdf = pdf.sort_values(["page", "row_id"], kind="stable")
-        out = judge(pdf["text"].tolist(), pd.factorize(pdf["page"])[0].tolist())
+        out = judge(pdf["text"].tolist(), pd.factorize(pdf["page"])[0].tolist(), again["run"].to_numpy(np.int64) if pdf["shards"].iloc[0] > 1 else None)
         rows = [(i, k, f, c, b) for i, t, row in zip(pdf["row_id"], pdf["text"], out) for k, ((f, c), b) in enumerate(zip(row, blocks(t)), 1)]
         return pd.DataFrame(rows, columns=["row_id", "block_no", "furniture", "covered", "block"]).astype({"row_id": "Int64"})
 
-    return sized.select("host", salt.alias("salt"), "row_id", "page", "text").groupBy("host", "salt").applyInPandas(run, RESULT)
+    parts = sized.select("host", salt.alias("salt"), F.coalesce("shards", F.lit(1)).alias("shards"), "row_id", "page", "text")
+    found = written(parts.where("shards > 1").groupBy("host", "salt").applyInPandas(runs, "host string, salt long, run long, low long, high long"))
+    # where the smallest and the largest page differ, the run stands on two
+    again = found.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run")
+    again = found.select("host", "salt", "run").join(again, ["host", "run"])
+    return parts.groupBy("host", "salt").cogroup(again.groupBy("host", "salt")).applyInPandas(run, RESULT)
 
 
 def main_text(df: DataFrame) -> DataFrame:

@@ -143,6 +143,18 @@ def test_main_text(spark):
     assert rows(p2.judged(d, shard=1).where("furniture"), "row_id", "block_no") == [(1, 1), (1, 2), (1, 5), (4, 1)]
 
 
+def test_shards_of_a_host_count_runs_together(spark):
+    text = "Menu\nWinter Harbour Notes {}\nBack to top\n{}"
+    says = ["The tide gains about 5 metres here.", "No lens was moved.", "Ice grows on the wing."]
+    data = [(i, text.format("abc"[i // 2 % 3] * 3, says[i % 3] if i % 4 else f"Own words {'xyz'[i % 3]} only {i}"), f"https://a.example/{i // 2}", "S", None) for i in range(24)]
+    data += [(100 + i, "One page says this\nTwice over", "https://a.example/same", "S", None) for i in range(6)]
+    d = spark.createDataFrame(data, "row_id long, text string, source_url string, source string, group_id string")
+    one = rows(p2.judged(d), "row_id", "block_no", "furniture", "covered")
+    assert {(r[0], r[1]) for r in one if r[2]} == {(i, k) for i in range(24) for k in (1, 2, 3)}
+    assert any(r[3] == 0.0 for r in one)
+    for shard in (1, 3, 10):
+        assert rows(p2.judged(d, shard=shard), "row_id", "block_no", "furniture", "covered") == one
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 

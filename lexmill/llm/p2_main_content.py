@@ -1,7 +1,7 @@
 """Problem 2: the main content of web pages.
 
-Per host, the token streams of its pages are concatenated into one suffix array, in which substrings that stand on
-distinct pages are neighbours; the runs they cover are the candidates. Repetition alone can't decide here: statements
+Per host, the token streams of its pages are sorted by three tokens, and trigrams that stand on distinct pages count as
+repeated; longer substrings aren't searched for. Repetition alone can't decide here: statements
 on method, headings and copied articles repeat as much as menus do, and some furniture stands on a host once. So each
 block is judged by what it says and how it is built, with the repeated runs and its neighbours as evidence.
 """
@@ -96,7 +96,7 @@ def is_statement(block: str) -> bool:
 
 
 def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each suffix) by the first `depth` tokens; equal ranks share them. Prefix doubling."""
+    """(order, rank) of the suffixes by the first `depth` tokens; equal ranks share them. Prefix doubling."""
     n = len(tokens)
     rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while have < depth:

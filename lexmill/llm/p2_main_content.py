@@ -27,6 +27,8 @@ SHARD, SHARD_CHARS = 4000, 8_000_000
 MAX_BROADCAST = 100_000
 #: Tokens of a run that counts as repeated (line ends are tokens), and the distinct pages it must stand on.
 RUN, PAGES = 3, 2
+#: A line of at least so many words decides by itself if it stands on so many distinct pages and this share of a host's.
+LONG, MANY, SHARE_OF_PAGES = 3, 5, 0.1
 
 #: Names of site sections, as menus and path lines have them (fixed values).
 SECTIONS = (
@@ -84,9 +86,9 @@ def furniture_cue(block: str) -> bool:
     if MENU.fullmatch(line) and not (line.islower() and line.isalpha()) or CONTROL.fullmatch(line) or TEASER.fullmatch(line):
         return True
     low = line.lower()
-    if len(line) <= 400 and any(t in low for t in TRIGGERS) and (any(p.search(line) for p in SAYS) or NOTICE.search(line) and ADDRESS.search(line)):
+    if any(t in low for t in TRIGGERS) and (any(p.search(line) for p in SAYS) or NOTICE.search(line) and ADDRESS.search(line)):
         return True
-    return bool(len(line) <= 200 and PATH.fullmatch(line))
+    return bool(PATH.fullmatch(line))
 
 
 def is_statement(block: str) -> bool:
@@ -139,12 +141,36 @@ def run_digests(tokens: np.ndarray, names: np.ndarray, run: int = RUN) -> np.nda
     return out.view(np.int64)
 
 
+def line_digest(block: str) -> int | None:
+    """A digest of a line that repetition may decide on; numbers count as equal. None for cues, statements and short lines."""
+    if len(block.split()) < LONG or is_statement(block) or furniture_cue(block):
+        return None
+    return xxhash.xxh64_intdigest(" ".join(TOKEN.findall(NUMBER.sub("0", block.lower()))).encode("utf-8", "surrogatepass")) - (1 << 63) or 1
+
+
+def line_pages(texts: list[str], pages: list[int]) -> dict[int, set[int]]:
+    """The distinct pages of each line that repetition may decide on; 0 has all pages."""
+    out: defaultdict[int, set[int]] = defaultdict(set)
+    known: dict[str, int | None] = {}
+    for text, page in zip(texts, pages):
+        out[0].add(page)
+        for b in blocks(text):
+            if b not in known:
+                known[b] = line_digest(b)
+            if known[b] is not None:
+                out[known[b]].add(page)
+    return out
+
+
 def shard_runs(texts: list[str], pages: list[int]) -> pd.DataFrame:
-    """(run, low, high): the digest of each run of a shard, with the smallest and the largest of its pages."""
+    """(run, low, high, line): the digest of each run of a shard, with the smallest and the largest of its pages; of each
+    line that repetition may decide on, one row per page."""
     stream, owner, _, names = token_stream(texts, pages)
     d = run_digests(stream, names)
     x = pd.DataFrame({"run": d, "page": owner[: len(d)]})[inside(stream)]
-    return x.groupby("run")["page"].agg(low="min", high="max").reset_index()
+    x = x.groupby("run")["page"].agg(low="min", high="max").reset_index().assign(line=False)
+    rows = [(d, p, p, True) for d, at in line_pages(texts, pages).items() for p in at]
+    return pd.concat([x, pd.DataFrame(rows, columns=["run", "low", "high", "line"])])
 
 
 def inside(stream: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -184,7 +210,7 @@ def token_stream(texts: list[str], pages: list[int]) -> tuple[np.ndarray, np.nda
     return np.array(stream, np.int64), np.array(owner, np.int64), where, names
 
 
-def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = None) -> list[list[tuple[bool, float]]]:
+def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = None, host_lines: set[int] | None = None) -> list[list[tuple[bool, float]]]:
     """(is furniture, covered share) of each block of the texts of one host, or of a shard with its host's repeated runs."""
     stream, owner, where, names = token_stream(texts, pages)
     cover = np.zeros(len(stream) + 1)
@@ -196,6 +222,9 @@ def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = Non
         cover[1:] = np.cumsum(np.cumsum(reach[:-1]) > 0)
     elif len(stream):
         np.cumsum(repeated(stream, owner), out=cover[1:])
+    if host_lines is None:
+        at = line_pages(texts, pages)
+        host_lines = {d for d, x in at.items() if len(x) >= max(MANY, SHARE_OF_PAGES * len(at[0]))} - {0}
     out = []
     known: dict[str, bool] = {}
     for spans in where:
@@ -203,7 +232,7 @@ def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = Non
         for a, b, block in spans:
             cue = known.get(block)
             if cue is None:
-                cue = known[block] = furniture_cue(block)
+                cue = known[block] = furniture_cue(block) or bool(host_lines) and line_digest(block) in host_lines
             row.append((cue, float(cover[b] - cover[a]) / (b - a)))
         # a short line wholly covered by runs of other pages, between two pieces of furniture, belongs to them
         flags = [f for f, _ in row]
@@ -236,21 +265,25 @@ def judged(df: DataFrame, shard: int = SHARD) -> DataFrame:
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = shard_runs(pdf["text"].tolist(), pdf["page"].tolist())
-        return out.assign(host=pdf["host"].iloc[0], salt=pdf["salt"].iloc[0])[["host", "salt", "run", "low", "high"]]
+        return out.assign(host=pdf["host"].iloc[0], salt=pdf["salt"].iloc[0])[["host", "salt", "run", "low", "high", "line"]]
 
     def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["row_id", "block_no", "furniture", "covered", "block"])
         pdf = pdf.sort_values(["page", "row_id"], kind="stable")
-        out = judge(pdf["text"].tolist(), pd.factorize(pdf["page"])[0].tolist(), again["run"].to_numpy(np.int64) if pdf["shards"].iloc[0] > 1 else None)
+        shared = (again.loc[~again["line"].astype(bool), "run"].to_numpy(np.int64), {*again.loc[again["line"].astype(bool), "run"]}) if pdf["shards"].iloc[0] > 1 else ()
+        out = judge(pdf["text"].tolist(), pd.factorize(pdf["page"])[0].tolist(), *shared)
         rows = [(i, k, f, c, b) for i, t, row in zip(pdf["row_id"], pdf["text"], out) for k, ((f, c), b) in enumerate(zip(row, blocks(t)), 1)]
         return pd.DataFrame(rows, columns=["row_id", "block_no", "furniture", "covered", "block"]).astype({"row_id": "Int64"})
 
     parts = sized.select("host", salt.alias("salt"), F.coalesce("shards", F.lit(1)).alias("shards"), "row_id", "page", "text")
-    found = written(parts.where("shards > 1").groupBy("host", "salt").applyInPandas(runs, "host string, salt long, run long, low long, high long"))
+    found = written(parts.where("shards > 1").groupBy("host", "salt").applyInPandas(runs, "host string, salt long, run long, low long, high long, line boolean"))
     # where the smallest and the largest page differ, the run stands on two
-    again = found.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run")
-    again = found.select("host", "salt", "run").join(again, ["host", "run"])
+    again = found.where("NOT line").groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run", F.lit(False).alias("line"))
+    lines = found.where("line").groupBy("host", "run").agg(F.count_distinct("low").alias("n"))
+    lines = lines.where("run <> 0").join(lines.where("run = 0").select("host", F.col("n").alias("all")), "host").where(F.col("n") >= F.greatest(F.lit(MANY), F.col("all") * SHARE_OF_PAGES))
+    again = again.unionByName(lines.select("host", "run", F.lit(True).alias("line")))
+    again = found.select("host", "salt", "run", "line").distinct().join(again, ["host", "run", "line"])
     return parts.groupBy("host", "salt").cogroup(again.groupBy("host", "salt")).applyInPandas(run, RESULT)
 
 

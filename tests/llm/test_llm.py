@@ -155,6 +155,15 @@ def test_shards_of_a_host_count_runs_together(spark):
     for shard in (1, 3, 10):
         assert rows(p2.judged(d, shard=shard), "row_id", "block_no", "furniture", "covered") == one
 
+def test_lines_on_many_pages_are_furniture_in_any_wording(spark):
+    text = "Nordic Weather Desk Overview\nResults of the day\nThe tide gains about {} metres here.\n{}"
+    data = [(i, text.format(i, "Beyond that point" if i < 4 else f"A heading {'abcdefghijklmnopqrstuvwxyz'[i]} alone"), f"https://a.example/{i}", "S", None) for i in range(24)]
+    data += [(100 + i, "Own line of words", "https://a.example/same", "S", None) for i in range(8)]
+    d = spark.createDataFrame(data, "row_id long, text string, source_url string, source string, group_id string")
+    for shard in (4000, 5):
+        assert rows(p2.judged(d, shard=shard).where("furniture"), "row_id", "block_no") == [(i, k) for i in range(24) for k in (1, 2)]
+    assert p2.furniture_cue("© 2020 " + "A very long name of a site " * 20 + "All rights reserved.")
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,8 @@ class Item:
         # half of the item, even in two stretches, holds two more pieces of this length than the errors can hit
         size = int(half // (errors + 4))
         self.size, self.need = (size, 2) if size >= self.run else (self.run, 1)
+        # runs that two held stretches keep at least: each stretch loses those over its edge, each error those it lies in
+        self.least = int(HELD * n) - 2 * (self.run - 1) - self.run * int(errors)
 
     def pieces(self, common: Counter) -> Iterator[tuple[str, int]]:
         """The pieces and where they begin in the joined item; a short item is one piece.
@@ -152,14 +154,17 @@ class Index:
         known: dict[int, tuple[list[int], list[int]]] = {}  # by length of run: where runs of any item stand, and which
 
         def similar(k: int, lo: int, hi: int) -> bool:
-            """Whether the window has a quarter of the item's runs: less can't hold half of it."""
-            run = self.items[k].run
+            """Whether the window has as many of the item's runs as a held half keeps; repeated runs count once in either."""
+            run, item = self.items[k].run, self.items[k]
+            least = item.least - (len(item.words) - run + 1 - len(self.runs[k]))
+            if least <= 0:
+                return True
             if run not in known:
                 at = [(i, g) for i, g in enumerate(map(self.number.get, grams(w, run))) if g is not None]
                 known[run] = [i for i, _ in at], [g for _, g in at]
             where, which = known[run]
             part = which[bisect_left(where, lo) : bisect_left(where, hi)]
-            return len(self.runs[k].intersection(part)) >= 0.25 * len(self.runs[k])
+            return len(self.runs[k].intersection(part)) >= least
 
         for k, found in hits.items():
             item = self.items[k]

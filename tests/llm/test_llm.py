@@ -421,6 +421,14 @@ def test_leaks(spark):
     assert p9.leaks(df.limit(0), it).count() == 0 and p9.leaks(df, it.limit(0)).count() == 0
 
 
+def test_short_item_in_two_stretches():
+    item = [f"w{i}" for i in range(20)]
+    found = p9.Index([(1, " ".join(item))])
+    text = [*item[:5], *(f"x{i}" for i in range(6)), *item[10:12], "y", *item[13:15]]
+    assert [i for i, _ in found.leaks(" ".join(text))] == [1]
+    assert found.leaks(" ".join(item[:5] + ["x"] * 9)) == []
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 SENT = {

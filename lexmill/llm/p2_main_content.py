@@ -1,34 +1,31 @@
 """Problem 2: the main content of web pages.
 
-Per host, the token streams of its pages are sorted by three tokens, and trigrams that stand on distinct pages count as
-repeated; longer substrings aren't searched for. Repetition alone can't decide here: statements
-on method, headings and copied articles repeat as much as menus do, and some furniture stands on a host once. So each
-block is judged by what it says and how it is built, with the repeated runs and its neighbours as evidence.
+The token streams of a host's pages are joined and their suffixes sorted (prefix doubling); neighbours that share a
+long run show the substrings that stand on many distinct pages. A block that such runs cover is boilerplate, in any
+language and wording, unless it is built like a statement, a heading or a `label: value` list: those repeat inside
+articles as often as menus do. There, and for blocks that stand on too few pages to be told by repetition, what a block
+says decides.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import table, written
 from lexmill.llm.p1_group_splits import page_address
 
-#: A host with more rows or characters is split into shards of about so many; runs are counted over all of them.
-SHARD, SHARD_CHARS = 4000, 8_000_000
+#: A host with more rows or characters is split into shards of about so many, page by page; runs are counted over all of them.
+SHARD, SHARD_CHARS = 20_000, 8_000_000
 #: More big hosts than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST = 100_000
-#: Tokens of a run that counts as repeated (line ends are tokens), and the distinct pages it must stand on.
-RUN, PAGES = 3, 2
-#: A line of at least so many words decides by itself if it stands on so many distinct pages and this share of a host's.
-LONG, MANY, SHARE_OF_PAGES = 3, 5, 0.1
+#: Least tokens of a run (marks and line ends are tokens), and the distinct pages it must stand on: so many, and this share of its host's.
+RUN, PAGES, SHARE_OF_PAGES = 6, 3, 0.002
 
 #: Names of site sections, as menus and path lines have them (fixed values).
 SECTIONS = (
@@ -55,250 +52,409 @@ CONTROL = re.compile(r"""(?ix)\W*(?:
 #: Words of notices; a notice also speaks of the reader or the site, which articles on such matters don't.
 NOTICE = re.compile(r"(?i)\bcookies?\b|\bprivacy (?:settings|notice|policy)|\bsmall files\b|\bstaying on this (?:page|site)\b")
 ADDRESS = re.compile(r"(?i)\b(?:we|our|us|you|your|this site|accept all|agree and|ok, got it)\b")
-LEGAL = re.compile(r"""(?ix) ^\W*(?:©|\(c\)|copyright\b)|\ball\ rights\ reserved\b|\bunless\ otherwise\ (?:stated|noted)\b.{0,60}\b(?:privacy|terms|legal)\b
-  | \bterms\ of\ use\s*(?:[·|•/–-]|$) | [|·•/]\s*(?:imprint|legal|privacy|terms|accessibility)\W*$ | [/|·]\s*site\ ?map\W*$ | \bcontact\ the\ web\ desk\b""")
-SHARE = re.compile(r"""(?ix) ^\W*(?:share|tweet|print|e-?mail|post)\b(?=.{0,60}$)(?:\W+\w+)*?\W+(?:mail|e-?mail|pin|link|embed|friend|print|save|facebook|copy)\b
-  | ^\W*(?:like\ this\?|pass\ it\ on|follow\ (?:us|the\ \w+|.{1,40}\ on\ (?:our|social))) | ^\W*share\ this\b""")
-SIGN_UP = re.compile(r"""(?ix) ^\W*(?:sign\ up|subscribe|register)\b | \bmailing\ list\b | \bin\ your\ inbox\b | \benter\ your\ e-?mail\b | ^\W*never\ miss\b | \b(?:weekly|daily|monthly)\ (?:letter|newsletter)\b
-  | ^\W*support\ .{1,80}\ with\ (?:a|your)\b.{0,30}\b(?:gift|donation)\b | ^\W*donate\b""")
-REACTION = re.compile(r"""(?ix) ^\W*comments?\s*\(\s*\d+\s*\) | ^\W*\d+\ comments?\b | \bsign\ in\ to\ (?:reply|comment) | ^\W*leave\ a\ (?:comment|reply) | \bfound\ this\ (?:page|article)\ (?:help|use)ful\b""")
-READING = re.compile(r"""(?ix) \breading\ time\b | ^\W*\d+\ (?:min|mins|minutes?)\ read\b | ^\W*\d+\ views?\b | ^\W*(?:posted|updated|published)\ (?:on\ )?\d""")
+#: What opens a notice, a control or a line about the page.
+OPENS = re.compile(r"""(?ix)\W*(?:
+    ©|\(c\)|copyright\b
+  | (?:share|tweet|print|e-?mail|post)\b(?=.{0,60}$)(?:\W+\w+)*?\W+(?:mail|e-?mail|pin|link|embed|friend|print|save|facebook|copy)\b | share\ this\b
+  | like\ this\?|pass\ it\ on|follow\ (?:us|the\ \w+|.{1,40}\ on\ (?:our|social))
+  | (?:sign\ up|subscribe|register)\b | never\ miss\b | support\ .{1,80}\ with\ (?:a|your)\b.{0,30}\b(?:gift|donation)\b | donate\b
+  | comments?\s*\(\s*\d+\s*\) | \d+\ comments?\b | leave\ a\ (?:comment|reply)
+  | \d+\ (?:min|mins|minutes?)\ read\b | \d+\ views?\b | (?:posted|updated|published)\ (?:on\ )?\d )""")
+#: What such a line holds anywhere.
+HOLDS = re.compile(r"""(?ix) \ball\ rights\ reserved\b|\bunless\ otherwise\ (?:stated|noted)\b.{0,60}\b(?:privacy|terms|legal)\b
+  | \bterms\ of\ use\s*(?:[·|•/–-]|$) | [|·•/]\s*(?:imprint|legal|privacy|terms|accessibility)\W*$ | [/|·]\s*site\ ?map\W*$ | \bcontact\ the\ web\ desk\b
+  | \bmailing\ list\b | \bin\ your\ inbox\b | \benter\ your\ e-?mail\b | \b(?:weekly|daily|monthly)\ (?:letter|newsletter)\b
+  | \bsign\ in\ to\ (?:reply|comment) | \bfound\ this\ (?:page|article)\ (?:help|use)ful\b | \breading\ time\b""")
 #: Titles of other pages.
 TEASER = re.compile(r"""(?ix)\W*(?:
     how\ the\ .+\ meets?\ the\ .+ | (?:three|four|five|six|seven|ten|\d+)\ (?:facts|things|reasons|ways|questions)\ (?:about|to|why|on)\ .+ | a\ day\ with\ .+ | (?:video|podcast|gallery|photos|audio)\s*:\ .+
   | what\ an?\ .+\ can\ teach\ us\ about\ .+ | next:\ .+ | see\ also:\ .+ | related\ terms?:\ .+ | downloads?\ for\ .+
   | the\ .+\ season\ opens\ .+,\ and\ visitors\ can\ .+ )""")
-NUMBER = re.compile(r"\d+")
 LABELLED = re.compile(r"^\W*[^\W\d][^\d:：]{0,40}[:：]\s*\S")
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-SAYS = (LEGAL, SHARE, SIGN_UP, REACTION, READING)
-#: Without one of these strings none of the patterns above can match: most blocks need no more than this test.
+SENTENCE = re.compile(r"[.?!;…。！？；][\"'”’)\]」』）】》]*$")
+LINE_BREAK = re.compile(r"\r\n|\r|\n")
+#: Without one of these strings HOLDS and NOTICE can't match: most blocks need no more than a walk through their automaton.
 TRIGGERS = (
-    "©", "(c)", "copyright", "rights reserved", "otherwise", "terms", "imprint", "legal", "privacy", "accessibility", "site map", "sitemap", "web desk", "share", "tweet", "print", "mail",
-    "post", "pass it on", "follow", "like this?", "sign ", "subscribe", "register", "inbox", "never miss", "letter", "gift", "donat", "comment", "found this", "reading time", " read",
-    "view", "updated", "published", "cookie", "small files", "staying on",
+    "rights reserved", "otherwise", "terms", "imprint", "legal", "privacy", "accessibility", "site map", "sitemap", "web desk", "mailing list", "inbox", "enter your e", "letter",
+    "sign in to", "found this", "reading time", "cookie", "small files", "staying on",
 )
+#: Blocks whose reading a worker keeps, at most, and the longest of them; others are read again.
+KNOWN, KNOWN_LENGTH = 200_000, 300
 
 
-def furniture_cue(block: str) -> bool:
-    """Whether a block, by itself, reads as page furniture."""
-    line = " ".join(block.split())
-    if MENU.fullmatch(line) and not (line.islower() and line.isalpha()) or CONTROL.fullmatch(line) or TEASER.fullmatch(line):
-        return True
-    low = line.lower()
-    if any(t in low for t in TRIGGERS) and (any(p.search(line) for p in SAYS) or NOTICE.search(line) and ADDRESS.search(line)):
-        return True
-    return bool(PATH.fullmatch(line))
+class Reader:
+    """Reads blocks by themselves: whether one is page furniture by what it says and how it is built."""
+
+    def __init__(self) -> None:
+        import ahocorasick
+
+        self.known: dict[str, bool] = {}
+        self.triggers = ahocorasick.Automaton()
+        for t in TRIGGERS:
+            self.triggers.add_word(t, True)
+        self.triggers.make_automaton()
+
+    def __call__(self, block: str) -> bool:
+        out = self.known.get(block)
+        if out is None:
+            out = self.reads(block)
+            if len(block) <= KNOWN_LENGTH and len(self.known) < KNOWN:
+                self.known[block] = out
+        return out
+
+    def reads(self, block: str) -> bool:
+        line = " ".join(block.split())
+        if MENU.fullmatch(line) and not (line.islower() and line.isalpha()) or CONTROL.fullmatch(line) or TEASER.fullmatch(line) or OPENS.match(line):
+            return True
+        if next(self.triggers.iter(line.lower()), None) and (HOLDS.search(line) or NOTICE.search(line) and ADDRESS.search(line)):
+            return True
+        return bool(PATH.fullmatch(line))
+
+
+def is_fragment(line: str) -> bool:
+    """The rest of a sentence, not an item of a menu: a single word in lower case or of up to three letters, or what ends in a comma."""
+    return line.islower() and line.isalpha() or line[-1:] in ",，、" or " " not in line and sum(map(str.isalpha, line)) <= 3
 
 
 def is_statement(block: str) -> bool:
-    """Whether a block is a sentence, a `label: value` list or a heading inside an article."""
+    """Whether a block is a sentence, a `label: value` list, a heading inside an article or a rest of one of these."""
     line = block.strip()
-    return line.lower().strip(" .:#*") in HEADINGS or bool(re.search(r"[.?!;…][\"'”’)\]]*$", line)) and line.count(" ") >= 3 or bool(LABELLED.match(line))
+    sentence = bool(SENTENCE.search(line)) and (line.count(" ") >= 3 or line[-1] in "。！？；" and len(line) >= 8)
+    return line.lower().strip(" .:#*") in HEADINGS or sentence or bool(LABELLED.match(line)) or is_fragment(line)
+
+
+def blocks(text: str) -> list[str]:
+    """The non-blank lines."""
+    return [x for x in LINE_BREAK.split(text) if x.strip()]
+
 
+# --- streams --------------------------------------------------------------------------------------------------------
 
-def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes by the first `depth` tokens; equal ranks share them. Prefix doubling."""
-    n = len(tokens)
-    rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+#: Kinds of characters; code points from BMP on count as letters.
+BLANK, LETTER, DIGIT, MARK, BREAK = range(5)
+BMP = 0x10000
+#: Digests of a number (all are equal) and of a line end, and the factors of the digests (fixed odd numbers).
+NUMBER, LINE = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Characters that are handled as arrays at once.
+AT_ONCE = 1_000_000
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, FACTOR, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _digests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each run values[start:end]; the runs cover the values."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        place = np.arange(len(values)) - np.repeat(starts, size)
+        out = np.add.reduceat((values + FACTOR) * _powers(int(size.max()))[place], starts)
+        out = (out ^ (out >> np.uint64(31))) * MIX
+    return out ^ (out >> np.uint64(29))
+
+
+class Streams:
+    """Texts as streams of token digests: letters (case ignored), numbers, single marks, a line end before each block and after the last."""
+
+    def __init__(self) -> None:
+        kind, low = np.full(BMP, MARK, np.uint8), np.arange(BMP, dtype=np.uint32)
+        for o in range(BMP):
+            c = chr(o)
+            if c.isspace():
+                kind[o] = BLANK
+            elif c.isdigit():
+                kind[o] = DIGIT
+            elif c.isalpha():
+                kind[o] = LETTER
+                if len(c.lower()) == 1:
+                    low[o] = ord(c.lower())
+        kind[[10, 13]] = BREAK
+        self.kind, self.low = kind, low
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(tokens, length of each text's stream, place of each block's line end, blocks per text, digest of each block)."""
+        parts, some, size, at = [], [], 0, 0
+        for k, t in enumerate(texts):
+            some.append(t)
+            size += len(t)
+            if size > AT_ONCE or k + 1 == len(texts):
+                tokens, length, begin, per_text, line = self._of(some)
+                parts.append((tokens, length, begin + at, per_text, line))
+                some, size, at = [], 0, at + len(tokens)
+        return tuple(map(np.concatenate, zip(*parts)))
+
+    def _of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        code = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        text_end = np.cumsum([len(t) + 1 for t in texts])  # after the line break that was put there
+        bmp = np.minimum(code, BMP - 1)
+        kind = np.where(code < BMP, self.kind[bmp], LETTER)
+        value = np.where(code < BMP, self.low[bmp], code).astype(np.uint64)
+        solid = (kind != BLANK) & (kind != BREAK)
+        begins = solid & ((kind != np.concatenate([[BLANK], kind[:-1]])) | (kind == MARK))
+        inside = np.flatnonzero(solid)
+        starts = np.flatnonzero(begins[inside])
+        word = _digests(value[inside], starts, np.append(starts[1:], len(inside)))
+        at_char = inside[starts]
+        word[kind[at_char] == DIGIT] = NUMBER
+        # blocks: lines with a token
+        line_no = np.cumsum(kind == BREAK)[at_char]
+        new = np.flatnonzero(np.concatenate([[True], line_no[1:] != line_no[:-1]])) if len(line_no) else np.zeros(0, np.int64)
+        block_of = np.zeros(len(word), np.int64)
+        block_of[new[1:]] = 1
+        block_of = np.cumsum(block_of)
+        text_of = np.searchsorted(text_end, at_char, side="right")
+        line = _digests(word, new, np.append(new[1:], len(word)))
+        per_text = np.bincount(text_of[new], minlength=len(texts))
+        stream = np.full(len(word) + len(new) + len(texts), LINE, np.uint64)
+        stream[np.arange(len(word)) + block_of + 1 + text_of] = word
+        return stream, np.bincount(text_of, minlength=len(texts)) + per_text + 1, new + np.arange(len(new)) + text_of[new], per_text, line
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): the stable order of the keys, and the rank of each; equal keys share one."""
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order].view(np.int64)) != 0]))[: len(key)]
+    return order, rank
+
+
+def _pages_of(order: np.ndarray, rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The distinct pages of each rank; in the order equal ranks lie together, and their pages rise."""
+    r, p = rank[order], page[order]
+    new = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])[: len(r)]
+    return np.bincount(r[new])
+
+
+def suffix_array(tokens: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of the suffixes by their first `depth` tokens, equal ones in the order of their places; prefix doubling.
+
+    stop: where the text of each token ends; no suffix reaches over it.
+    """
+    n, place = len(tokens), np.arange(len(tokens))
+    order, rank = _ranked(tokens)
+    have = 1
     while have < depth:
         step = min(have, depth - have)
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        after[place + step >= stop] = 0
+        order, rank = _ranked(rank * (n + 2) + after)
         have += step
-    return np.argsort(rank, kind="stable"), rank
+    return order, rank
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Which tokens lie in a run of at least `run` tokens that stands on `pages` distinct pages.
+def runs(tokens: np.ndarray, stop: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, rank, pages): where a run of `run` tokens begins that lies inside its text, the rank of each, the distinct pages of each rank.
 
-    A run doesn't reach over the end of a page: there stand tokens that occur once.
+    Every substring of at least `run` tokens that stands on some number of pages is the union of its runs of `run`
+    tokens, which stand on as many pages at least; and each of these is such a substring itself. So what they cover is
+    what all repeated substrings cover, and the suffixes need no order beyond that depth. page must rise.
     """
-    n = len(tokens)
-    if n < run:
-        return np.zeros(n, bool)
-    order, rank = suffix_order(tokens, run)
-    r, p = rank[order], page[order]
-    both = np.unique(r * (int(page.max()) + 1) + p)  # distinct (rank, page)
-    count = np.bincount((both // (int(page.max()) + 1)).astype(np.int64), minlength=int(r.max()) + 1)
-    starts = count[rank] >= pages
-    starts[n - run + 1 :] = False
-    reach = np.zeros(n + 1, np.int64)
-    reach[:n] += starts
-    reach[run:] -= starts[: n - run + 1]
-    return np.cumsum(reach[:n]) > 0
-
-
-def run_digests(tokens: np.ndarray, names: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A 64-bit digest of the run that begins at each token but the last ones; names: digest of each token."""
-    code = names[np.maximum(tokens, 0)]
-    out = np.zeros(max(0, len(code) - run + 1), np.uint64)
+    starts = np.flatnonzero(np.arange(len(tokens)) + run <= stop)
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.int64)
+    order, rank = suffix_array(tokens, stop, run)
+    inside = np.zeros(len(tokens), bool)
+    inside[starts] = True
+    order = order[inside[order]]
+    return starts, rank[starts], _pages_of(order, rank, page)
+
+
+def covered(n: int, starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which of n tokens lie in a run that begins at one of the starts."""
+    reach = np.zeros(n + run, np.int64)
+    reach[starts] += 1
+    reach[starts + run] -= 1
+    return np.cumsum(reach)[:n] > 0
+
+
+def run_digests(tokens: np.ndarray, starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit digest of the run that begins at each of the starts."""
+    out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(run):
-            out = (out ^ code[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ tokens[starts + k]) * FACTOR
             out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
-def line_digest(block: str) -> int | None:
-    """A digest of a line that repetition may decide on; numbers count as equal. None for cues, statements and short lines."""
-    if len(block.split()) < LONG or is_statement(block) or furniture_cue(block):
-        return None
-    return xxhash.xxh64_intdigest(" ".join(TOKEN.findall(NUMBER.sub("0", block.lower()))).encode("utf-8", "surrogatepass")) - (1 << 63) or 1
+def least_pages(n: int) -> int:
+    """The distinct pages of a host of n pages that a run or line must stand on."""
+    return max(PAGES, -int(-n * SHARE_OF_PAGES // 1))
 
 
-def line_pages(texts: list[str], pages: list[int]) -> dict[int, set[int]]:
-    """The distinct pages of each line that repetition may decide on; 0 has all pages."""
-    out: defaultdict[int, set[int]] = defaultdict(set)
-    known: dict[str, int | None] = {}
-    for text, page in zip(texts, pages):
-        out[0].add(page)
-        for b in blocks(text):
-            if b not in known:
-                known[b] = line_digest(b)
-            if known[b] is not None:
-                out[known[b]].add(page)
-    return out
+class Host:
+    """The texts of a host, or of one of its shards, page by page."""
 
+    def __init__(self, streams: Streams, texts: list[str], page: np.ndarray):
+        """page: the page of each text, numbered so that it rises."""
+        self.tokens, length, self.at, self.per_text, line = streams.of(texts)
+        self.line = line.view(np.int64)
+        stop = np.cumsum(length)
+        self.stop, self.page = np.repeat(stop, length), np.repeat(page, length)
+        # of each block, with the line end that closes it: the next block's, or at a text's end its own
+        self.end = np.minimum(np.append(self.at[1:], len(self.tokens)) + 1, np.repeat(stop, self.per_text))
+        self.block_page = np.repeat(page, self.per_text)
 
-def shard_runs(texts: list[str], pages: list[int]) -> pd.DataFrame:
-    """(run, low, high, line): the digest of each run of a shard, with the smallest and the largest of its pages; of each
-    line that repetition may decide on, one row per page."""
-    stream, owner, _, names = token_stream(texts, pages)
-    d = run_digests(stream, names)
-    x = pd.DataFrame({"run": d, "page": owner[: len(d)]})[inside(stream)]
-    x = x.groupby("run")["page"].agg(low="min", high="max").reset_index().assign(line=False)
-    rows = [(d, p, p, True) for d, at in line_pages(texts, pages).items() for p in at]
-    return pd.concat([x, pd.DataFrame(rows, columns=["run", "low", "high", "line"])])
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return runs(self.tokens, self.stop, self.page)
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of each block, distinct pages of each rank)."""
+        order, rank = _ranked(self.line)
+        return rank, _pages_of(order, rank, self.block_page)
 
-def inside(stream: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Whether the run that begins at a token ends before the page does."""
-    ends = np.concatenate([[0], np.cumsum(stream < 0)])
-    return ends[run:] == ends[: len(ends) - run]
+    def cover(self, starts: np.ndarray) -> np.ndarray:
+        """The covered share of each block's tokens, with the line ends on both sides."""
+        upto = np.concatenate([[0], np.cumsum(covered(len(self.tokens), starts))])
+        return (upto[self.end] - upto[self.at]) / np.maximum(self.end - self.at, 1)
 
 
-def blocks(text: str) -> list[str]:
-    """The non-blank lines."""
-    return [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
-
-
-def token_stream(texts: list[str], pages: list[int]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, str]]], np.ndarray]:
-    """(tokens, their pages, (from, to, block) of each text's blocks, digest of each token); a token below 0 ends a text."""
-    ids: defaultdict[str, int] = defaultdict(count(1).__next__)
-    line_end = 0
-    stream: list[int] = []
-    owner: list[int] = []
-    where: list[list[tuple[int, int, str]]] = []
-    end = 0
-    for text, page in zip(texts, pages):
-        spans = []
-        for b in blocks(text):
-            t = TOKEN.findall(NUMBER.sub("0", b.lower()))
-            at = len(stream)
-            stream.append(line_end)
-            stream += map(ids.__getitem__, t)
-            stream.append(line_end)
-            spans.append((at, len(stream), b))
-            owner += [page] * (len(t) + 2)
-        end -= 1
-        stream.append(end)  # a token that occurs once
-        owner.append(page)
-        where.append(spans)
-    names = np.array([1, *(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ids)], np.uint64)  # ids count from 1 in this order
-    return np.array(stream, np.int64), np.array(owner, np.int64), where, names
-
-
-def judge(texts: list[str], pages: list[int], host_runs: np.ndarray | None = None, host_lines: set[int] | None = None) -> list[list[tuple[bool, float]]]:
-    """(is furniture, covered share) of each block of the texts of one host, or of a shard with its host's repeated runs."""
-    stream, owner, where, names = token_stream(texts, pages)
-    cover = np.zeros(len(stream) + 1)
-    if host_runs is not None:
-        starts = np.isin(run_digests(stream, names), host_runs) & inside(stream)
-        reach = np.zeros(len(stream) + 1, np.int64)
-        reach[: len(starts)] += starts
-        reach[RUN : RUN + len(starts)] -= starts
-        cover[1:] = np.cumsum(np.cumsum(reach[:-1]) > 0)
-    elif len(stream):
-        np.cumsum(repeated(stream, owner), out=cover[1:])
-    if host_lines is None:
-        at = line_pages(texts, pages)
-        host_lines = {d for d, x in at.items() if len(x) >= max(MANY, SHARE_OF_PAGES * len(at[0]))} - {0}
-    out = []
-    known: dict[str, bool] = {}
-    for spans in where:
-        row = []
-        for a, b, block in spans:
-            cue = known.get(block)
-            if cue is None:
-                cue = known[block] = furniture_cue(block) or bool(host_lines) and line_digest(block) in host_lines
-            row.append((cue, float(cover[b] - cover[a]) / (b - a)))
-        # a short line wholly covered by runs of other pages, between two pieces of furniture, belongs to them
-        flags = [f for f, _ in row]
-        for i, (f, c) in enumerate(row):
-            if not f and c == 1.0 and 0 < i < len(row) - 1 and flags[i - 1] and flags[i + 1] and len(spans[i][2].split()) <= 12 and not is_statement(spans[i][2]):
-                row[i] = (True, c)
-        out.append(row)
-    return out
+def judge(host: Host, texts: list[str], reader: Reader, many_runs: np.ndarray, many_lines: np.ndarray) -> Iterator[tuple[list[str], list[bool], np.ndarray]]:
+    """(blocks, is furniture, covered share) of each text.
+
+    many_runs: where a run begins that stands on many pages; many_lines: whether each block as a whole does. A block
+    that does, or that such runs cover wholly, is furniture unless it is built like a statement; a statement is if it
+    reads so, as is a block that doesn't repeat.
+    """
+    share = host.cover(many_runs)
+    repeated = many_lines | (share >= 1.0)
+    k = 0
+    for text, n in zip(texts, host.per_text):
+        b = blocks(text)
+        yield b, [reader(x) or bool(r) and not is_statement(x) for x, r in zip(b, repeated[k : k + n])], share[k : k + n]
+        k += n
+
 
+def shard_counts(host: Host, wide: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """(line, digest, page, n): of each run and each block of a shard the distinct pages that lie in it whole (page null), and
+    a row for each page that other shards hold parts of.
 
+    wide: whether each page is such a one; names: the pages' names.
+    """
+    starts, rank, _ = host.runs()
+    digest = run_digests(host.tokens, starts)
+    parts = []
+    for line, d, p in ((False, digest, host.page[starts]), (True, host.line, host.block_page)):
+        x = pd.DataFrame({"digest": d, "p": p}).drop_duplicates()
+        whole = x[~wide[x["p"]]].groupby("digest").size().rename("n").reset_index().assign(page=pd.NA)
+        apart = x[wide[x["p"]]]
+        parts += [whole.assign(line=line), pd.DataFrame({"digest": apart["digest"], "page": names[apart["p"]], "n": 1, "line": line})]
+    out = pd.concat([x for x in parts if len(x)] or parts[:1])
+    return out.astype({"page": "Int64", "n": "Int64"})
+
+
+FOUND = "row_id long, block_no int"
 RESULT = "row_id long, block_no int, furniture boolean, covered double, block string"
+MAIN = "row_id long, main string"
 
 
-def judged(df: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(row_id, block_no, furniture, covered, block) of every block of every text.
+def _parts(df: DataFrame, shard: int) -> DataFrame:
+    """(host, salt, shards, pages, wide, row_id, page, text): the texts with their host and shard.
 
-    Needs row_id, text, source_url, source, group_id. Blocks are the non-blank lines, numbered from 1. Null texts and
-    texts of blanks have no block, null ids pass; a row without host or source is judged by itself. A host with more
-    than `shard` rows (or very long ones), be it a third of all, is split into shards by row, so that one page with a
-    third of all rows is split too; its runs are counted over all shards, so the result doesn't depend on them.
+    A page lies in one shard, unless it has more rows than a shard should (wide): then its rows are dealt one by one.
     """
     address = page_address(F.col("source_url"))
     host = F.coalesce(F.nullif(F.substring_index(address, "/", 1), F.lit("")), F.concat(F.lit("source "), F.col("source")))
     page = F.coalesce(F.xxhash64(address), F.xxhash64(F.lit("g"), F.col("group_id")), F.xxhash64(F.lit("r"), F.col("row_id")))
     df = df.where(F.col("text").isNotNull()).select(F.col("row_id").cast("long").alias("row_id"), "text", page.alias("page"), F.coalesce(host, F.concat(F.lit("row "), F.col("row_id").cast("string")), F.lit("")).alias("host"))
-    sizes = df.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / shard, F.sum(F.length("text")) / SHARD_CHARS)).alias("shards"))
-    big = sizes.where(F.col("shards") > 1).cache()
-    sized = df.join(F.broadcast(big) if big.count() <= MAX_BROADCAST else big, "host", "left")
-    salt = F.pmod(F.xxhash64("row_id", "text"), F.coalesce("shards", F.lit(1)))
+    each = df.groupBy("host", "page").agg(F.count("*").alias("k"), F.sum(F.length("text")).alias("c"))
+    sizes = each.groupBy("host").agg(F.ceil(F.greatest(F.sum("k") / shard, F.sum("c") / SHARD_CHARS)).alias("shards"), F.count("*").alias("pages"))
+    big = written(sizes.where("shards > 1"))
+    wide = written(each.where((F.col("k") > shard) | (F.col("c") > SHARD_CHARS)).select("host", "page", F.lit(True).alias("wide")))
+    small = lambda x: F.broadcast(x) if x.count() <= MAX_BROADCAST else x
+    d = df.join(small(big), "host", "left").join(small(wide), ["host", "page"], "left")
+    salt = F.pmod(F.when(F.col("wide"), F.xxhash64("row_id", "text")).otherwise(F.xxhash64("page")), F.coalesce("shards", F.lit(1)))
+    return d.select("host", salt.alias("salt"), F.coalesce("shards", F.lit(1)).alias("shards"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("wide", F.lit(False)).alias("wide"), "row_id", "page", "text")
+
+
+def _judged(df: DataFrame, schema: str, shard: int) -> DataFrame:
+    """What `schema` asks for: all blocks, those that are furniture, or the main text."""
+    kept: dict[str, object] = {}
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def load(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[str], Host, np.ndarray]:
+        if "s" not in kept:
+            kept["s"], kept["r"] = Streams(), Reader()
+        pdf = pdf.sort_values(["page", "row_id"], kind="stable")
+        page, names = pd.factorize(pdf["page"])
+        texts = pdf["text"].tolist()
+        return pdf, texts, Host(kept["s"], texts, page), np.asarray(names)
 
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = shard_runs(pdf["text"].tolist(), pdf["page"].tolist())
-        return out.assign(host=pdf["host"].iloc[0], salt=pdf["salt"].iloc[0])[["host", "salt", "run", "low", "high", "line"]]
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, host, names = load(pdf)
+        out = shard_counts(host, pdf.groupby("page")["wide"].first().to_numpy(bool), names)
+        return out.assign(host=pdf["host"].iloc[0], salt=pdf["salt"].iloc[0])[["host", "salt", "line", "digest", "page", "n"]]
 
-    def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=["row_id", "block_no", "furniture", "covered", "block"])
-        pdf = pdf.sort_values(["page", "row_id"], kind="stable")
-        shared = (again.loc[~again["line"].astype(bool), "run"].to_numpy(np.int64), {*again.loc[again["line"].astype(bool), "run"]}) if pdf["shards"].iloc[0] > 1 else ()
-        out = judge(pdf["text"].tolist(), pd.factorize(pdf["page"])[0].tolist(), *shared)
-        rows = [(i, k, f, c, b) for i, t, row in zip(pdf["row_id"], pdf["text"], out) for k, ((f, c), b) in enumerate(zip(row, blocks(t)), 1)]
-        return pd.DataFrame(rows, columns=["row_id", "block_no", "furniture", "covered", "block"]).astype({"row_id": "Int64"})
-
-    parts = sized.select("host", salt.alias("salt"), F.coalesce("shards", F.lit(1)).alias("shards"), "row_id", "page", "text")
-    found = written(parts.where("shards > 1").groupBy("host", "salt").applyInPandas(runs, "host string, salt long, run long, low long, high long, line boolean"))
-    # where the smallest and the largest page differ, the run stands on two
-    again = found.where("NOT line").groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run", F.lit(False).alias("line"))
-    lines = found.where("line").groupBy("host", "run").agg(F.count_distinct("low").alias("n"))
-    lines = lines.where("run <> 0").join(lines.where("run = 0").select("host", F.col("n").alias("all")), "host").where(F.col("n") >= F.greatest(F.lit(MANY), F.col("all") * SHARE_OF_PAGES))
-    again = again.unionByName(lines.select("host", "run", F.lit(True).alias("line")))
-    again = found.select("host", "salt", "run", "line").distinct().join(again, ["host", "run", "line"])
-    return parts.groupBy("host", "salt").cogroup(again.groupBy("host", "salt")).applyInPandas(run, RESULT)
-
-
-def main_text(df: DataFrame) -> DataFrame:
+            return pd.DataFrame(columns=columns)
+        pdf, texts, host, names = load(pdf)
+        if pdf["shards"].iloc[0] > 1:
+            line = many["line"].to_numpy(bool)
+            starts = np.flatnonzero(np.arange(len(host.tokens)) + RUN <= host.stop)
+            starts = starts[np.isin(run_digests(host.tokens, starts), many["digest"].to_numpy(np.int64)[~line])]
+            lines = np.isin(host.line, many["digest"].to_numpy(np.int64)[line])
+        else:
+            least = least_pages(len(names))
+            starts, rank, n_pages = host.runs()
+            starts = starts[n_pages[rank] >= least] if len(starts) else starts
+            rank, n_pages = host.lines()
+            lines = n_pages[rank] >= least if len(rank) else np.zeros(0, bool)
+        rows: list[tuple] = []
+        for i, (b, flags, share) in zip(pdf["row_id"], judge(host, texts, kept["r"], starts, lines)):
+            if schema == MAIN:
+                if b:
+                    rows.append((i, "\n".join(x for x, f in zip(b, flags) if not f)))
+            elif schema == FOUND:
+                rows += [(i, k) for k, f in enumerate(flags, 1) if f]
+            else:
+                rows += [(i, k, f, c, x) for k, (f, c, x) in enumerate(zip(flags, share, b), 1)]
+        return pd.DataFrame(rows, columns=columns).astype({"row_id": "Int64"})
+
+    parts = _parts(df, shard)
+    found = written(parts.where("shards > 1").groupBy("host", "salt").applyInPandas(count, "host string, salt long, line boolean, digest long, page long, n long"))
+    key = ["host", "line", "digest"]
+    # of a page that lies in several shards one row counts
+    n = found.groupBy(*key, "page").agg(F.when(F.col("page").isNull(), F.sum("n")).otherwise(1).alias("n")).groupBy(*key).agg(F.sum("n").alias("n"))
+    pages = parts.where("shards > 1").groupBy("host").agg(F.first("pages").alias("pages"))
+    many = n.where(F.col("n") >= PAGES).join(pages, "host").where(F.col("n") >= F.ceil(F.col("pages") * SHARE_OF_PAGES)).select(*key)
+    many = found.select("host", "salt", "line", "digest").distinct().join(many, key)
+    return parts.groupBy("host", "salt").cogroup(many.groupBy("host", "salt")).applyInPandas(run, schema)
+
+
+def judged(df: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(row_id, block_no, furniture, covered, block) of every block of every text.
+
+    Needs row_id, text, source_url, source, group_id. Blocks are the non-blank lines, numbered from 1; covered is the
+    share of its tokens in runs that stand on many pages. Null texts and texts of blanks have no block, null ids pass; a
+    row without host or source is judged by itself, repeated rows are rows of one page. A host with more than `shard`
+    rows (or very long ones), be it a third of all, is split into shards, and so is a page with a third of all rows;
+    runs are counted over all shards, so the result doesn't depend on them.
+    """
+    return _judged(df, RESULT, shard)
+
+
+def furniture(df: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(row_id, block_no) of the blocks that are not main content."""
+    return _judged(df, FOUND, shard)
+
+
+def main_text(df: DataFrame, shard: int = SHARD) -> DataFrame:
     """(row_id, main): the blocks of main content, joined by line breaks; the empty string where a text has none."""
-    b = judged(df)
-    kept = F.array_sort(F.collect_list(F.when(~F.col("furniture"), F.struct("block_no", "block"))))  # as many as the text has blocks
-    return b.groupBy("row_id").agg(F.array_join(F.transform(kept, lambda x: x["block"]), "\n").alias("main"))
+    return _judged(df, MAIN, shard)
 
 
 NEEDS = ["row_id", "text", "source_url", "source", "group_id"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "article_en", *NEEDS)).where("furniture").select("row_id", "block_no")
+    return furniture(table(spark, sf_dir, "article_en", *NEEDS))
 
 
 def p2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -461,12 +461,51 @@ def test_leaks(spark):
     assert p9.leaks(df.limit(0), it).count() == 0 and p9.leaks(df, it.limit(0)).count() == 0
 
 
+def found(item, doc):
+    return [i for i, _ in p9.Index([(1, " ".join(item))]).leaks(doc)] == [1]
+
+
 def test_short_item_in_two_stretches():
     item = [f"w{i}" for i in range(20)]
-    found = p9.Index([(1, " ".join(item))])
-    text = [*item[:5], *(f"x{i}" for i in range(6)), *item[10:12], "y", *item[13:15]]
-    assert [i for i, _ in found.leaks(" ".join(text))] == [1]
-    assert found.leaks(" ".join(item[:5] + ["x"] * 9)) == []
+    assert found(item, [*item[:5], *(f"x{i}" for i in range(6)), *item[10:12], "y", *item[13:15]])
+    assert not found(item, item[:5] + ["x"] * 9)
+    assert found(["one"], ["a", "one", "b"]) and not found(["one"], ["a"]) and found(["a", "b"], ["c", "a", "b"])
+
+
+def test_pieces_survive_any_cut():
+    """Whatever two stretches hold half of an item and wherever the errors fall, the pieces asked for stay whole."""
+    for n in range(1, 60):
+        x = p9.Item(" ".join(f"w{i}" for i in range(n)))
+        half = (n + 1) // 2
+        starts = range(0, n - x.size + 1, x.size)
+        for first in range(half + 1):
+            for a in range(0, n - half + 1, 3):
+                for b in (a + first, a + first + 3, n - (half - first)):
+                    if b < a + first or b + half - first > n:
+                        continue
+                    whole = sum(a <= s and s + x.size <= a + first or b <= s and s + x.size <= b + half - first for s in starts)
+                    assert whole - int(half * p9.BUDGET) >= x.need, (n, x.size, x.need, first, a, b)
+
+
+def test_recall_by_length_of_the_item():
+    """Half of an item in one stretch or two, at random places, with a tenth altered; a third is never enough."""
+    rng = random.Random(5)
+    voc = [f"term{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(voc) for _ in range(n)]
+    for n in (4, 8, 12, 16, 20, 30, 50, 80, 150):
+        got = {(two, k): 0 for two in (0, 1) for k in (0, 1)}
+        for _ in range(60):
+            item, half = some(n), (n + 1) // 2
+            for two, k in got:
+                a = half // 2 * two
+                i = rng.randrange(0, n - half + 1)
+                j = rng.randrange(i + a, n - (half - a) + 1) if two else i
+                held = item[i : i + a] + item[j : j + half - a]
+                for e in rng.sample(range(half), int(half * 0.1) * k):
+                    held[e] = f"other{e}"
+                got[two, k] += found(item, some(60) + held[:a] + some(rng.randrange(3, 9) * two) + held[a:] + some(60))
+            assert n < 12 or not found(item, some(60) + item[: n // 3] + some(60))
+        assert got[0, 0] == got[1, 0] == 60 and got[0, 1] >= 58 and got[1, 1] >= 51, (n, got)
 
 
 # --- 10 -------------------------------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.tables import ranges, written
+
 
 def running(df: DataFrame, order: str, size: Column, out: str = "offset") -> DataFrame:
     """df with the sum of `size` over all rows before, in the order of a unique column.
@@ -12,11 +14,7 @@ def running(df: DataFrame, order: str, size: Column, out: str = "offset") -> Dat
     The rows are cut into ranges of `order`; each range sums up by itself, and the sum of the ranges before it is added
     from a table with one row per range. No window spans the table. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    from lexmill.operators.tables import written
-
-    ranged = written(df.withColumn("_size", size.cast("long")).repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    ranged = written(df.withColumn("_size", size.cast("long")).repartitionByRange(ranges(df), order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("_size").alias("_sum"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     inside = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

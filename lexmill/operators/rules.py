@@ -64,8 +64,9 @@ def cyclic_replace(df: DataFrame, needle: str, replacements: list[str], order: s
     if not needle or not replacements:
         raise ValueError("a needle and replacements are needed")
     has = F.coalesce(F.contains(F.col(text_col), F.lit(needle)), F.lit(False))
-    d = running(df, order, has.cast("int"), "_k")
-    d = d.withColumn("place", F.when(has, F.col("_k"))).drop("_k")
+    # only the order of the texts with the needle is written and sorted, not the texts
+    k = running(df.where(has).select(F.col(order).alias("_o")), "_o", F.lit(1), "place")
+    d = df.drop("place").join(k, df[order] == k["_o"], "left").drop("_o")
     arr = F.array(*[F.lit(r) for r in replacements])
     to = F.element_at(arr, (F.col("place") % len(replacements) + 1).cast("int"))
     return d.withColumn(text_col, F.when(F.col("place").isNotNull(), F.replace(F.col(text_col), F.lit(needle), to)).otherwise(F.col(text_col)))

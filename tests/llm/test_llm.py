@@ -85,6 +85,43 @@ def test_component_store_keeps_fills_and_quarantines(spark):
     assert store.update(pages(spark, [])).count() == 0
 
 
+def test_component_store_is_reopened(spark, tmp_path):
+    """Two sessions on one path, one of whose batches breaks off before its commit; then many merges in a chain."""
+    from unittest import mock
+
+    path = f"file://{tmp_path}/store"
+    first = p1.ComponentStore(spark, path)
+    one = {r["row_id"]: (r["page"], r["split"]) for r in first.update(pages(spark, [(i, None, f"g{i // 2}", None, None, None) for i in range(100)])).collect()}
+    second = [(1000, None, "g3", None, None, None), (1001, None, "fresh", None, None, None)]
+    broken = p1.ComponentStore(spark, path)
+    assert broken.version == 1 and broken.totals == first.totals
+    with mock.patch.object(p1.ComponentStore, "_commit", side_effect=OSError("lost")), pytest.raises(OSError):
+        broken.update(pages(spark, second))
+    again = p1.ComponentStore(spark, path)
+    assert again.version == 1 and again.keys().count() == 50
+    two = {r["row_id"]: r for r in again.update(pages(spark, second)).collect()}
+    assert (two[1000]["page"], two[1000]["split"], two[1000]["state"]) == (*one[6], "kept") and two[1001]["state"] == "new"
+    third = p1.ComponentStore(spark, path)
+    assert third.version == 2 and third.keys().count() == 51 and third.splits().agg({"n": "sum"}).first()[0] == 102
+    with pytest.raises(ValueError):
+        p1.ComponentStore(spark, path, {"train": 0.5})
+
+
+def test_component_store_follows_long_chains(spark):
+    from unittest import mock
+
+    with mock.patch.object(p1, "COMPACT", 2):
+        store = p1.ComponentStore(spark)
+        store.update(pages(spark, [(100 - i, None, f"g{i}", None, None, None) for i in range(4)]))
+        for i in range(3):  # each batch links what is there to a component of a smaller row
+            store.update(pages(spark, [(200 + 2 * i, None, f"g{i}", None, f"s{i}", "t"), (201 + 2 * i, None, f"g{i + 1}", None, f"s{i}", "t")]))
+        last = p1.ComponentStore(spark, store.path)
+        assert {r["root"] for r in last.alias().collect()} == {97}
+        s = last.splits().collect()
+        assert len(s) == 1 and s[0]["comp"] == 97 and s[0]["n"] == 10 and sum(last.totals.values()) == 10
+        assert {(r["page"], r["state"]) for r in last.update(pages(spark, [(300, None, "g0", None, None, None)])).collect()} == {(97, s[0]["state"])}
+
+
 def test_apply_splits(spark):
     d = pages(spark, LINKED)
     out = p1.apply_splits(d, p1.ComponentStore(spark).update(d))

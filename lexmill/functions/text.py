@@ -9,7 +9,7 @@ from __future__ import annotations
 import sys
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every character that counts as a blank in Unicode text, control separators included.
@@ -172,8 +172,8 @@ def link_text(c: Column) -> Column:
 def drop_citations(c: Column) -> Column:
     """Numbered citations and remarks on the original or on archived copies, each as a space."""
     return _each(
-        c, (rf"[\[（(]\d+[{WS}.,，、-]*(?:\d+[,，]?)*[）\])]", " "), (rf"(?<=[{WS}])\[\d+\](?=[{WS}])", " "), (rf"(?<=[{WS}])\[[0-9]+\]", " "),
-        (r"[（(][^（）()]{0,30}?原.*?[）)]", " "), (r"[（(][^（）()]{0,40}?存于互联网档案馆[）)]", " "),
+        c, (rf"[\[（(]\p{{Nd}}+[{WS}.,，、-]*(?:\p{{Nd}}+[,，]?)*[）\])]", " "), (rf"(?<=[{WS}])\[\p{{Nd}}+\](?=[{WS}])", " "), (rf"(?<=[{WS}])\[[0-9]+\]", " "),
+        (r"[（(][^（）()]{0,30}?原[^\n]*?[）)]", " "), (r"[（(][^（）()]{0,40}?存于互联网档案馆[）)]", " "),
     )
 
 
@@ -205,6 +205,14 @@ def clean_zh(c: Column) -> Column:
     return c
 
 
+def clean_articles(df: DataFrame, text_col: str = "text", least: int = MIN_ARTICLE) -> tuple[DataFrame, DataFrame]:
+    """(articles with their cleaned text, the others with the reason in `skipped`): empty extract, or too short after clean."""
+    c = F.col(text_col)
+    why = F.when(is_blank(c), "empty extract").when(F.length(clean_zh(c)) < least, "too short after clean")
+    d = df.withColumn("skipped", why).withColumn(text_col, clean_zh(c))
+    return d.where(F.col("skipped").isNull()).drop("skipped"), d.where(F.col("skipped").isNotNull())
+
+
 _AFTER_ZH = f"([{ZH_PUNCTUATION}])[ \\t]+"
 
 
@@ -277,6 +285,11 @@ def quote_title(title: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(title), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
 
 
+def history_address(page: Column) -> Column:
+    """The address of a wiki page's history, which names its authors."""
+    return F.concat(page, F.lit("?action=history"))
+
+
 def title_address(title: Column, canonical: dict[str, str] | None = None) -> Column:
     """The page name of a title: its canonical form if one is given, else with underscores for spaces."""
     plain = F.replace(title, F.lit(" "), F.lit("_"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,17 +33,22 @@ def tokenizer_form(c: Column) -> Column:
     return restore_marks(normal_form(protect_marks(c), "NFKC"))
 
 
-def shingles(c: Column, size: int = 5) -> Column:
+def shingles(c: Column, size: int = 5, digest: str = "blake2b") -> Column:
     """The distinct character n-grams of a text as 64-bit hashes, sorted; the sign bit is flipped so that their order is
-    that of the unsigned numbers. A text shorter than size gives itself, null gives null."""
+    that of the unsigned numbers. A text shorter than size gives itself, null gives null. digest: blake2b, or md5 (its
+    first 8 bytes), which SQL engines have too."""
+    if digest not in ("blake2b", "md5"):
+        raise ValueError("digest must be blake2b or md5")
 
     @F.pandas_udf("array<long>")
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        raw = (lambda b: hashlib.blake2b(b, digest_size=8).digest()) if digest == "blake2b" else (lambda b: hashlib.md5(b, usedforsecurity=False).digest()[:8])
+
         def one(t: str | None) -> list[int] | None:
             if t is None:
                 return None
             parts = {t[i : i + size] for i in range(max(1, len(t) - size + 1))}
-            return sorted(int.from_bytes(blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") - (1 << 63) for p in parts)
+            return sorted(int.from_bytes(raw(p.encode("utf-8", "surrogatepass")), "big") - (1 << 63) for p in parts)
 
         for s in batches:
             yield s.map(one)

@@ -15,6 +15,8 @@ BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
 #: Prefixes are longer by this many elements and candidates must share as many: neighbouring shingles come in runs, so
 #: one shared name would make a candidate otherwise.
 DEPTH = 12
+#: An element that more sets have among their smallest is hot: joining on it would pair too many of them.
+HOT = 500
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "line_no") -> DataFrame:
@@ -68,23 +70,32 @@ def _rare(each: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFra
     return written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
 
 
-def similar_pairs(sets: DataFrame, written: Callable[[DataFrame], DataFrame], similar: float = SIMILAR, bottom: int = BOTTOM, shared: int = SHARED) -> DataFrame:
+def similar_pairs(sets: DataFrame, written: Callable[[DataFrame], DataFrame], similar: float = SIMILAR, bottom: int = BOTTOM, shared: int = SHARED, hot: int = HOT) -> DataFrame:
     """(a, b, jaccard) with a < b of sets (node, language, sig) of one language, at least `similar`, that also share at
     least `shared` of their `bottom` smallest elements.
 
-    Exact, by prefix filtering: only the rarest elements of each set are joined, so elements that a large part of all
-    sets holds meet nothing. The condition on the smallest elements is checked on the pairs.
+    Exact. Only the smallest elements are joined. Those that more than `hot` sets have among theirs meet nothing there:
+    a pair that shares no other one has `shared` hot ones, and such sets are searched by the rarest of all their
+    elements instead (prefix filtering). Sets are joined to pairs at the end, to check both conditions.
     """
     s = sets.where(F.size("sig") > 0).select("node", "language", "sig")
-    p = _prefixes(s, _rare(s.select(F.explode("sig").alias("h")), written), "a", "na", similar)
-    p = written(p)
-    q = p.toDF("b", "nb", "h")
-    cand = written(_candidates(p, q, similar, (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar)))
+    low = s.select("node", "language", F.size("sig").alias("n"), F.explode(F.slice("sig", 1, bottom)).alias("h"))
+    freq = written(low.groupBy("language", "h").agg(F.count("*").alias("df")).where("df > 1"))
+    low = written(low.join(freq, low["h"].eqNullSafe(freq["h"]) & low["language"].eqNullSafe(freq["language"])).select("node", low["language"], "n", low["h"], (F.col("df") > hot).alias("hot")))
+    heated = low.where("hot").groupBy("node").agg(F.count("*").alias("k"))
+    cold = low.where("NOT hot").join(heated, "node", "left").select("node", "language", "n", "h", F.coalesce("k", F.lit(0)).alias("k"))
+    a, b = cold.toDF("a", "la", "na", "h", "ka"), cold.toDF("b", "lb", "nb", "h", "kb")
+    fits = (F.col("a") < F.col("b")) & F.col("la").eqNullSafe(F.col("lb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar)
+    cand = a.join(b, "h").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("ka", "kb")).alias("k")).where(F.col("c") + F.col("k") >= shared).select("a", "b")
+    warm = s.join(heated.where(F.col("k") >= shared).select("node"), "node", "left_semi")
+    p = written(_prefixes(warm, _rare(warm.select(F.explode("sig").alias("h")), written), "a", "na", similar))
+    more = _candidates(p, p.toDF("b", "nb", "h"), similar, (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar))
+    cand = written(cand.unionByName(more).distinct())
     both = cand.join(s.toDF("a", "la", "sa"), "a").join(s.toDF("b", "lb", "sb"), "b").where(F.col("la").eqNullSafe(F.col("lb")))
     inter = F.size(F.array_intersect("sa", "sb"))
-    low = F.size(F.array_intersect(F.slice("sa", 1, bottom), F.slice("sb", 1, bottom)))
+    small = F.size(F.array_intersect(F.slice("sa", 1, bottom), F.slice("sb", 1, bottom)))
     both = both.withColumn("jaccard", inter / (F.size("sa") + F.size("sb") - inter))
-    return both.where((F.col("jaccard") >= similar) & (low >= shared)).select("a", "b", "jaccard")
+    return both.where((F.col("jaccard") >= similar) & (small >= shared)).select("a", "b", "jaccard")
 
 
 def near_duplicates(df: DataFrame, sig: Column, written: Callable[[DataFrame], DataFrame], node: str = "row_id", language: str = "language", seed_keys: tuple[str, ...] = (), similar: float = SIMILAR) -> DataFrame:
@@ -134,14 +145,10 @@ def similar_across(left: DataFrame, right: DataFrame, written: Callable[[DataFra
     return p.join(lm.withColumnRenamed("head", "a"), "a").join(rm.withColumnRenamed("head", "b"), "b").select(F.col("a_row").alias("a"), F.col("b_row").alias("b"), "jaccard")
 
 
-def number_rows(df: DataFrame, order: str, out: str = "k") -> DataFrame:
-    """df with the 0-based place of each row in the order of a unique column, without one task for all rows.
-
-    Range partitions are numbered locally and shifted by the sizes of those before; only one number per partition is gathered.
-    """
-    from lexmill.operators.prefix import running
-
-    return running(df, order, F.lit(1), out)
+def preview(df: DataFrame, per: str, order: str, k: int = 3, chars: int = 200, text_col: str = "text") -> DataFrame:
+    """df's first row of each of the first k values of `per`, in order, with the beginning of its text in `start`."""
+    first = df.groupBy(per).agg(F.min(order).alias("_first")).orderBy("_first").limit(k)
+    return df.join(F.broadcast(first.select("_first")), df[order] == F.col("_first"), "left_semi").withColumn("start", F.substring(text_col, 1, chars))  # k rows
 
 
 def first_rows(df: DataFrame, per: str, order: str, k: int) -> DataFrame:

@@ -10,17 +10,20 @@ from lexmill.operators.prefix import running
 
 
 def build_qa(df: DataFrame, existing: DataFrame | None = None, order: str = "line_no") -> DataFrame:
-    """Records from question and answer, in order, each text once.
+    """(order, id, split, language, domain, topic, question, answer, text) from questions and answers, in order, each text once.
 
-    Blank questions or answers are skipped; the text is the given one or the template's (language zh by default); a text
-    that stands in `existing` (text) or before is skipped; the language is cut to two lower-case letters afterwards. The
-    id is the given one, or qa-<language>-<e + 2k + 1> with e distinct texts existing and k records added before.
+    Blank questions or answers are skipped; the text is the given one as it stands, or the template's; a text that stands
+    in `existing` (text) or before is skipped. Where the value is missing (null; not where it is empty) the language is
+    zh, the split train, domain and topic general; the language is cut to two lower-case letters after the template.
+    The id is the given one, or qa-<language>-<e + 2k + 1> with e distinct texts existing and k records added before.
     """
     col = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
     q, a = trim_all(F.col("question")), trim_all(F.col("answer"))
-    lang = F.coalesce(F.nullif(col("language"), F.lit("")), F.lit("zh"))
-    given = F.when(~is_blank(col("text")), trim_all(col("text")))
-    d = df.select(F.col(order), q.alias("question"), a.alias("answer"), lang.alias("l"), col("id").alias("given_id"), col("domain").alias("domain"), col("topic").alias("topic"), given.alias("given"))
+    or_ = lambda n, v: F.coalesce(col(n), F.lit(v))
+    d = df.select(
+        F.col(order), q.alias("question"), a.alias("answer"), or_("language", "zh").alias("l"), col("id").alias("given_id"), or_("split", "train").alias("split"),
+        or_("domain", "general").alias("domain"), or_("topic", "general").alias("topic"), F.nullif(col("text"), F.lit("")).alias("given"),
+    )
     d = d.where(~is_blank(F.col("question")) & ~is_blank(F.col("answer"))).withColumn("text", F.coalesce("given", qa_text(F.col("question"), F.col("answer"), F.col("l"))))
     e = 0
     if existing is not None:
@@ -32,7 +35,7 @@ def build_qa(df: DataFrame, existing: DataFrame | None = None, order: str = "lin
     d = running(d, order, F.lit(1), "k")
     two = F.lower(F.substring("l", 1, 2))
     made = F.format_string("qa-%s-%04d", two, F.lit(e) + 2 * F.col("k") + 1)
-    return d.select(order, F.coalesce(F.nullif("given_id", F.lit("")), made).alias("id"), two.alias("language"), "domain", "topic", "question", "answer", "text")
+    return d.select(order, F.coalesce(F.nullif("given_id", F.lit("")), made).alias("id"), "split", two.alias("language"), "domain", "topic", "question", "answer", "text")
 
 
 def continue_ids(new: DataFrame, existing: DataFrame, prefix: str, order: str, width: int = 6, id_col: str = "id") -> DataFrame:

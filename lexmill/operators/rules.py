@@ -72,6 +72,12 @@ def cyclic_replace(df: DataFrame, needle: str, replacements: list[str], order: s
     return d.withColumn(text_col, F.when(F.col("place").isNotNull(), F.replace(F.col(text_col), F.lit(needle), to)).otherwise(F.col(text_col)))
 
 
+def seeds(df: DataFrame, priority: str, title: str | None = None) -> DataFrame:
+    """The seeds of a priority, or of them the one of a title."""
+    d = df.where(F.col("priority") == priority)
+    return d if title is None else d.where(F.col("title_seed") == title)
+
+
 def quarantine(df: DataFrame, flags: Column) -> tuple[DataFrame, DataFrame]:
     """(records without flags, (record, flags) of the others); flags is an array of strings."""
     d = df.withColumn("_flags", flags)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,25 +13,48 @@ from pyspark.sql import functions as F
 
 #: Order of the splits for ties, and their shares.
 SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
-#: A greedy assignment is a fold over all groups on the driver; above this many it is refused.
-MAX_GROUPS = 5_000_000
+#: Groups that the fold of the assignment takes from the driver's iterator at once.
+AT_ONCE = 100_000
 
 
 def group_rows(records: DataFrame, roots: DataFrame, node: str = "row_id", id_col: str = "id", category: str = "category", explicit: str = "group_id") -> DataFrame:
-    """(root, first_id, ids, explicit_ids, sizes): one row per component, sizes by category."""
+    """(root, first_id, n_ids, n_explicit, explicit_id, sizes): one row per component, sizes by category.
+
+    Nothing of a component is gathered: counts and the smallest ids are aggregated, however large it is.
+    """
     d = records.select(F.col(node).alias("node"), F.col(id_col).alias("id"), F.col(category).alias("category"), F.col(explicit).alias("explicit")).join(roots, "node")
-    per = d.groupBy("root", "category").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("ids"), F.sort_array(F.collect_set("explicit")).alias("ex"))
-    return per.groupBy("root").agg(
-        F.min("first_id").alias("first_id"), F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ex")))).alias("explicit_ids"), F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("sizes"),
-    )
+    per = d.groupBy("root", "category").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.min("explicit").alias("xlo"), F.max("explicit").alias("xhi"))
+    g = per.groupBy("root").agg(F.sum("n").alias("n_ids"), F.min("lo").alias("first_id"), F.min("xlo").alias("xlo"), F.max("xhi").alias("xhi"), F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("sizes"))  # one entry per category
+    return g.select("root", "first_id", "n_ids", F.when(F.col("xlo") == F.col("xhi"), F.col("xlo")).alias("explicit_id"), "sizes")
+
+
+def group_name(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """groups with group_id: the single explicit id, else record-<id> for one member, else near-<hash of the sorted ids>.
 
+    members is (root, id). The hash is of all ids of a group in order: they stream through it, sorted by the shuffle, and
+    are never held at once.
+    """
+    name = F.when(F.col("explicit_id").isNotNull(), F.col("explicit_id")).when(F.col("n_ids") == 1, F.concat(F.lit("record-"), F.col("first_id")))
 
-def group_name(groups: DataFrame) -> DataFrame:
-    """groups with group_id: the single explicit id, else record-<id> for one member, else near-<hash of the ids>."""
-    near = F.concat(F.lit("near-"), F.substring(F.sha2(F.array_join("ids", "\n"), 256), 1, 16))
-    name = F.when(F.size("explicit_ids") == 1, F.col("explicit_ids")[0]).when(F.size("ids") == 1, F.concat(F.lit("record-"), F.col("ids")[0])).otherwise(near)
-    return groups.withColumn("group_id", name)
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, h = None, hashlib.sha256()
+        for pdf in batches:
+            out = []
+            for r, x in zip(pdf["root"], pdf["id"]):
+                if r != root:
+                    if root is not None:
+                        out.append((root, h.hexdigest()))
+                    root, h = r, hashlib.sha256(x.encode("utf-8", "surrogatepass"))
+                else:
+                    h.update(b"\n" + x.encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame(out, columns=["root", "sha"])
+        if root is not None:
+            yield pd.DataFrame([(root, h.hexdigest())], columns=["root", "sha"])
+
+    rest = members.where(F.col("id").isNotNull()).join(groups.where(name.isNull()).select("root"), "root", "left_semi").select("root", F.col("id").cast("string").alias("id"))
+    near = rest.repartition("root").sortWithinPartitions("root", "id").mapInPandas(hashed, "root long, sha string")
+    d = groups.join(near, "root", "left")
+    return d.withColumn("group_id", F.coalesce(name, F.concat(F.lit("near-"), F.substring("sha", 1, 16)))).drop("sha")
 
 
 def assign_groups(groups: DataFrame, seed: int, shares: dict[str, float] = SHARES) -> DataFrame:
@@ -37,28 +62,48 @@ def assign_groups(groups: DataFrame, seed: int, shares: dict[str, float] = SHARE
 
     Groups in the order of their first id are shuffled by the seed; each goes to the split whose squared distance from
     its share of every category grows least (relative to the share), ties to the earlier split. The choice depends on
-    all earlier ones, so it is a fold; only (root, sizes) reach the driver, at most MAX_GROUPS of them.
+    all earlier ones, so it is a fold. The driver holds one integer per group for the shuffle and the counts; the groups
+    themselves pass in the shuffled order, AT_ONCE at a time, and their splits are written as they go.
     """
-    n = groups.count()
-    if n > MAX_GROUPS:
-        raise ValueError(f"{n} groups; the fold takes at most {MAX_GROUPS}")
-    rows = [(r["root"], r["sizes"]) for r in groups.orderBy("first_id").select("root", "sizes").collect()]
-    random.Random(seed).shuffle(rows)
-    total: dict[str, int] = {}
-    for _, sizes in rows:
-        for c, k in sizes.items():
-            total[c] = total.get(c, 0) + k
+    from lexmill.operators.prefix import running
+    from lexmill.operators.tables import written
+
+    spark = groups.sparkSession
+    order = F.struct("first_id", "root").alias("o")  # equal first ids in the order of their roots
+    placed = written(running(groups.select("root", "sizes", order), "o", F.lit(1), "k").drop("o"))
+    n = placed.count()
+    turn = array("q", range(n))
+    random.Random(seed).shuffle(turn)
+    total = {r["c"]: r["n"] for r in placed.select(F.explode("sizes").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()}  # one row per category
     have = {s: dict.fromkeys(total, 0) for s in shares}
-    out = []
-    for root, sizes in rows:
+
+    def pick(sizes: dict[str, int]) -> str:
         def growth(s: str) -> float:
             return sum((have[s][c] + k - total[c] * shares[s]) ** 2 - (have[s][c] - total[c] * shares[s]) ** 2 for c, k in sizes.items()) / max(shares[s], 0.01)
 
         s = min(shares, key=growth)
         for c, k in sizes.items():
             have[s][c] += k
-        out.append((root, s))
-    return groups.sparkSession.createDataFrame(out, "root long, split string")
+        return s
+
+    out = None
+    for at in range(0, n, AT_ONCE):
+        part = spark.createDataFrame(pd.DataFrame({"k": turn[at : at + AT_ONCE], "t": range(len(turn[at : at + AT_ONCE]))}))
+        rows = placed.join(part, "k").orderBy("t").select("root", "sizes").collect()  # at most AT_ONCE
+        x = written(spark.createDataFrame([(r["root"], pick(r["sizes"])) for r in rows], "root long, split string"))
+        out = x if out is None else out.unionByName(x)
+    return spark.createDataFrame([], "root long, split string") if out is None else out
+
+
+def write_back(records: DataFrame, groups: DataFrame, roots: DataFrame, node: str = "row_id") -> DataFrame:
+    """records whose split and group_id are those of their group (root, split, group_id); all other columns pass through.
+
+    roots is (node, root). Records without a group keep both values.
+    """
+    new = roots.join(groups.select("root", F.col("split").alias("_split"), F.col("group_id").alias("_group")), "root").select(F.col("node").alias("_node"), "_split", "_group")
+    d = records.join(new, records[node] == new["_node"], "left")
+    old = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    return d.withColumns({"split": F.coalesce("_split", old("split")), "group_id": F.coalesce("_group", old("group_id"))}).drop("_node", "_split", "_group")
 
 
 def stratified_sample(df: DataFrame, per: str, order: str, strata: list[str], k: int, seed: int) -> DataFrame:

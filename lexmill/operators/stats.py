@@ -40,9 +40,20 @@ def change_counts(df: DataFrame, by: str, changes: Column) -> DataFrame:
     return df.groupBy(by).agg(F.count_if(changes > 0).alias("n_changed"), F.coalesce(F.sum(changes), F.lit(0)).alias("n_changes"))
 
 
-def manifest(df: DataFrame, file: str, tokens: Column) -> DataFrame:
-    """(file, n_records, n_tokens) per file."""
-    return df.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n_records"), F.sum(F.coalesce(tokens, F.lit(0))).alias("n_tokens"))
+def value_counts(df: DataFrame, by: str = "source_title") -> DataFrame:
+    """Rows per value, most frequent first, ties by value; null is a value of its own, at the end of its ties."""
+    return df.groupBy(by).agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), F.asc_nulls_last(by))
+
+
+def manifest(df: DataFrame, file: str, tokens: Column, hashes: DataFrame | None = None) -> DataFrame:
+    """(file, n_records, n_tokens) per file; with hashes (name, sha256) also the sha256 of each file, null for one without."""
+    m = df.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n_records"), F.sum(F.coalesce(tokens, F.lit(0))).alias("n_tokens"))
+    return m if hashes is None else m.join(hashes.select(F.col("name").alias("file"), "sha256"), "file", "left")
+
+
+def manifest_totals(files: DataFrame) -> DataFrame:
+    """One row: files, records and tokens of a manifest."""
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
 
 
 def manifest_delta(before: DataFrame, after: DataFrame) -> DataFrame:

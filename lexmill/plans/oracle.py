@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lexmill.functions.text import TRAILING_SECTIONS as TRAILING
+from lexmill.plans.queries import WIKI_INSIDE, WIKI_LEAD, WIKI_TAIL
+
 #: All blanks of Unicode text as a class of DuckDB's regular expressions.
 WS = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPLIT = "CASE WHEN lower(split) = 'validation' THEN 'valid' ELSE lower(split) END"
@@ -62,17 +65,65 @@ def risk(c: str) -> str:
     ], lambda x: x IS NOT NULL)"""
 
 
+def grams(table: str, row: str, language: str, more: str = "") -> str:
+    """(r, l, sig): the sorted digests of the distinct 5-grams of each text."""
+    k = "SELECT {row} AS r, {language} AS l, {key} AS k{more} FROM {table} WHERE text IS NOT NULL".format(row=row, language=language, key=key("text"), more=more, table=table)
+    sig = "list_sort(list_distinct(list_transform(range(1, greatest(length(k) - 4, 1) + 1), lambda i: substr(md5(substr(k, i::INTEGER, 5)), 1, 16))))"
+    return f"g0 AS ({k}), g AS (SELECT * EXCLUDE (k), {sig} AS sig FROM g0)"
+
+
+#: Pairs of distinct sets of one language: two of the twelve smallest digests are shared, and the sets are similar.
+NEAR = """
+h AS (SELECT min(r) AS r, l, sig FROM g GROUP BY l, sig), e AS (SELECT r, l, unnest(sig[1:12]) AS x FROM h),
+c AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.l IS NOT DISTINCT FROM b.l AND a.r < b.r GROUP BY 1, 2 HAVING count(*) >= 2),
+j AS (SELECT c.a, c.b, len(list_intersect(x.sig, y.sig)) AS i, len(x.sig) + len(y.sig) AS n FROM c JOIN h x ON x.r = c.a JOIN h y ON y.r = c.b),
+near AS (SELECT a, b, i / (n - i) AS jaccard FROM j WHERE i / (n - i) >= 0.85)
+"""
+
+
+#: Pre-tokens with the quote doubled for SQL; a run of blanks is cut before its last one beforehand, since RE2 looks at nothing ahead.
+PRETOKENS = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^" + WS[1:-1] + r"\x01\p{L}\p{N}]+|" + WS + "+"
+
+
+def picked(parts: tuple[str, ...]) -> str:
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"[{', '.join(map(lit, parts))}][row_id % {len(parts)} + 1]"
+
+
+def cleaned(c: str) -> str:
+    """The cleaning of an encyclopedia extract, step by step. Numbers in brackets are gone after the first of the citation
+    steps, so the two that look at the blanks before them find nothing more."""
+    b, w = WS[1:-1], r"\p{L}\p{M}\p{N}_"
+    greek, marks = "Δ|λ|μ|ρ|θ|φ|Ω", "−|→|←|⇒|⇐|∂|√|△|∑|∫"
+    steps = [
+        (r"(?s)\n=+ +(?:" + "|".join(TRAILING) + r") *=*\n.*$", ""), (rf"^{WS}*本條目[^\n]*。{WS}*", ""), (rf"^{WS}*本条[^\n]*。{WS}*", ""), (r"(?i)\[\[(?:File|Image|文件|Category):[^\]]*\]\]", " "),
+        (rf"(?s){WS}*\{{\\displaystyle.*?\}}{WS}*", " "), (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", r"\2"), (rf"[\[（(]\p{{Nd}}+[{b}.,，、-]*(?:\p{{Nd}}+[,，]?)*[）\])]", " "),
+        (r"[（(][^（）()]{0,30}?原[^\n]*?[）)]", " "), (r"[（(][^（）()]{0,40}?存于互联网档案馆[）)]", " "), (r"&[a-zA-Z#0-9]+;", " "),
+        (rf"{WS}*\{{[^{{}}\n]*\\[a-zA-Z]+[^{{}}]*\}}{WS}*", " "), (rf"{WS}*\\[a-zA-Z]+(?:\{{|\}}|\\?[^{{}}()\[\]]*)", " "),
+        (rf"(^|{WS}+|([^{w}{b}]))(?:{greek})($|{WS}+|([^{w}{b}]))", r"\2 \4"), (rf"([{w}])(?:{marks})([{w}])", r"\1 \2"), (rf"([{w}])(?:{marks})([{w}])", r"\1 \2"),
+        (r"\n=+ ?[^=\n]+? *=*\n", r"\n"), (r"[ \t　]+", " "), (rf"\n{WS}*\n+", r"\n"), (rf"{WS}*\n{WS}*", r"\n"), (r"[ \t]+", " "),
+    ]
+    for pattern, to in steps:
+        to = "chr(10)" if to == r"\n" else f"'{to}'"
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    return strip(c)
+
+
 AFTER_ZH = "([，。！？；：、）》】」』”’])[ \\t]+"
 SIGNAL = r"(?i)\b(?:copyright|license|credit|courtesy|permission)\b|版权|许可|授權|授权|署名"
 HOST = r"nullif(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '')"
 
+POLICIES = f"pol AS (SELECT {HOST.format('url')} AS h, min(url || 'policy') AS policy, min(source) AS agency FROM source_catalog GROUP BY 1)"
 INVENTORY = f"""
-WITH d AS (SELECT *, CASE WHEN source_url IS NOT NULL THEN 'url' WHEN source_title IS NOT NULL THEN 'title' END AS source_kind,
+WITH {POLICIES}, d AS (SELECT *, CASE WHEN source_url IS NOT NULL THEN 'url' WHEN source_title IS NOT NULL THEN 'title' END AS source_kind,
                   coalesce(source_url, source_title) AS source_key, regexp_matches(text, '{SIGNAL}') AS sig FROM article_en),
-inv AS (SELECT source_kind, source_key, count(*) AS record_count, list(row_id ORDER BY row_id) AS ids,
+inv0 AS (SELECT source_kind, source_key, count(*) AS record_count, list(row_id ORDER BY row_id) AS ids,
                coalesce(list(row_id ORDER BY row_id) FILTER (WHERE sig), []) AS sigs, first(source_title ORDER BY row_id) AS source_title,
-               CASE WHEN source_kind = 'url' THEN {HOST.format('source_key')} END AS host
-        FROM d WHERE source_kind IS NOT NULL GROUP BY source_kind, source_key)
+               CASE WHEN source_kind = 'url' THEN {HOST.format('source_key')} ELSE 'wiki.example' END AS host
+        FROM d WHERE source_kind IS NOT NULL GROUP BY source_kind, source_key),
+inv AS (SELECT inv0.*, policy, agency, CASE WHEN source_kind = 'url' THEN source_key ELSE 'https://wiki.example/wiki/' || replace(url_encode(source_key), '%2F', '/') END AS candidate_url,
+          CASE WHEN source_kind = 'title' THEN 'current_page_found_original_revision_and_attribution_unconfirmed' WHEN policy IS NOT NULL THEN 'site_policy_found_page_specific_terms_unconfirmed' ELSE 'title_unresolved_requires_source_match' END AS rights_status
+        FROM inv0 LEFT JOIN pol ON host = h)
 """
 
 RULED = """
@@ -114,8 +165,8 @@ SELECT source, count(*) FILTER (WHERE s = 'train') AS train, count(*) FILTER (WH
 FROM (SELECT source, {SPLIT} AS s FROM article_en) GROUP BY source""",
     "metadata_coverage": """
 SELECT domain, count(*) AS n_rows, count(source) AS has_source, count(source_url) AS has_source_url, count(source_title) AS has_source_title, count(group_id) AS has_group_id FROM article_en GROUP BY domain""",
-    "risk_flags": f"SELECT doc_id, array_to_string(f, ',') AS flags FROM (SELECT doc_id, {risk('text')} AS f FROM documents) WHERE len(f) > 0",
-    "flag_counts": f"SELECT flag, count(*) AS n_rows FROM (SELECT unnest({risk('text')}) AS flag FROM documents) GROUP BY flag",
+    "risk_flags": f"SELECT row_id, array_to_string(f, ',') AS flags FROM (SELECT row_id, {risk('text')} AS f FROM article_en) WHERE len(f) > 0",
+    "flag_counts": f"SELECT flag, count(*) AS n_rows FROM (SELECT unnest({risk('text')}) AS flag FROM article_en) GROUP BY flag",
     "manifest_delta": f"""
 WITH a AS (SELECT source, count(*) AS r, sum(coalesce(len({words('text')}), 0)) AS t FROM documents GROUP BY source),
 b AS (SELECT source, count(*) AS r, sum(coalesce(len({words('text')}), 0)) AS t FROM ({firsts('documents', 'doc_id', key('text'), '*')}) GROUP BY source)
@@ -128,11 +179,15 @@ SELECT l.lang, coalesce(n, 0) AS n_tokens, round(coalesce(m, 0), 9) AS mean_loss
 WITH d AS (SELECT length(text) - 1 AS v, doc_id % 7 / 4 + 1 AS loss FROM documents WHERE length(text) >= 2 AND source IS NOT NULL)
 SELECT sum(v)::BIGINT AS n_tokens, round(sum(loss * v) / sum(v), 9) AS mean_loss, round(exp(sum(loss * v) / sum(v)), 6) AS perplexity FROM d""",
     "early_stop_fold": """
-SELECT * FROM (VALUES
-  ('a', 1::BIGINT, 3.0::DOUBLE, 3.0::DOUBLE, true, 0, false), ('a', 2, 2.5, 2.5, true, 0, false), ('a', 3, 2.6, 2.5, false, 1, false), ('a', 4, 2.4, 2.4, true, 0, false),
-  ('a', 5, 2.41, 2.4, false, 1, false), ('a', 6, 2.42, 2.4, false, 2, false), ('a', 7, 2.43, 2.4, false, 3, true),
-  ('b', 1, 5.0, 5.0, true, 0, false), ('b', 2, 4.0, 4.0, true, 0, false), ('b', 3, 3.0, 3.0, true, 0, false)) t(run, epoch, eval_loss, best, improved, waited, stopped)""",
-    "fingerprint_combined": "SELECT sha256(string_agg(name || ' ' || h || chr(10), '' ORDER BY name)) AS combined_sha256 FROM (SELECT id AS name, sha256(max(url)) AS h FROM source_catalog GROUP BY id)",
+WITH RECURSIVE l AS (SELECT source AS run, (year(ingested_at) * 12 + month(ingested_at))::BIGINT AS epoch, round(1000 / (avg(n_chars) + 1), 6) AS x FROM documents WHERE source IS NOT NULL AND ingested_at IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM l),
+f AS (SELECT run, epoch, k, x AS eval_loss, x AS best, true AS improved, 0 AS waited, false AS stopped FROM o WHERE k = 1
+  UNION ALL SELECT o.run, o.epoch, o.k, o.x, CASE WHEN f.best - o.x > 0.01 THEN o.x ELSE f.best END, f.best - o.x > 0.01, CASE WHEN f.best - o.x > 0.01 THEN 0 ELSE f.waited + 1 END, f.best - o.x <= 0.01 AND f.waited + 1 >= 3
+  FROM f JOIN o ON o.run = f.run AND o.k = f.k + 1 WHERE NOT f.stopped)
+SELECT run, epoch, eval_loss, best, improved, waited, stopped FROM f""",
+    "fingerprint_combined": """
+WITH f AS (SELECT 'title' AS name, sha256(string_agg(title || chr(10), '' ORDER BY title, id)) AS h FROM source_catalog UNION ALL SELECT 'url', sha256(string_agg(url || chr(10), '' ORDER BY url, id)) FROM source_catalog)
+SELECT sha256(string_agg(name || ' ' || h || chr(10), '' ORDER BY name)) AS combined_sha256 FROM f""",
     "sentence_split_en": f"""
 SELECT row_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_chars, max(length(s))::INTEGER AS longest FROM (SELECT row_id, unnest({sentences_en('text')}) AS s FROM article_en) GROUP BY row_id""",
     "chunk_en": f"""
@@ -161,14 +216,17 @@ FROM c WHERE has_a OR has_b OR dropped""",
 SELECT row_id, replace(t, 'trend stays for', 'trend is the same for') AS text FROM (SELECT row_id, replace(text, 'the trend holds', 'the trend stays') AS t FROM english WHERE contains(text, 'the trend holds'))
 WHERE contains(t, 'trend stays for')""",
     "quarantine_restore": f"""
-SELECT id, array_to_string(f, ',') AS flags FROM (SELECT doc_id::VARCHAR AS id, source, {risk('text')} AS f FROM documents) WHERE len(f) > 0 AND NOT coalesce(starts_with(source, 'R'), false)""",
+SELECT id, array_to_string(f, ',') AS flags FROM (SELECT row_id::VARCHAR AS id, chunk_index, {risk('text')} AS f FROM article_en) WHERE len(f) > 0 AND NOT coalesce(chunk_index <= 1, false)""",
     "topic_translate": """
 WITH m AS (SELECT topic_zh AS t, min(topic) AS en FROM article_zh WHERE topic_zh IS NOT NULL AND regexp_matches(topic, '^[a-z][a-z0-9_]*$') GROUP BY 1)
 SELECT row_id, coalesce(en, topic) AS topic, CASE WHEN en IS NOT NULL THEN topic ELSE topic_zh END AS topic_zh FROM article_zh LEFT JOIN m ON topic = t WHERE regexp_matches(topic, '[㐀-鿿]')""",
     "topic_map_gaps": """
 WITH a AS (SELECT DISTINCT topic_zh AS key FROM article_zh WHERE topic_zh IS NOT NULL), n AS (SELECT DISTINCT topic_zh AS key FROM natural_zh WHERE topic_zh IS NOT NULL)
 SELECT key, 'not in map' AS side FROM n WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT key, 'not used' FROM a WHERE key NOT IN (SELECT key FROM n)""",
-    "origin_annotation": "SELECT row_id, CASE WHEN coalesce(legacy_id, '') = '' THEN 'AI-generated' END AS origin_class, coalesce(legacy_id, '') = '' AS changed FROM natural_zh",
+    "origin_annotation": """
+WITH d AS (SELECT row_id, coalesce(legacy_id, '') AS l FROM natural_zh)
+SELECT row_id, CASE WHEN l = '' THEN 'AI-generated' END AS origin_class, sha256('{"legacy_id":"' || l || '","row_id":' || row_id || '}') AS before_sha256,
+  sha256('{"legacy_id":"' || l || CASE WHEN l = '' THEN '","origin_class":"AI-generated' ELSE '' END || '","row_id":' || row_id || '}') AS after_sha256 FROM d""",
     "merged_origin": "SELECT 'train' AS split, split AS round15_split, count(*) AS n_rows FROM english GROUP BY split",
     "unique_id_violations": "SELECT id, count(*) AS n FROM english WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
     "unique_text_violations": f"SELECT sha256({key('text')}) AS key_sha256, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY {key('text')} HAVING count(*) > 1",
@@ -205,24 +263,29 @@ SELECT item_id, block_no::INTEGER AS block_no, len(t[block_no * 128 + 1:block_no
     "prompt_budget": """
 SELECT item_id, least(length(question), 63)::INTEGER AS prompt_size, CASE WHEN least(20, 64 - least(length(question), 63)) > 0 THEN least(20, 64 - least(length(question), 63)) END::INTEGER AS new_tokens FROM eval_items""",
     "qa_build": f"""
-WITH d AS (SELECT item_id, coalesce(nullif(language, ''), 'zh') AS l, {strip('question')} AS q, {strip('answer')} AS a FROM eval_items),
-t AS (SELECT item_id, l, CASE WHEN l = 'zh' THEN '问：' || q || chr(10) || '答：' || a ELSE 'Q: ' || q || chr(10) || 'A: ' || a END AS text FROM d WHERE q <> '' AND a <> ''),
-f AS (SELECT min(item_id) AS item_id, text FROM t GROUP BY text)
-SELECT f.item_id, 'qa-' || lower(substr(l, 1, 2)) || '-' || lpad((2 * (row_number() OVER (ORDER BY f.item_id) - 1) + 1)::VARCHAR, 4, '0') AS id, lower(substr(l, 1, 2)) AS language, f.text FROM f JOIN t ON f.item_id = t.item_id""",
+WITH d AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN '' WHEN item_id % 4 = 0 THEN 'zh' ELSE coalesce(language, 'zh') END AS l, {strip('question')} AS q, {strip('answer')} AS a, CASE WHEN item_id % 11 = 0 THEN ' ' || question END AS given,
+  CASE WHEN item_id % 4 = 1 THEN 'general' ELSE coalesce(domain, 'general') END AS domain, CASE WHEN item_id % 4 = 2 THEN 'general' ELSE coalesce(topic, 'general') END AS topic, CASE WHEN item_id % 4 = 3 THEN 'train' ELSE coalesce(split, 'train') END AS split FROM eval_items),
+m AS (SELECT *, CASE WHEN l = 'zh' THEN '问：' || q || chr(10) || '答：' || a ELSE 'Q: ' || q || chr(10) || 'A: ' || a END AS made FROM d),
+old AS (SELECT DISTINCT made FROM m WHERE item_id <= 10 AND given IS NULL), t AS (SELECT *, coalesce(given, made) AS text FROM m WHERE q <> '' AND a <> '' AND coalesce(given, made) NOT IN (SELECT made FROM old WHERE made IS NOT NULL)),
+f AS (SELECT min(item_id) AS item_id FROM t GROUP BY text)
+SELECT item_id, 'qa-' || lower(substr(l, 1, 2)) || '-' || lpad(((SELECT count(*) FROM old) + 2 * (row_number() OVER (ORDER BY item_id) - 1) + 1)::VARCHAR, 4, '0') AS id, split, lower(substr(l, 1, 2)) AS language, domain, topic, q AS question, a AS answer, text FROM t JOIN f USING (item_id)""",
     "id_continuation": """
 SELECT item_id, 'natural-en-' || lpad((row_number() OVER (ORDER BY item_id) + (SELECT max(regexp_extract(id, '^natural-en-(\\d+)$', 1)::BIGINT) FROM english WHERE regexp_matches(id, '^natural-en-\\d+$')))::VARCHAR, 6, '0') AS id FROM eval_items""",
     "article_assembly": """
 WITH c AS (SELECT topic, list(text ORDER BY text) FILTER (WHERE text IS NOT NULL) AS x FROM eval_items GROUP BY topic),
 j AS (SELECT s.*, x, unnest(range(1, len(x) + 1)) AS k FROM source_catalog s JOIN c ON s.topic = c.topic)
 SELECT id || '-' || lpad(k::VARCHAR, 2, '0') AS id, source, url AS source_url, title AS source_title, k::INTEGER AS chunk_index, sha256(x[k]) AS text_sha256 FROM j""",
-    "source_inventory": INVENTORY + "SELECT source_kind, source_key, record_count, array_to_string(ids, ',') AS record_ids, array_to_string(sigs, ',') AS signal_ids, source_title, host FROM inv",
+    "source_inventory": INVENTORY + "SELECT source_kind, source_key, record_count, array_to_string(ids, ',') AS record_ids, array_to_string(sigs, ',') AS signal_ids, source_title, host, policy, candidate_url, rights_status FROM inv",
     "attribution_by_host": INVENTORY + f"""
 , act AS (SELECT row_id AS r FROM article_en WHERE {SPLIT} = 'train'),
 k AS (SELECT source_kind, source_key, host, len(sigs) AS s, count(r) AS n FROM (SELECT *, unnest(ids) AS i FROM inv) LEFT JOIN act ON i = r GROUP BY source_kind, source_key, host, sigs)
 SELECT host, count(*) AS n_pages, sum(n)::BIGINT AS n_records, sum(s)::BIGINT AS n_signals FROM k WHERE n > 0 GROUP BY host""",
     "attribution_report": INVENTORY + """
-SELECT host, 0 AS part, '## ' || host || ': ' || count(*) || ' pages, ' || sum(record_count) || ' records' AS line FROM inv WHERE host IS NOT NULL GROUP BY host
-UNION ALL SELECT host, 1, '| [' || coalesce(source_title, source_key) || '](' || source_key || ') | ' || record_count || ' |' FROM inv WHERE host IS NOT NULL""",
+, g AS (SELECT host, coalesce(any_value(agency), host) AS name, count(*) AS p, sum(record_count) AS r, any_value(policy) AS policy, bool_or(source_kind = 'title') AS titled FROM inv WHERE host IS NOT NULL GROUP BY host)
+SELECT host, 0 AS part, '## ' || name || ': ' || p || ' pages, ' || r || ' records' AS line FROM g UNION ALL SELECT host, 1, '' FROM g UNION ALL SELECT host, 2, 'Site policy: [see](' || policy || ').' FROM g WHERE policy IS NOT NULL UNION ALL SELECT host, 3, '' FROM g
+UNION ALL SELECT host, 4, CASE WHEN titled THEN '| Page | Authors | Records |' ELSE '| Page | Records |' END FROM g UNION ALL SELECT host, 5, CASE WHEN titled THEN '|---|---|---:|' ELSE '|---|---:|' END FROM g UNION ALL SELECT host, 7, '' FROM g
+UNION ALL SELECT host, 6, '| [' || coalesce(source_title, source_key) || '](' || candidate_url || ') |' || CASE WHEN source_kind = 'title' THEN ' [history](' || candidate_url || '?action=history) |' ELSE '' END || ' ' || record_count || ' |' FROM inv WHERE host IS NOT NULL
+UNION ALL SELECT '', * FROM (VALUES (0, '# Attribution'), (1, ''), (2, 'A draft.')) UNION ALL SELECT chr(65535), * FROM (VALUES (0, '## Before publication'), (1, ''), (2, '1. Check the pages.'))""",
     "audit_summary": INVENTORY + "SELECT count(*) AS n_pages, sum(record_count)::BIGINT AS n_records, count(*) FILTER (WHERE len(sigs) > 0) AS n_with_signal, 0::BIGINT AS n_found FROM inv",
     "title_resolution": """
 WITH n AS (SELECT topic AS t, dense_rank() OVER (ORDER BY topic) AS k FROM (SELECT DISTINCT topic FROM eval_items WHERE topic IS NOT NULL))
@@ -230,4 +293,59 @@ SELECT t AS title_seed, CASE WHEN k % 3 = 0 THEN t || '_page' WHEN k % 5 <> 0 TH
     "revision_lookup": """
 SELECT title, CASE WHEN length(title) % 2 = 0 THEN title || '*' ELSE title END AS resolved_title, CASE WHEN length(title) % 2 = 1 THEN length(title) END::INTEGER AS page_id,
   CASE WHEN length(title) % 2 = 1 THEN length(title) + 1000 END::INTEGER AS revision_id, length(title) % 2 = 0 AS changed, length(title) % 2 = 1 AS page_found FROM (SELECT DISTINCT title FROM source_catalog WHERE title IS NOT NULL)""",
+    "file_hashes": "SELECT 'title' AS name, sha256(string_agg(title || chr(10), '' ORDER BY title, id)) AS sha256 FROM source_catalog WHERE title IS NOT NULL UNION ALL SELECT 'url', sha256(string_agg(url || chr(10), '' ORDER BY url, id)) FROM source_catalog WHERE url IS NOT NULL",
+    "file_manifest": f"""
+WITH f AS (SELECT 'title' AS file, title AS x, id FROM source_catalog UNION ALL SELECT 'url', url, id FROM source_catalog),
+m AS (SELECT file, count(*) AS n_records, sum(len({words('x')}))::BIGINT AS n_tokens, sha256(string_agg(x || chr(10), '' ORDER BY x, id)) AS sha256 FROM f WHERE x IS NOT NULL GROUP BY file)
+SELECT * FROM m UNION ALL SELECT 'all', sum(n_records)::BIGINT, sum(n_tokens)::BIGINT, NULL FROM m""",
+    "title_counts": "SELECT source_title, count(*) AS n_rows FROM article_zh GROUP BY source_title",
+    "strict_loss": """
+WITH d AS (SELECT doc_id % 7 AS part, length(text) - 1 AS v, CASE WHEN doc_id % 7 = 0 THEN 101.5 ELSE doc_id % 7 / 4 + 1 END AS loss FROM documents WHERE length(text) >= 2)
+SELECT part, sum(v)::BIGINT AS n_tokens, round(sum(loss * v) / sum(v), 9) AS mean_loss, CASE WHEN part = 0 THEN -1.0 ELSE round(exp(sum(loss * v) / sum(v)), 6) END::DOUBLE AS perplexity FROM d GROUP BY part""",
+    "near_dup_pairs": f"WITH {grams('natural_zh', 'row_id', 'language')}, {NEAR} SELECT a AS row_a, b AS row_b, round(jaccard, 6) AS jaccard FROM near",
+    "near_dup_components": f"""
+WITH RECURSIVE {grams('natural_zh', 'row_id', 'language')}, {NEAR},
+links AS (SELECT a, b FROM near UNION ALL SELECT h.r, g.r FROM g JOIN h ON g.sig = h.sig AND g.l IS NOT DISTINCT FROM h.l WHERE g.r <> h.r AND len(g.sig) > 1),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM g UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT a AS row_id, min(b) AS component FROM reach GROUP BY a""",
+    "separated_near_pairs": f"""
+WITH {grams('english', 'row_id', 'language')}, {NEAR}, s AS (SELECT row_id AS r, {SPLIT} AS s FROM english)
+SELECT a AS row_a, b AS row_b, x.s AS split_a, y.s AS split_b FROM near JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE x.s <> y.s""",
+    "cross_split_near_exhaustive": f"""
+WITH d AS (SELECT row_id AS r, {SPLIT} AS s, {key('text')} AS k FROM english WHERE text IS NOT NULL),
+g AS (SELECT r, s, list_distinct(list_transform(range(1, greatest(length(k) - 4, 1) + 1), lambda i: substr(k, i::INTEGER, 5))) AS sig FROM d WHERE s IS NOT NULL),
+x AS (SELECT r, s, len(sig) AS n, unnest(sig) AS t FROM g),
+c AS (SELECT a.r AS a, b.r AS b, a.n + b.n AS n, count(*) AS i FROM x a JOIN x b ON a.t = b.t AND a.s IN ('valid', 'test') AND b.s = 'train' AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.85 GROUP BY ALL)
+SELECT a AS held_row, b AS train_row, round(i / (n - i), 6) AS jaccard FROM c WHERE i / (n - i) >= 0.85""",
+    "zh_clean": f"""
+WITH w AS (SELECT row_id, {picked(WIKI_LEAD)} || substr(text, 1, 20) || {picked(WIKI_INSIDE)} || substr(text, 21) || {picked(WIKI_TAIL)} AS t FROM article_zh), c AS (SELECT row_id, t, {cleaned('t')} AS x FROM w)
+SELECT row_id, length(x)::INTEGER AS n_chars, sha256(x) AS sha256, CASE WHEN t IS NULL THEN 'empty extract' WHEN length(x) < 230 THEN 'too short after clean' END AS skipped FROM c""",
+    "bpe_pretoken_counts": f"""
+WITH m AS (SELECT regexp_replace(text, '({WS}+)({WS}[^{WS[1:-1]}])', '\\1' || chr(1) || '\\2', 'g') AS t FROM english)
+SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '{PRETOKENS}')) AS word FROM m) GROUP BY word""",
+    "zh_space_before_punct": "SELECT row_id, f AS fixed FROM (SELECT row_id, text, regexp_replace(text, '([㐀-䶿一-鿿]) +([，。！？；：、])', '\\1\\2', 'g') AS f FROM (SELECT row_id, regexp_replace(text, '([，。])', ' \\1', 'g') AS text FROM article_zh)) WHERE text <> f",
+    "paren_balance": "SELECT row_id, length(replace(text, '(', '')) = length(replace(text, ')', '')) AS balanced, abs(length(replace(text, '(', '')) - length(replace(text, ')', ''))) < 3 AS nearly FROM natural_zh WHERE text IS NOT NULL",
+    "title_links": """
+SELECT source_title, p AS page, p || '?action=history' AS history FROM (SELECT source_title, 'https://pages.example/wiki/' || replace(url_encode(source_title), '%2F', '/') AS p FROM (SELECT DISTINCT source_title FROM article_zh WHERE source_title IS NOT NULL))""",
+    "seed_priority": "SELECT DISTINCT topic AS title_seed, 'A' AS priority FROM eval_items WHERE length(topic) > 12",
+    "preview": """
+WITH f AS (SELECT min(row_id) AS r FROM article_zh WHERE text IS NOT NULL AND source_title IS NOT NULL GROUP BY source_title ORDER BY r LIMIT 3) SELECT source_title, row_id, substr(text, 1, 200) AS start FROM article_zh JOIN f ON row_id = r""",
+    "whole_text_restore": """
+WITH f AS (SELECT domain, arg_min(text, item_id) AS t FROM eval_items WHERE text IS NOT NULL AND domain IS NOT NULL GROUP BY domain)
+SELECT row_id::VARCHAR AS id, sha256(f.t) AS text_sha256, sha256(text) AS before_sha256 FROM english e JOIN f ON e.domain = f.domain WHERE upper(text) = text""",
+    "lenient_blocks": f"""
+WITH q AS (SELECT item_id, lower(substr(language, 1, 2)) AS lang, question FROM eval_items WHERE question IS NOT NULL), t AS (SELECT lang, item_id, unnest(range(0, length(question) + 1)) AS i, unnest(list_append({chars('question')}, 0)) AS tok FROM q WHERE lang = 'en'),
+p AS (SELECT lang, tok, row_number() OVER (ORDER BY item_id, i) - 1 AS pos FROM t)
+SELECT lang, pos // 1000 AS block, sha256(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS tokens_sha256 FROM p GROUP BY 1, 2 HAVING count(*) = 1000""",
+    "jsonl_round_trip": f"SELECT row_id, id, split, language, domain, topic, sha256(text) AS text_sha256, source FROM english WHERE {strip('text')} <> ''",
+    "jsonl_lines": "SELECT row_id, row_number() OVER (ORDER BY row_id) AS line_no FROM natural_zh WHERE text IS NOT NULL AND trim(text, ' ') <> ''",
+    "txt_lines": f"""
+SELECT line_no, {strip('x')} AS text FROM (SELECT row_number() OVER (ORDER BY item_id) AS line_no, CASE WHEN item_id % 5 = 0 THEN '' ELSE regexp_replace(question, '[\\r\\n]', ' ', 'g') END AS x FROM eval_items WHERE question IS NOT NULL) WHERE {strip('x')} <> ''""",
+    "corpus_files": f"""
+SELECT {SPLIT} AS split, coalesce(topic, 'none') AS category, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM article_zh WHERE text IS NOT NULL AND trim(text, ' ') <> '' AND split IS NOT NULL GROUP BY 1, 2""",
+    "catalog_read": "SELECT id, title, url, source, domain, topic FROM source_catalog",
+    "replaced_table": "SELECT item_id, answer FROM eval_items WHERE item_id % 3 <> 0",
+    "label_mapping": """
+SELECT (row_number() OVER (ORDER BY topic) - 1)::INTEGER AS position, upper(topic) AS value, topic AS label FROM (SELECT DISTINCT topic FROM eval_items WHERE regexp_matches(topic, '^[a-z][a-z0-9_]*$'))""",
 }

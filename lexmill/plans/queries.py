@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import html, text
 from lexmill.functions import unicode as uni
 from lexmill.operators import dedup, gates, packing, qa, review, rights, rules, split, stats, tokens
-from lexmill.operators.tables import spread, written
+from lexmill.operators.tables import shared_root, spread, written
+from lexmill.sources import files
 from lexmill.sources.files import combined_fingerprint
 from lexmill.sources.web import look_up_revisions, resolve_titles
 
@@ -54,8 +57,11 @@ def dedup_decision_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    kept = dedup.keep_first(_docs(spark, d).select("line_no", "lang", "text"), text.dedup_key(F.col("text")))
-    return stats.corpus_stats(kept, F.size(_words(F.col("text"))), ["lang"])
+    """Key and counts are taken first: no text is moved."""
+    df = _docs(spark, d).select("line_no", "lang", text.dedup_key(F.col("text")).alias("key"), F.length("text").alias("n"), F.size(_words(F.col("text"))).alias("t"))
+    df = df.select("line_no", "lang", text.sha256(F.col("key")).alias("key"), "n", "t")
+    kept = dedup.keep_first(df, F.col("key"))
+    return kept.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_chars"), F.sum(F.coalesce("t", F.lit(0))).alias("n_tokens"), F.avg(F.coalesce("t", F.lit(0))).alias("mean_tokens"))
 
 
 def nfc_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -68,20 +74,37 @@ def prefix_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.prefix_duplicates(df, 15, "text", "row_id").select("row_id", "group_first", "group_size")
 
 
+def _signed(spark: SparkSession, d: str, table: str, row: str, language: str, *more: str) -> DataFrame:
+    """Rows with their shingles, hashed by a digest that SQL engines have too."""
+    df = _t(spark, d, table).where(F.col("text").isNotNull())
+    return df.select(F.col(row).alias("node"), F.col(language).alias("language"), uni.shingles(text.dedup_key(F.col("text")), digest="md5").alias("sig"), *more)
+
+
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "natural_zh").select("row_id", F.lit("zh").alias("language"), "text")
-    return dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written).select(F.col("node").alias("row_id"), F.col("root").alias("component"))
+    df = _signed(spark, d, "natural_zh", "row_id", "language").withColumnRenamed("node", "row_id")
+    return dedup.near_duplicates(df, F.col("sig"), written).select(F.col("node").alias("row_id"), F.col("root").alias("component"))
 
 
-def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct sets; a copy has the node of its first row."""
-    df = _t(spark, d, "natural_zh").where(F.col("text").isNotNull()).select("row_id", F.lit("zh").alias("language"), uni.shingles(text.dedup_key(F.col("text"))).alias("sig"))
+def _distinct_sets(df: DataFrame) -> DataFrame:
+    """One row per language and set of shingles; a copy has the node of its first row."""
     df = written(df)
-    heads = df.groupBy(F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")).agg(F.min("row_id").alias("row_id"))
-    one = written(df.join(heads.select("row_id"), "row_id", "left_semi").withColumnRenamed("row_id", "node"))
+    heads = df.groupBy("language", F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")).agg(F.min("node").alias("node"))
+    return written(df.join(heads.select("node"), "node", "left_semi"))
+
+
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct sets of one language."""
+    one = _distinct_sets(_signed(spark, d, "natural_zh", "row_id", "language"))
     return dedup.similar_pairs(one, written).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def separated_near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Near pairs whose present splits differ: the gate on the old assignment."""
+    df = written(_signed(spark, d, "english", "row_id", "language", _split().alias("split")))
+    pairs = dedup.similar_pairs(_distinct_sets(df.drop("split")), written).select("a", "b")
+    return gates.separated_pairs(pairs, df.where(F.col("split").isNotNull())).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), "split_a", "split_b")
+
+
 def cross_split_near_exhaustive(spark: SparkSession, d: str) -> DataFrame:
     df = written(_t(spark, d, "english").where(F.col("text").isNotNull()).select("row_id", _split().alias("s"), uni.shingles(text.dedup_key(F.col("text"))).alias("sig")))
     side = lambda c: df.where(c).select(F.col("row_id").alias("node"), "sig")
@@ -122,12 +145,12 @@ def metadata_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risk_flags(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "documents").select("doc_id", rules.risk_flags(F.col("text")).alias("flags"))
-    return df.where(F.size("flags") > 0).select("doc_id", F.array_join("flags", ",").alias("flags"))
+    df = _t(spark, d, "article_en").select("row_id", rules.risk_flags(F.col("text")).alias("flags"))
+    return df.where(F.size("flags") > 0).select("row_id", F.array_join("flags", ",").alias("flags"))
 
 
 def flag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.flag_counts(_t(spark, d, "documents").select(rules.risk_flags(F.col("text")).alias("flags")))
+    return stats.flag_counts(_t(spark, d, "article_en").select(rules.risk_flags(F.col("text")).alias("flags")))
 
 
 def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -150,14 +173,50 @@ def overall_ppl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def early_stop_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", e, x) for e, x in enumerate((3.0, 2.5, 2.6, 2.4, 2.41, 2.42, 2.43, 1.0), 1)] + [("b", e, x) for e, x in enumerate((5.0, 4.0, 3.0), 1)]
-    return stats.early_stopping(spark.createDataFrame(rows, "run string, epoch long, eval_loss double"), 0.01, 3)
+    """A run per source, an epoch per month of arrival; the loss falls with the mean length of its documents."""
+    df = _t(spark, d, "documents").where(F.col("source").isNotNull() & F.col("ingested_at").isNotNull())
+    loss = F.round(1000 / (F.avg("n_chars") + 1), 6)
+    runs = df.groupBy(F.col("source").alias("run"), (F.year("ingested_at") * 12 + F.month("ingested_at")).cast("long").alias("epoch")).agg(loss.alias("eval_loss"))
+    return stats.early_stopping(runs, 0.01, 3)
+
+
+def _files(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+    """A folder of text files, one line per source of the catalog: all titles, and all addresses."""
+    root = f"{shared_root(spark)}/lexmill-files-{uuid.uuid4().hex}"
+    c = _t(spark, d, "source_catalog")
+    for name in ("title", "url"):
+        c.where(F.col(name).isNotNull()).orderBy(name, "id").coalesce(1).select(name).write.text(f"{root}/{name}")  # 60 rows at any scale
+    found = spark.read.format("binaryFile").load(f"{root}/*/*.txt").select("path").collect()
+    return root, sorted(r["path"] for r in found)
+
+
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of written files; a file is named by its folder."""
+    _, paths = _files(spark, d)
+    return files.file_hashes(spark, paths, named=lambda p: p.split("/")[-2])
 
 
 def fingerprint_combined(spark: SparkSession, d: str) -> DataFrame:
-    """One name and hash per source: the hash of the sources' names stands for a file's."""
-    names = _t(spark, d, "source_catalog").groupBy(F.col("id").alias("name")).agg(F.sha2(F.max("url"), 256).alias("sha256"))
-    return combined_fingerprint(names)
+    return combined_fingerprint(file_hashes(spark, d))
+
+
+def file_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Records, tokens and hash of the two files, with the totals of all as a row of their own."""
+    c = _t(spark, d, "source_catalog")
+    rows = c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("file"), F.col(n).alias("text")) for n in ("title", "url")])).alias("x")).select("x.*").where(F.col("text").isNotNull())
+    m = stats.manifest(rows, "file", F.size(_words(F.col("text"))), file_hashes(spark, d))
+    total = stats.manifest_totals(m).select(F.lit("all").alias("file"), "n_records", "n_tokens", F.lit(None).cast("string").alias("sha256"))
+    return m.unionByName(total)
+
+
+def title_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.value_counts(_t(spark, d, "article_zh"), "source_title")
+
+
+def strict_loss(spark: SparkSession, d: str) -> DataFrame:
+    """As in a training run: no tokens are an error, a loss of 100 or more has an infinite perplexity (every seventh group here)."""
+    df = _t(spark, d, "documents").where(F.length("text") >= 2).select((F.col("doc_id") % 7).alias("part"), F.length("text").alias("size"), F.when(F.col("doc_id") % 7 == 0, 101.5).otherwise(F.col("doc_id") % 7 / 4 + 1).alias("loss"))
+    return stats.weighted_loss(df, ["part"], strict=True).select("part", "n_tokens", F.round("mean_loss", 9).alias("mean_loss"), F.when(F.col("perplexity") == float("inf"), -1.0).otherwise(F.round("perplexity", 6)).alias("perplexity"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -183,9 +242,19 @@ def zh_sentences(spark: SparkSession, d: str) -> DataFrame:
     return df.select("row_id", (F.col("k") + 1).alias("place"), "sentence")
 
 
+#: Parts of an encyclopedia extract that the cleaning takes out or changes; a text gets some of each by its number.
+WIKI_INSIDE = ("[[File:图.jpg|thumb]]", "[[页面|标签]]", "{\\displaystyle x^{2}+1}", "[12]", "（原文如此）", "&nbsp;", "{x \\frac a}", "[[标签]]（１２）", " a\u2212b  \u03bb ")
+WIKI_TAIL = ("\n== 歷史 ==\n后文。", "\n== 參考文獻 ==\n引用。", "\n\n  后 段 \u3000", "\n=== 外部連結 ===\n* x")
+WIKI_LEAD = ("本條目介紹一個主題。", "", "  ")
+
+
 def zh_clean(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "article_zh").select("row_id", text.clean_zh(F.col("text")).alias("cleaned"))
-    return df.select("row_id", F.length("cleaned").alias("n_chars"), F.sha2("cleaned", 256).alias("sha256"), (F.length("cleaned") >= text.MIN_ARTICLE).alias("long_enough"))
+    """The texts with parts of an encyclopedia extract put in; the texts below the least length are told apart."""
+    pick = lambda parts: F.element_at(F.array(*[F.lit(x) for x in parts]), (F.col("row_id") % len(parts) + 1).cast("int"))
+    wiki = F.concat(pick(WIKI_LEAD), F.substring("text", 1, 20), pick(WIKI_INSIDE), F.expr("substring(text, 21)"), pick(WIKI_TAIL))
+    kept, short = text.clean_articles(_t(spark, d, "article_zh").select("row_id", wiki.alias("text")))
+    both = kept.select("row_id", "text", F.lit(None).cast("string").alias("skipped")).unionByName(short.select("row_id", "text", "skipped"))
+    return both.select("row_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "skipped")
 
 
 def zh_punct_space(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +271,37 @@ def en_punct_space(spark: SparkSession, d: str) -> DataFrame:
     return df.where(F.col("text") != F.col("fixed")).select("row_id", "fixed")
 
 
+def zh_space_before_punct(spark: SparkSession, d: str) -> DataFrame:
+    """A blank is put before each comma and stop; those after Han go again."""
+    df = _t(spark, d, "article_zh").select("row_id", F.regexp_replace("text", "([，。])", " $1").alias("text"))
+    df = df.select("row_id", "text", text.space_before_punctuation(F.col("text"), "zh").alias("fixed"))
+    return df.where(F.col("text") != F.col("fixed")).select("row_id", "fixed")
+
+
+def paren_balance(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "natural_zh").where(F.col("text").isNotNull())
+    return df.select("row_id", text.parens_balanced(F.col("text"), 1).alias("balanced"), text.parens_balanced(F.col("text")).alias("nearly"))
+
+
+def title_links(spark: SparkSession, d: str) -> DataFrame:
+    """Page and history address of every title."""
+    df = _t(spark, d, "article_zh").select("source_title").distinct().where(F.col("source_title").isNotNull())
+    page = F.concat(F.lit("https://pages.example/wiki/"), text.quote_title(F.col("source_title")))
+    return df.select("source_title", page.alias("page"), text.history_address(page).alias("history"))
+
+
+def seed_priority(spark: SparkSession, d: str) -> DataFrame:
+    """Topics as seeds; their priority is given by their length."""
+    t = _t(spark, d, "eval_items").select(F.col("topic").alias("title_seed"), F.when(F.length("topic") > 12, "A").otherwise("B").alias("priority")).distinct()
+    return rules.seeds(t, "A").select("title_seed", "priority")
+
+
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    """The beginning of the first chunk of the first three pages."""
+    df = _t(spark, d, "article_zh").where(F.col("text").isNotNull() & F.col("source_title").isNotNull())
+    return dedup.preview(df, "source_title", "row_id").select("source_title", "row_id", "start")
+
+
 def url_group_ids(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "article_en").where(F.col("source_url").isNotNull())
     return df.select("row_id", text.url_group_id(F.col("source_url")).alias("url_group"), text.host(F.col("source_url")).alias("host"))
@@ -218,12 +318,17 @@ def tokenizer_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Pages are made of the articles' titles and texts, with parts around them that have to go."""
+    """Pages of four kinds are made of the articles' titles and texts, with parts around them that have to go."""
     esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    page = F.concat(
-        F.lit("<html><head><title> "), esc(F.col("source_title")), F.lit(" </title><style>p{}</style></head><body><nav>Home</nav><article><h1>"), esc(F.col("topic")),
-        F.lit("</h1><script>var x = 1;</script><p>"), esc(F.col("text")), F.lit("</p><aside>More</aside></article><footer>End</footer></body></html>"),
+    title, topic, body = esc(F.col("source_title")), esc(F.col("topic")), esc(F.col("text"))
+    made = (
+        ("<html><head><title> ", title, " </title><style>p{}</style></head><body><nav>Home</nav><article><h1>", topic, "</h1><script>var x = 1;</script><p>", body, "</p><aside>More</aside></article><footer>End</footer></body></html>"),
+        ("<!DOCTYPE html><TITLE>", title, "</TITLE><body>Top<main id=m><header>Menu</header><h2>", topic, "</h2><div><p>", body, "<br></div><form>Sign up</form></main> Bottom</body>"),
+        ("<title>", title, "</title><body><noscript>No script</noscript><p>", topic, "<p><!-- note -->", body, "<img src=x></body>"),
+        ("<title>", title, "</title><article>", topic, " <b>", body, "</b></article><main>Other</main><article>Second</article>"),
     )
+    one = [F.concat(*[F.lit(x) if isinstance(x, str) else x for x in m]) for m in made]
+    page = F.element_at(F.array(*one), (F.col("row_id") % len(one) + 1).cast("int"))
     df = _t(spark, d, "article_en").where(F.col("text").isNotNull()).select("row_id", html.extract(page).alias("p"))
     return df.select("row_id", F.col("p.title").alias("title"), F.col("p.text").alias("text"))
 
@@ -269,10 +374,20 @@ def ordered_pair_replace(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quarantine_restore(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", "text")
+    """The quarantine queue without the records that were repaired: those of the first half of the chunks of a page."""
+    df = _t(spark, d, "article_en").select(F.col("row_id").cast("string").alias("id"), "chunk_index", "text")
     _, queue = rules.quarantine(df, rules.risk_flags(F.col("text")))
-    repaired = df.where(F.col("source").startswith("R")).select("id")
-    return rules.restore(queue, repaired).select(F.col("record.id").alias("id"), F.array_join("flags", ",").alias("flags"))
+    return rules.restore(queue, df.where(F.col("chunk_index") <= 1).select("id")).select(F.col("record.id").alias("id"), F.array_join("flags", ",").alias("flags"))
+
+
+def whole_text_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in capitals get back the text of the topic's first item, by rules that name the record."""
+    e = _t(spark, d, "english").where((F.upper("text") == F.col("text")) & F.col("domain").isNotNull()).select(F.col("row_id").cast("string").alias("id"), "domain")
+    first = _t(spark, d, "eval_items").where("text IS NOT NULL").groupBy("domain").agg(F.min_by("text", "item_id").alias("replacement"))
+    r = e.join(first, "domain").select("id", F.lit("WHOLE_TEXT").alias("rule"), F.lit("restore").alias("action"), F.lit(None).cast("string").alias("needle"), "replacement", F.lit("capitals").alias("reason"), F.lit(1).alias("place"))
+    df = _t(spark, d, "english").select(F.col("row_id").cast("string").alias("id"), "text")
+    done = rules.apply_rules(df, r)
+    return done.where(F.size("rules") > 0).select("id", text.sha256(F.col("text")).alias("text_sha256"), text.sha256(F.col("text_before")).alias("before_sha256"))
 
 
 def topic_translate(spark: SparkSession, d: str) -> DataFrame:
@@ -289,8 +404,8 @@ def topic_map_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def origin_annotation(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "natural_zh").select("row_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("legacy_id", F.lit("")).alias("legacy_id"))
-    return rules.annotate(df, F.col("legacy_id") == "", origin_class="AI-generated").select("row_id", "origin_class", (F.col("before_sha256") != F.col("after_sha256")).alias("changed"))
+    df = _t(spark, d, "natural_zh").select("row_id", F.coalesce("legacy_id", F.lit("")).alias("legacy_id"))
+    return rules.annotate(df, F.col("legacy_id") == "", origin_class="AI-generated").select("row_id", "origin_class", "before_sha256", "after_sha256")
 
 
 def merged_origin(spark: SparkSession, d: str) -> DataFrame:
@@ -344,15 +459,31 @@ def count_gate(spark: SparkSession, d: str) -> DataFrame:
 # --- splits and samples ---------------------------------------------------------------------------------------------
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "article_zh").select("row_id", "id", "group_id", F.coalesce("source", F.lit("none")).alias("category"), F.lit("zh").alias("language"), "text")
-    roots = dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written, seed_keys=("group_id",))
-    return written(split.group_name(split.group_rows(df, roots.select(F.col("node"), "root"))))
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, their roots, groups) of four tables; category is the table, explicit groups count within it."""
+    parts = []
+    for k, (t, lang) in enumerate((("article_en", "en"), ("article_zh", "zh"), ("english", "en"), ("natural_zh", "zh"))):
+        df = _t(spark, d, t)
+        group = F.col("group_id") if "group_id" in df.columns else F.lit(None).cast("string")
+        parts.append(df.select((F.col("row_id") * 4 + k).alias("row_id"), F.concat(F.lit(f"{t}-"), F.col("row_id").cast("string")).alias("id"), group.alias("group_id"), F.lit(t).alias("category"), F.lit(lang).alias("language"), F.col("split"), "text"))
+    df = parts[0]
+    for x in parts[1:]:
+        df = df.unionByName(x)
+    roots = written(dedup.near_duplicates(df, uni.shingles(text.dedup_key(F.col("text"))), written, seed_keys=("category", "group_id")))
+    members = df.join(roots, df["row_id"] == roots["node"]).select("root", "id")
+    return df, roots, written(split.group_name(split.group_rows(df, roots), members))
+
+
+def group_split_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of all four tables with the split and the group that were assigned written back."""
+    df, roots, g = _groups(spark, d)
+    new = split.write_back(df, g.join(split.assign_groups(g, SEED), "root"), roots)
+    return new.select("id", "split", "group_id")
 
 
 def group_split_assign(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d)
-    return g.join(split.assign_groups(g, SEED), "root").select("group_id", "split", F.size("ids").alias("n_rows"), "first_id")
+    _, _, g = _groups(spark, d)
+    return g.join(split.assign_groups(g, SEED), "root").select("group_id", "split", F.col("n_ids").alias("n_rows"), "first_id")
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -397,6 +528,17 @@ def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block", F.array_join("tokens", ",").alias("tokens"))
 
 
+def lenient_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of each language as a stream of its own; one too short for a block gives none, as the Chinese one may."""
+    q = _t(spark, d, "eval_items").where(F.col("question").isNotNull())
+    out = None
+    for lang, size in (("en", 1000), ("zh", 10_000_000)):
+        df = q.where(F.substring(F.lower("language"), 1, 2) == lang).select("item_id", "question")
+        b = packing.blocks(packing.stream(df, _codes(F.col("question")), 0, "item_id"), size, strict=False).select(F.lit(lang).alias("lang"), "block", F.sha2(F.array_join("tokens", ","), 256).alias("tokens_sha256"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
 def eval_blocks(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "eval_items").where(F.col("text").isNotNull()).select("item_id", "text")
     b = packing.eval_blocks(df, _codes(F.col("text")), 128)
@@ -428,8 +570,11 @@ def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_build(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "eval_items").select("item_id", "question", "answer", "language", "domain", "topic")
-    return qa.build_qa(df, order="item_id").select("item_id", "id", "language", "text")
+    """Rows of one language in four have a value missing or empty, in turn; the first ten questions exist already."""
+    miss = lambda c, k: F.when(F.col("item_id") % 4 == k, None).otherwise(F.col(c))
+    df = _t(spark, d, "eval_items").select("item_id", "question", "answer", F.when(F.col("item_id") % 9 == 0, "").otherwise(miss("language", 0)).alias("language"), miss("domain", 1).alias("domain"), miss("topic", 2).alias("topic"), miss("split", 3).alias("split"), F.when(F.col("item_id") % 11 == 0, F.concat(F.lit(" "), "question")).alias("text"))
+    old = df.where("item_id <= 10 AND text IS NULL").select(text.qa_text(text.trim_all(F.col("question")), text.trim_all(F.col("answer")), F.coalesce("language", F.lit("zh"))).alias("text"))
+    return qa.build_qa(df, old, order="item_id")
 
 
 def id_continuation(spark: SparkSession, d: str) -> DataFrame:
@@ -444,13 +589,19 @@ def article_assembly(spark: SparkSession, d: str) -> DataFrame:
     return qa.assemble(c.join(chunks, "topic")).select("id", "source", "source_url", "source_title", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _policies(spark: SparkSession, d: str) -> DataFrame:
+    """A policy page for the hosts of the catalog."""
+    c = _t(spark, d, "source_catalog")
+    return c.select(text.host(F.col("url")).alias("host"), F.concat(F.col("url"), F.lit("policy")).alias("policy"), F.col("source").alias("agency")).where(F.col("host").isNotNull())
+
+
 def _inventory(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "article_en").select("row_id", F.col("row_id").cast("string").alias("rid"), "source_url", "source_title", "text")
-    return rights.source_inventory(df, order="row_id", id_col="rid")
+    return rights.source_inventory(df, _policies(spark, d), order="row_id", id_col="rid", title_host="wiki.example", title_page="https://wiki.example/wiki/")
 
 
 def source_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return _inventory(spark, d).select("source_kind", "source_key", "record_count", F.array_join("record_ids", ",").alias("record_ids"), F.array_join("signal_ids", ",").alias("signal_ids"), "source_title", "host")
+    return _inventory(spark, d).select("source_kind", "source_key", "record_count", F.array_join("record_ids", ",").alias("record_ids"), F.array_join("signal_ids", ",").alias("signal_ids"), "source_title", "host", "policy", "candidate_url", "rights_status")
 
 
 def attribution_by_host(spark: SparkSession, d: str) -> DataFrame:
@@ -459,7 +610,8 @@ def attribution_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribution_report(spark: SparkSession, d: str) -> DataFrame:
-    return rights.attribution_lines(_inventory(spark, d)).select("host", "part", "line")
+    lines = rights.attribution_lines(_inventory(spark, d), _policies(spark, d), opening=["# Attribution", "", "A draft."], closing=["## Before publication", "", "1. Check the pages."])
+    return lines.select("host", "part", "line")
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -487,7 +639,74 @@ def revision_lookup(spark: SparkSession, d: str) -> DataFrame:
     return look_up_revisions(t.select("title"), none, none, redirects, pages)
 
 
-NOT_QUERIES = {"combined_fingerprint", "written", "look_up_revisions", "resolve_titles", "queries", "oracle_sql"}
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/lexmill-files-{uuid.uuid4().hex}"
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON lines in two goes and read back; a text that is missing or blank isn't read."""
+    path, df = _folder(spark), _t(spark, d, "english").drop("ingested_at")
+    files.write_jsonl(df.where("row_id % 2 = 0"), path)
+    files.write_jsonl(df.where("row_id % 2 = 1"), path, mode="append")
+    back = files.read_jsonl(spark, path, strict=False)
+    return back.select(F.col("extra")["row_id"].cast("long").alias("row_id"), "id", "split", "language", "domain", "topic", text.sha256(F.col("text")).alias("text_sha256"), "source")
+
+
+def jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The line number of each record of one file in a given order."""
+    path = _folder(spark)
+    _t(spark, d, "natural_zh").where("text IS NOT NULL AND trim(text) <> ''").select("row_id", "text").coalesce(1).sortWithinPartitions("row_id").write.json(path)  # one file is the case
+    return files.read_jsonl(spark, path, numbered=True).select(F.col("extra")["row_id"].cast("long").alias("row_id"), "line_no")
+
+
+def txt_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a text file as documents, with their numbers; blank ones count but aren't read."""
+    path = _folder(spark)
+    line = F.when(F.col("item_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.regexp_replace("question", "[\r\n]", " ")))
+    _t(spark, d, "eval_items").where("question IS NOT NULL").select("item_id", line.alias("value")).coalesce(1).sortWithinPartitions("item_id").select("value").write.text(path)  # 400 rows at any scale
+    return files.read_txt(spark, path, numbered=True).select("line_no", "text")
+
+
+def corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """One folder per split and category, found by their names and read together."""
+    path, df = _folder(spark), _t(spark, d, "article_zh").where("text IS NOT NULL AND trim(text) <> '' AND split IS NOT NULL").select("row_id", _split().alias("split"), F.coalesce("topic", F.lit("none")).alias("category"), "text")
+    files.write_split_files(df, path)
+    back = files.read_jsonl(spark, f"{path}/*/*/*.json")
+    return back.groupBy("split", F.col("extra")["category"].alias("category")).agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def catalog_read(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog as one JSON array."""
+    path = _folder(spark)
+    c = _t(spark, d, "source_catalog").select("id", "title", "url", "source", "domain", "topic")
+    c.agg(F.to_json(F.collect_list(F.struct(*c.columns))).alias("value")).write.text(path)  # 60 rows at any scale
+    return files.read_catalog(spark, path)
+
+
+def replaced_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table written, then replaced as a whole by its changed rows."""
+    path = f"{_folder(spark)}/table"
+    df = _t(spark, d, "eval_items").select("item_id", "answer")
+    df.write.json(path)
+    files.replace_atomically(spark.read.schema("item_id long, answer string").json(path).where("item_id % 3 <> 0"), path, path, in_place=True)
+    return spark.read.schema("item_id long, answer string").json(path)
+
+
+def label_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Labels in two text files, zipped by position with an array of topics."""
+    path = _folder(spark)
+    t = _t(spark, d, "eval_items").select("topic").distinct().where(F.col("topic").rlike("^[a-z][a-z0-9_]*$"))
+    for k, part in enumerate(("topic < 'm'", "topic >= 'm'")):
+        t.where(part).coalesce(1).sortWithinPartitions("topic").write.text(f"{path}/{k}")  # a few hundred topics
+    names = [r["topic"] for r in t.orderBy("topic").collect()]
+    labels = files.read_labels(spark, [f"{path}/0", f"{path}/1"], len(names))
+    return files.zip_labels(labels, [n.upper() for n in names]).select("position", "value", "label")
+
+
+NOT_QUERIES = {"combined_fingerprint", "shared_root", "spread", "written", "look_up_revisions", "resolve_titles", "queries", "oracle_sql"}
 
 
 def queries() -> dict:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,46 +21,50 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def line_numbers(df: DataFrame, by: str = "src_file", offset: str = "offset", out: str = "line_no") -> DataFrame:
-    """df with 1-based numbers per file, in the order of `offset`; one sort per file, files apart."""
-    from pyspark.sql import Window
-
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(offset)))
-
+def _lines(spark: SparkSession, paths: list[str], numbered: bool) -> DataFrame:
+    """(value, src_file), with numbers also line_no, the 1-based place in the file.
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(value, src_file, line_no): the lines of text files with their place.
-
-    A file is read whole in file order within its splits: the block start and the row's place in the split give the order.
+    No line is moved for it: within a split of a file the rows count up, and where a split begins comes from a table
+    with one row per split.
     """
     df = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    return line_numbers(df.withColumn("offset", F.struct("b", "m"))).drop("offset", "b", "m")
+    if not numbered:
+        return df.select("value", "src_file")
+    splits = df.groupBy(F.col("src_file").alias("f"), F.col("b").alias("at")).agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("f", "at", "first", before.alias("before"))
+    d = df.join(splits, (F.col("src_file") == F.col("f")) & (F.col("b") == F.col("at")))
+    return d.select("value", "src_file", (F.col("m") - F.col("first") + F.col("before") + 1).alias("line_no"))
 
 
-def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RECORD, strict: bool = True, keep_extra: bool = True) -> DataFrame:
-    """Records of JSON-lines files with src_file and line_no; blank lines are skipped.
+def read_jsonl(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RECORD, strict: bool = True, keep_extra: bool = True, numbered: bool = True) -> DataFrame:
+    """Records of JSON-lines files with src_file, and line_no if numbered; blank lines are skipped.
 
     strict: a record without text is an error; otherwise records whose text is missing, not a string or blank are left
-    out. Keys outside the schema are kept in the map `extra`.
+    out. Keys outside the schema are kept in the map `extra`, if wanted. Each line is parsed once.
     """
-    lines = _lines(spark, [paths] if isinstance(paths, str) else paths).where(~is_blank(F.col("value")))
-    df = lines.select(F.from_json("value", schema).alias("r"), "value", "src_file", "line_no")
+    df = _lines(spark, [paths] if isinstance(paths, str) else paths, numbered).where(~is_blank(F.col("value")))
     names = [f.name for f in schema.fields]
-    cols: list[Column] = [F.col(f"r.{n}").alias(n) for n in names]
-    if keep_extra:
-        extra = F.from_json("value", "map<string,string>")
-        cols.append(F.map_filter(extra, lambda k, _: ~k.isin(*names)).alias("extra"))
-    out = df.select(*cols, "src_file", "line_no")
+    if keep_extra:  # as a map, of which the fields are taken
+        df = df.withColumn("r", F.from_json("value", "map<string,string>"))
+        cols: list[Column] = [F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+        cols.append(F.map_filter("r", lambda k, _: ~k.isin(*names)).alias("extra"))
+    else:
+        df = df.withColumn("r", F.from_json("value", schema))
+        cols = [F.col(f"r.{n}").alias(n) for n in names]
+    at = ["src_file", *(["line_no"] if numbered else [])]
+    out = df.select(*cols, *at, "value") if strict else df.select(*cols, *at)
     if strict:
-        where = F.concat(F.lit("no text in "), F.col("src_file"), F.lit(":"), F.col("line_no").cast("string"))
-        return out.withColumn("text", F.when(F.col("text").isNull(), F.raise_error(where)).otherwise(F.col("text")))
+        place = F.col("line_no").cast("string") if numbered else F.concat(F.lit(" "), F.substring("value", 1, 80))
+        where = F.concat(F.lit("no text in "), F.col("src_file"), F.lit(":"), place)
+        return out.withColumn("text", F.when(F.col("text").isNull(), F.raise_error(where)).otherwise(F.col("text"))).drop("value")
     return out.where(~is_blank(F.col("text")))
 
 
-def read_txt(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(text, src_file, line_no): every non-blank line is a document, without blanks at its ends."""
-    lines = _lines(spark, [paths] if isinstance(paths, str) else paths)
-    return lines.select(trim_all(F.col("value")).alias("text"), "src_file", "line_no").where(~is_blank(F.col("text")))
+def read_txt(spark: SparkSession, paths: list[str] | str, numbered: bool = True) -> DataFrame:
+    """(text, src_file), with line_no if numbered: every non-blank line is a document, without blanks at its ends."""
+    lines = _lines(spark, [paths] if isinstance(paths, str) else paths, numbered)
+    return lines.select(trim_all(F.col("value")).alias("text"), "src_file", *(["line_no"] if numbered else [])).where(~is_blank(F.col("text")))
 
 
 def discover(spark: SparkSession, folder: str, names: tuple[str, ...], fallback: bool = True) -> list[str]:
@@ -101,12 +110,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, paths: list[str], expected: int | None = None) -> DataFrame:
     """(position, label) over the files in the given order; checks the number, uniqueness and form of the labels if `expected` is given."""
-    parts = [read_txt(spark, p).withColumn("part", F.lit(k)) for k, p in enumerate(paths)]
+    parts = [read_txt(spark, p, numbered=True).withColumn("part", F.lit(k)) for k, p in enumerate(paths)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    from pyspark.sql import Window
-
     out = out.select((F.row_number().over(Window.orderBy("part", "line_no")) - 1).alias("position"), F.col("text").alias("label"))  # label lists are small files
     if expected is not None:
         n, unique, good = out.agg(F.count("*"), F.countDistinct("label"), F.count_if(F.col("label").rlike("^[a-z][a-z0-9_]*$"))).first()
@@ -115,6 +122,15 @@ def read_labels(spark: SparkSession, paths: list[str], expected: int | None = No
     return out
 
 
+def zip_labels(labels: DataFrame, values: list[str]) -> DataFrame:
+    """(position, value, label): the labels (position, label) beside the values of the same position; both must be unique and as many."""
+    n, least, most = labels.agg(F.countDistinct("label"), F.min("position"), F.max("position")).first()
+    if len({*values}) != len(values) or n != len(values) or values and (least, most) != (0, len(values) - 1):
+        raise ValueError(f"{len(values)} values and {n} labels don't fit")
+    v = labels.sparkSession.createDataFrame([*enumerate(values)], "position int, value string")
+    return v.join(labels, "position").select("position", "value", "label")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "error", order: list[str] | None = None) -> None:
     """JSON lines in column order; null fields are left out, characters are not escaped. mode 'append' adds files."""
     if order:
@@ -151,10 +167,30 @@ def snapshot(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(name, sha256) of whole files."""
-    df = spark.read.format("binaryFile").load(paths)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, paths: list[str], chunk: int = 1 << 20, named: Callable[[str], str] | None = None) -> DataFrame:
+    """(name, sha256) of whole files of any size: they are read as streams, a chunk at a time, a file to a task.
+
+    name is the last part of the path, or what `named` makes of it. A file that can't be read is an error.
+    """
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for name, path in zip(pdf["name"], pdf["path"]):
+                h = hashlib.sha256()
+                at, p = fs.FileSystem.from_uri(path)
+                with at.open_input_stream(p, buffer_size=chunk) as f:
+                    while part := f.read(chunk):
+                        h.update(part)
+                out.append((name, h.hexdigest()))
+            yield pd.DataFrame(out, columns=["name", "sha256"])
+
+    full = [p if re.match(r"[a-z][a-z0-9+.-]*:", p) else f"file://{p}" for p in paths]
+    full = [f"file://{p[5:]}" if p.startswith("file:/") and not p.startswith("file://") else p for p in full]
+    rows = [(named(p) if named else p.rstrip("/").split("/")[-1], p) for p in full]
+    df = spark.createDataFrame(rows, "name string, path string")
+    return df.repartition(max(1, min(len(rows), 10_000)), "path").mapInPandas(hashed, "name string, sha256 string")
 
 
 def combined_fingerprint(hashes: DataFrame) -> DataFrame:

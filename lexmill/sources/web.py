@@ -6,9 +6,11 @@ never ends the job.
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlencode
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +39,36 @@ def with_retries(fetch: Callable[[str], object], tries: int = 8, pause: Callable
     return run
 
 
+def api_address(base: str, **params: object) -> str:
+    """A request to a wiki's API: JSON of the second format, values joined by bars where there are several."""
+    said = {"format": "json", "formatversion": "2"} | {k: "|".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v) for k, v in params.items()}
+    return f"{base}?{urlencode(said)}"
+
+
+def fetch_extracts(titles: DataFrame, fetch: Callable[[str], str], base: str, title_col: str = "title", workers: int | None = None) -> DataFrame:
+    """titles with text and skipped: the plain-text extract of each page from a wiki's API.
+
+    fetch takes an address and gives the answer, a JSON text; the first page's extract counts, and where there is none
+    the text is empty and the reason says so. A failure becomes the row's reason.
+    """
+    names = [c for c in titles.columns if c not in ("text", "skipped")]
+    schema = titles.select(*names).schema.add("text", "string").add("skipped", "string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got: list[tuple[str | None, str | None]] = []
+            for t in pdf[title_col]:
+                try:
+                    pages = json.loads(fetch(api_address(base, action="query", titles=t, redirects=1, prop="extracts", explaintext=1))).get("query", {}).get("pages", [])
+                    text = (pages[0].get("extract") or "") if pages else ""
+                    got.append((text, None if text.strip() else "empty extract"))
+                except Exception as e:  # noqa: BLE001
+                    got.append((None, f"fetch failed: {e!r}"))
+            yield pdf[names].assign(text=[t for t, _ in got], skipped=[s for _, s in got])
+
+    return (titles.repartition(workers) if workers else titles).mapInPandas(run, schema)
+
+
 def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], url_col: str = "url", workers: int | None = None) -> DataFrame:
     """urls with html, title, text and skipped (the reason, if the fetch failed or the page has no text)."""
     fields = urls.schema.fieldNames()

@@ -303,3 +303,125 @@ def test_streaming(spark, tmp_path):
     q = ingest.append_table(ingest.first_seen(ingest.record_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_pairs_of_hot_sketches_are_found_too(spark):
+    """Whatever counts as hot, the same pairs come out, and they are those of the rule."""
+    rng = random.Random(3)
+    data = []
+    for i in range(120):
+        s = {*range(30)} if i % 3 else {*rng.sample(range(400), 30)}
+        s = {x for x in s if rng.random() > 0.05} | {1000 + rng.randrange(3)}
+        data.append((i, "en" if i % 5 else None, sorted(s)))
+    d = spark.createDataFrame(data, "node long, language string, sig array<long>")
+    want = sorted(
+        (i, j) for i, a, x in data for j, b, y in data
+        if i < j and a == b and len({*x} & {*y}) / len({*x} | {*y}) >= 0.85 and len({*x[:12]} & {*y[:12]}) >= 2)
+    assert want
+    for hot in (0, 2, 20, 500):
+        assert rows(dedup.similar_pairs(d, written, hot=hot), "a", "b") == want
+
+
+def test_groups_are_named_and_written_back(spark):
+    import hashlib
+
+    recs = [(1, "a", "x", "g1", "old", "t"), (2, "b", "x", None, "old", "t"), (3, "c", "y", None, "old", "t"), (4, "e", "y", None, None, "t"), (5, "d", "x", None, None, "t"), (6, "f", "x", "g2", None, "t"), (7, "h", "x", "g3", None, "t"), (9, "z", "x", "g9", "old", "t")]
+    d = spark.createDataFrame(recs, "row_id long, id string, category string, group_id string, split string, text string")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6)], "node long, root long")
+    members = d.join(roots, d["row_id"] == roots["node"]).select("root", "id")
+    near = lambda *ids: "near-" + hashlib.sha256("\n".join(ids).encode()).hexdigest()[:16]
+    g = split.group_name(split.group_rows(d, roots), members)
+    assert rows(g, "root", "n_ids", "group_id") == [(1, 2, "g1"), (3, 1, "record-c"), (4, 2, near("d", "e")), (6, 2, near("f", "h"))]
+    done = split.write_back(d, g.join(split.assign_groups(g, 1), "root"), roots)
+    got = {r["row_id"]: r for r in done.collect()}
+    assert len(got) == 8 and done.columns == d.columns and got[9]["split"] == "old" and got[9]["group_id"] == "g9"
+    assert got[4]["group_id"] == got[5]["group_id"] == near("d", "e") and got[4]["split"] == got[5]["split"] in split.SHARES
+    assert split.assign_groups(g.limit(0), 1).count() == 0
+
+
+def test_manifests_and_counts(spark):
+    d = spark.createDataFrame([("f", 2), ("f", None), ("g", 5)], "file string, t int")
+    h = spark.createDataFrame([("f", "aa")], "name string, sha256 string")
+    m = stats.manifest(d, "file", F.col("t"), h)
+    assert rows(m, "file", "n_records", "n_tokens", "sha256") == [("f", 2, 2, "aa"), ("g", 1, 5, None)]
+    assert rows(stats.manifest_totals(m)) == [(2, 3, 7)] and rows(stats.manifest_totals(m.limit(0))) == [(0, 0, 0)]
+    t = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "source_title string")
+    assert [tuple(r) for r in stats.value_counts(t).collect()] == [("b", 2), ("a", 1), (None, 1)]
+
+
+def test_schedule():
+    warm, f = stats.schedule(10, 0.2, 2.0)
+    assert warm == 2 and f[:3] == [0.0, 1.0, 2.0] and f[-1] < 0.1 and len(f) == 10
+    assert stats.schedule(0, 0.1) == (0, [])
+
+
+def test_extracts_and_requests(spark):
+    import json
+
+    from lexmill.sources import web
+
+    assert web.api_address("https://w.example/api", titles=["a b", "c"], redirects=1) == "https://w.example/api?format=json&formatversion=2&titles=a+b%7Cc&redirects=1"
+
+    def fetch(address):
+        if "bad" in address:
+            raise OSError("down")
+        return json.dumps({"query": {"pages": [{"extract": "" if "empty" in address else "Text."}]}}) if "none" not in address else "{}"
+
+    d = spark.createDataFrame([("good", "clash"), ("empty", "clash"), ("none", "clash"), ("bad", "clash")], "title string, text string")
+    got = {r["title"]: (r["text"], r["skipped"]) for r in web.fetch_extracts(d, fetch, "https://w.example/api").collect()}
+    assert got["good"] == ("Text.", None) and got["empty"] == got["none"] == ("", "empty extract") and got["bad"][1].startswith("fetch failed")
+
+
+def test_file_hashes_and_labels(spark, tmp_path):
+    import hashlib
+
+    from lexmill.sources import files
+
+    (tmp_path / "a.bin").write_bytes(b"x" * 3_000_001)
+    (tmp_path / "b.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "c.txt").write_text("three")
+    got = rows(files.file_hashes(spark, [f"{tmp_path}/a.bin", f"file://{tmp_path}/b.txt"], chunk=1000))
+    assert got == [(n, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in ("a.bin", "b.txt")]
+    labels = files.read_labels(spark, [f"{tmp_path}/b.txt", f"{tmp_path}/c.txt"], 3)
+    assert rows(files.zip_labels(labels, ["x", "y", "z"])) == [(0, "x", "one"), (1, "y", "two"), (2, "z", "three")]
+    for bad in (["x"], ["x", "x", "z"]):
+        with pytest.raises(ValueError):
+            files.zip_labels(labels, bad)
+    big = tmp_path / "big.txt"
+    big.write_text("".join(f"line {i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits of one file
+    try:
+        t = files.read_txt(spark, str(big))
+        assert t.where("text <> concat('line ', line_no - 1)").count() == 0 and t.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_local_folder_on_a_cluster():
+    from unittest import mock
+
+    from lexmill.operators import tables
+
+    s = mock.Mock()
+    s.conf.get.return_value = None
+    s.sparkContext.getCheckpointDir.return_value = None
+    s.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_root(s)
+    s.conf.get.return_value = "hdfs://x/y/"
+    assert tables.shared_root(s) == "hdfs://x/y"
+
+
+def test_reports_and_articles(spark):
+    from lexmill.operators import rights
+
+    d = spark.createDataFrame([(1, "a", "https://h.example/p", "T", "all rights: licence"), (2, "b", None, "A b", "x"), (3, "c", "https://h.example/p", None, "copyright"), (4, "d", None, None, "x")], "line_no long, id string, source_url string, source_title string, text string")
+    pol = spark.createDataFrame([("h.example", "https://h.example/policy", "H")], "host string, policy string, agency string")
+    inv = rights.source_inventory(d, pol, title_host="w.example", title_page="https://w.example/", pages=spark.createDataFrame([("A b", "A c")], "title string, current_title string"))
+    got = {r["source_key"]: r for r in inv.collect()}
+    assert got["https://h.example/p"]["record_ids"] == ["a", "c"] and got["https://h.example/p"]["signal_ids"] == ["c"] and got["https://h.example/p"]["rights_status"] == rights.STATUS[0]
+    assert got["A b"]["candidate_url"] == "https://w.example/A%20c" and got["A b"]["host"] == "w.example" and got["A b"]["rights_status"] == rights.STATUS[1]
+    lines = [r["line"] for r in rights.attribution_lines(inv, pol, ["# Top"], ["End"]).orderBy("host", "part", "t", "u").collect()]
+    assert lines[0] == "# Top" and lines[-1] == "End" and "## H: 1 pages, 2 records" in lines and "| [A b](https://w.example/A%20c) | [history](https://w.example/A%20c?action=history) | 1 |" in lines
+    kept, short = text.clean_articles(spark.createDataFrame([("好" * 240,), ("短",), (" ",), (None,)], "text string"))
+    assert kept.count() == 1 and sorted(r["skipped"] for r in short.collect()) == ["empty extract", "empty extract", "too short after clean"]

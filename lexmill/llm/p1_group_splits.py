@@ -255,3 +255,17 @@ def p1_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, a = store.splits(), store.alias()
     rows = one.unionByName(two).select("row_id", "page").join(a, F.col("page") == a.old, "left").select("row_id", F.coalesce("root", "page").alias("page"))
     return rows.join(s, rows.page == s.comp).groupBy(s.split.alias("split"), s.state.alias("split_state")).agg(F.count("*").alias("n_rows"), F.countDistinct("page").alias("n_pages"))
+
+
+#: Keys that stand in one row belong together, and with them all that can be reached so.
+SQL = {
+    "p1_found": r"""
+WITH RECURSIVE a AS (SELECT row_id, CASE WHEN lower(trim(split)) = 'validation' THEN 'valid' ELSE lower(trim(split)) END AS s, group_id, source, source_title,
+    regexp_replace(regexp_replace(source_url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '(?s)[?#].*$', '') AS bare FROM article_en),
+k AS (SELECT row_id, s, unnest(['g' || group_id, 'u' || regexp_replace(lower(split_part(bare, '/', 1)), '^www\.', '') || regexp_replace(regexp_extract(bare, '(?s)^[^/]*(.*)$', 1), '/$', ''), 's' || source || chr(1) || source_title]) AS key FROM a),
+r AS (SELECT * FROM k WHERE key IS NOT NULL), e AS (SELECT DISTINCT x.key AS a, y.key AS b FROM r x JOIN r y ON x.row_id = y.row_id AND x.key <> y.key),
+reach AS (SELECT DISTINCT key AS a, key AS b FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+page AS (SELECT a AS key, min(b) AS page FROM reach GROUP BY a), p AS (SELECT DISTINCT row_id, s, page FROM r JOIN page ON r.key = page.key),
+bad AS (SELECT page FROM p WHERE s IN ('train', 'valid', 'test') GROUP BY page HAVING count(DISTINCT s) > 1)
+SELECT DISTINCT row_id FROM p JOIN bad ON p.page = bad.page""",
+}

@@ -133,3 +133,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_records(encoded(_texts(spark, sf_dir), keep=("tab",)), ("tab",))
+
+
+def _canon_sql(x: str) -> str:
+    """The canonical form of a value: points between digits and content marks get a stand-in before the marks go."""
+    point = f"regexp_replace(regexp_replace({x}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\ufdd0\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\ufdd0\\2', 'g')"
+    content = "".join(chr(0xE000 + i) for i in range(len(CONTENT)))
+    marks = "".join("\\" + c if c in "|^\\]" else c for c in MARKS)
+    blanks = "\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+    return f"lower(regexp_replace(translate({point}, '{CONTENT}', '{content}'), '[{blanks}\\p{{P}}{marks}]', '', 'g'))"
+
+
+_LABEL_SQL = "^[^\\p{L}\\p{N}_:：]*([\\p{L}\\p{Nl}\\p{No}_][^\\p{Nd}:：.。,，!！?？()（）]{0,39}?)[\\s\\x{a0}\\x{3000}]*[:：]"
+_FOLD_SQL = f"""
+WITH t AS (SELECT 'article_en' AS tab, row_id, text FROM article_en WHERE text IS NOT NULL UNION ALL SELECT 'natural_zh', row_id, text FROM natural_zh WHERE text IS NOT NULL),
+f AS (SELECT tab, row_id, text, list_reduce(string_split_regex(text, '[\\n\\r;；|｜]'), lambda a, p: CASE
+  WHEN contains(a, chr(3)) THEN a WHEN regexp_matches(p, '{_LABEL_SQL}') THEN a || chr(2) || regexp_extract(p, '{_LABEL_SQL}', 1) || chr(1) || regexp_replace(p, '{_LABEL_SQL}', '')
+  WHEN a <> '' THEN a || p WHEN {_canon_sql("p")} = '' AND trim(p) = '' THEN a ELSE chr(3) END, '') AS x FROM t),
+c AS (SELECT tab, row_id, CASE WHEN contains(x, chr(3)) OR len(string_split(x, chr(2))) < 3 THEN [chr(1) || {_canon_sql("text")}]
+  ELSE list_sort(list_transform(string_split(x, chr(2))[2:], lambda y: {_canon_sql("split_part(y, chr(1), 1)")} || chr(1) || {_canon_sql("split_part(y, chr(1), 2)")})) END AS form FROM f)
+"""
+SQL = {
+    "p5_found": _FOLD_SQL + "SELECT tab, keep_row, row_id AS copy_row FROM (SELECT tab, row_id, min(row_id) OVER (PARTITION BY tab, form) AS keep_row FROM c) WHERE keep_row <> row_id",
+    "p5_records": _FOLD_SQL + "SELECT tab, min(row_id) AS keep_row, count(*) AS n_copies FROM c GROUP BY tab, form",
+}

@@ -1,10 +1,12 @@
 """Problem 6: the same or nearly the same records across splits.
 
-Records become sequences of words (letter case, blanks and punctuation ignored). Pairs are searched by exact prefix
-filtering: two records that have enough words in common share one of their rarest words, so only those are joined across
-the splits; bitmaps of all words drop most of the pairs, and the rest is decided by the longest common subsequence of
-words. Overlap fractions against the whole of train come from content-defined chunks: a rolling hash over two words
-decides where to cut, so a change moves only the cuts next to it.
+Records become sequences of words (letter case, blanks and punctuation ignored). Overlap fractions against the whole of
+train come from content-defined chunks: a rolling hash over two words decides where to cut, so a change moves only the
+cuts next to it, and the lengths of chunks that stand on both sides are summed. Chunks can't find all pairs: every fifth
+word may differ, and then no chunk of two words is sure to be shared. So pairs are searched by single words, with exact
+prefix filtering: two records that have enough words in common share one of the first few of each in any fixed order of
+all words, rare ones first; only those are joined across the splits. Bitmaps of all words drop most of the pairs, and
+the longest common subsequence of words decides the rest.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ ALIKE = 0.8
 DIVISOR, SHORTEST, LONGEST = 2, 2, 8
 #: Longs in the bitmap of a record's words.
 LONGS = 4
+#: Counters of the words of each side, by hash: what is sent to the workers has this size however large the tables are.
+WIDTH = 1 << 20
 #: Words kept by a worker with their hashes, at most; others are hashed again.
 CACHE = 500_000
 
@@ -104,64 +108,85 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def records(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", chunks: bool = False) -> DataFrame:
-    """(row, held, w1, w2, n, codes, tokens, bits), with chunks (row, held, w1, w2, n, codes, digests).
+def sides(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:
+    """(row, held, text); held is whether the split is valid or test. Null text, id or split is left out."""
+    rows = df.select(F.col(id_col).cast("long").alias("row"), norm_split(F.col(split_col)).alias("s"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("row").isNotNull() & F.col("s").isNotNull() & F.col("text").isNotNull())
+    return spread(rows).select("row", (F.col("s") != "train").alias("held"), "text")
 
-    held is whether the split is valid or test. Null text, id or split is left out.
-    """
-    made: dict[str, Chunker] = {}
-    kind = "digests:array<struct<d:long,len:int>>" if chunks else "tokens:array<long>,bits:array<long>"
 
-    @F.pandas_udf(f"struct<w1:long,w2:long,n:int,codes:binary,{kind}>")
-    def chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = made.setdefault("c", Chunker())
-        for s in batches:
-            code = [c.codes(t) for t in s]
-            raw = [x.tobytes() for x in code]
-            out = pd.DataFrame({
-                "w1": [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raw], "w2": [xxhash.xxh64_intdigest(r, 7) - (1 << 63) for r in raw],
-                "n": [len(x) for x in code], "codes": [x.astype("<u4").tobytes() for x in code],
-            })
-            if chunks:
-                out["digests"] = [[{"d": d, "len": n} for d, n in {k: m for k, m in c.digests(x)}.items()] for x in code]
-            else:
-                bags = [bag(x) for x in code]
-                out["tokens"], out["bits"] = [t for t, _ in bags], [b for _, b in bags]
-            yield out
+def word_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """(2, width): about how often each word stands in train and in the held-out splits, by hash; never too few.
 
-    rows = df.select(F.col(id_col).cast("long").alias("row"), norm_split(F.col(split_col)).alias("s"), F.col(text_col).alias("text"))
-    rows = spread(rows.where(F.col("row").isNotNull() & F.col("s").isNotNull() & F.col("text").isNotNull()))
-    return rows.select("row", (F.col("s") != "train").alias("held"), chunked("text").alias("c")).select("row", "held", "c.*")
+    A task counts into arrays of fixed size and passes on the places that aren't empty.
+    """
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, n = Chunker(), np.zeros((2, width), np.int64)
+        for pdf in batches:
+            for h, part in pdf.groupby("held")["text"]:
+                code = [c.codes(t) for t in part]
+                n[int(h)] += np.bincount((np.concatenate(code) % np.uint64(width)).astype(np.int64), minlength=width)
+        side, at = np.nonzero(n)
+        yield pd.DataFrame({"side": side.astype(np.int32), "at": at.astype(np.int32), "n": n[side, at]})
+
+    total = rows.mapInPandas(count, "side int, at int, n long").groupBy("side", "at").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    out = np.zeros((2, width), np.int32)
+    got = total.toPandas()  # at most 2 * width rows
+    out[got["side"], got["at"]] = got["n"]
+    return out
+
+
+def prefix(code: np.ndarray, tokens: list[int], own: np.ndarray, other: np.ndarray, alike: float) -> tuple[list[int], list[int]]:
+    """(tokens, words before each) of the first tokens of a record of which one must be shared with any record this much alike.
+
+    The order of all words: those that the other side lacks, which can't be shared, then by how often both sides have
+    them, then by token.
+    """
+    at = (code % np.uint64(len(own))).astype(np.int64)
+    n, there, t = len(code), other[at], np.array(tokens, np.int64)
+    take = n - int(np.ceil(n * alike - 1e-9)) + 1
+    order = np.lexsort((t, np.where(there > 0, there + own[at], 0)))[:take]
+    keep = np.flatnonzero(there[order] > 0)
+    return t[order[keep]].tolist(), keep.tolist()
 
 
-def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", alike: float = ALIKE) -> DataFrame:
+def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", alike: float = ALIKE, width: int = WIDTH) -> DataFrame:
     """(row_a, row_b), row_a < row_b: one in train, the other in valid or test, with `alike` of the longer one's words in common and in order.
 
-    Exact: with C words in common, the first shared one of the rarest is among the n - C + 1 rarest of each record.
-    Equal word sequences form one class, so copies are compared once, and pairs of rows are made only for the result.
-    Texts without words are equal to each other. Null text, id or split is no case; repeated rows count each.
+    Exact: with C words in common, the first shared one in the order of all words is among the first n - C + 1 of each
+    record. The order rests on counters of fixed size; where words share one it is only less sharp. Equal word sequences
+    form one class, so copies are compared once, and pairs of rows are made only for the result. Texts without words are
+    equal to each other. Null text, id or split is no case; repeated rows count each.
     """
-    rows = written(records(df, id_col, text_col, split_col))
-    classes = rows.groupBy("w1", "w2").agg(F.min("row").alias("cls"), F.max(F.col("held").cast("int")).alias("any_held"), F.min(F.col("held").cast("int")).alias("all_held"))
-    members = written(rows.join(classes, ["w1", "w2"]).select("row", "held", "cls", "any_held", "all_held", "n", "codes", "tokens", "bits"))
-    one = members.where(F.col("row") == F.col("cls"))
-    held, train = F.col("any_held") == 1, F.col("all_held") == 0
-
-    # words that stand on both sides, with how many classes hold them; the others come first in the order and can't be shared
-    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(LONGS)]
-    each = one.where("n > 0").select("cls", held.alias("h"), train.alias("t"), F.explode("tokens").alias("d"))
-    freq = each.groupBy("d").agg(F.count("*").alias("df"), F.count_if("h").alias("hs"), F.count_if("t").alias("ts"))
-    both = freq.where((F.col("df") > 1) & (F.col("hs") > 0) & (F.col("ts") > 0)).select("d", "df")
-    k = each.join(both, "d").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("x"))  # as many as the text has words
-    k = k.join(one.select("cls", "n", held.alias("h"), train.alias("t"), *bits), "cls").withColumn("u", F.col("n") - F.size("x"))
-    least = lambda n: F.ceil(n * alike - 1e-9)
-    take = (F.col("n") - least(F.col("n")) + 1 - F.col("u")).cast("int")
-    # passed: words before this one, which are not shared if it is the first shared
+    spark = df.sparkSession
+    rows = sides(df, id_col, text_col, split_col)
+    sent = spark.sparkContext.broadcast(word_counts(rows, width))
+    made: dict[str, Chunker] = {}
     names = [f"b{i}" for i in range(LONGS)]
-    first = k.where(take > 0).select("cls", "n", "h", "t", "u", *names, F.posexplode(F.slice("x", F.lit(1), take)).alias("at", "x"))
-    first = written(first.select(F.col("x.d").alias("d"), "cls", "n", (F.col("u") + F.col("at")).alias("passed"), *names, "h", "t"))
+    schema = "row long, held boolean, w1 long, w2 long, n int, codes binary, tokens array<long>, passed array<int>, " + ", ".join(f"{b} long" for b in names)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = made.setdefault("c", Chunker())
+        for pdf in batches:
+            out = []
+            for row, held, text in zip(pdf["row"], pdf["held"], pdf["text"]):
+                code = c.codes(text)
+                raw, (tokens, bits) = code.tobytes(), bag(code)
+                first, passed = prefix(code, tokens, sent.value[int(held)], sent.value[1 - int(held)], alike) if len(code) else ([], [])
+                out.append((row, held, xxhash.xxh64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(code), code.astype("<u4").tobytes(), first, passed, *bits))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+    rows = written(rows.mapInPandas(read, schema))
+    classes = rows.groupBy("w1", "w2").agg(F.min("row").alias("cls"), F.max(F.col("held").cast("int")).alias("any_held"), F.min(F.col("held").cast("int")).alias("all_held"))
+    members = written(rows.select("row", "held", "w1", "w2").join(classes, ["w1", "w2"]).select("row", "held", "cls", "any_held", "all_held"))
+    heads = members.where(F.col("row") == F.col("cls")).select("cls", (F.col("any_held") == 1).alias("h"), (F.col("all_held") == 0).alias("t")).distinct()
+    one = rows.join(heads, rows["row"] == heads["cls"])
+
+    # a repeated row id would make a class of its own twice: any of its rows stands for it
+    first = one.where("n > 0").select("cls", "n", "h", "t", *names, F.explode(F.arrays_zip("tokens", "passed")).alias("x")).select(F.col("x.tokens").alias("d"), "cls", "n", F.col("x.passed").alias("passed"), *names, "h", "t")
     a = first.where("h").drop("h", "t").toDF("d", "a", "na", "pa", *(f"a{x}" for x in names))
     b = first.where("t").drop("h", "t").toDF("d", "b", "nb", "pb", *(f"b{x}" for x in names))
+    least = lambda n: F.ceil(n * alike - 1e-9)
     only = lambda p, q: sum((F.bit_count(F.col(f"{p}{x}").bitwiseAND(F.bitwise_not(F.col(f"{q}{x}")))) for x in names), F.lit(0))
     must = least(F.greatest("na", "nb"))
     near = (F.col("a") != F.col("b")) & (F.col("na") - F.col("pa") >= must) & (F.col("nb") - F.col("pb") >= must)
@@ -169,7 +194,7 @@ def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", s
     # in both orders a pair of two-sided classes is the same pair
     pairs = a.join(b, "d").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    text = one.select("cls", "codes")
+    text = one.groupBy("cls").agg(F.first("codes").alias("codes"))
     pairs = pairs.join(text.select(F.col("cls").alias("a"), F.col("codes").alias("ca")), "a").join(text.select(F.col("cls").alias("b"), F.col("codes").alias("cb")), "b")
 
     @F.pandas_udf("boolean")
@@ -182,7 +207,7 @@ def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", s
 
     alike_pairs = written(pairs.where(same("ca", "cb")).select("a", "b"))
     m = members.select("row", "held", "cls")
-    links = alike_pairs.unionByName(one.where((F.col("any_held") == 1) & (F.col("all_held") == 0)).select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    links = alike_pairs.unionByName(heads.where("h AND t").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     left, right = m.toDF("row_x", "held_x", "a"), m.toDF("row_y", "held_y", "b")
     rows = links.join(left, "a").join(right, "b").where((F.col("held_x") != F.col("held_y")) & ((F.col("a") != F.col("b")) | (F.col("row_x") < F.col("row_y"))))
     return rows.select(F.least("row_x", "row_y").alias("row_a"), F.greatest("row_x", "row_y").alias("row_b"))
@@ -193,7 +218,16 @@ def overlap_fractions(df: DataFrame, id_col: str = "row_id", text_col: str = "te
 
     Every digest of train counts once however many records hold it, so no pair of records is formed.
     """
-    rows = written(records(df, id_col, text_col, split_col, chunks=True).select("row", "held", "n", "digests"))
+    made: dict[str, Chunker] = {}
+
+    @F.pandas_udf("struct<n:int,digests:array<struct<d:long,len:int>>>")
+    def chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = made.setdefault("c", Chunker())
+        for s in batches:
+            code = [c.codes(t) for t in s]
+            yield pd.DataFrame({"n": [len(x) for x in code], "digests": [[{"d": d, "len": n} for d, n in {k: m for k, m in c.digests(x)}.items()] for x in code]})
+
+    rows = written(sides(df, id_col, text_col, split_col).select("row", "held", chunked("text").alias("c")).select("row", "held", "c.*"))
     train = rows.where("NOT held").select(F.explode("digests.d").alias("d")).distinct().withColumn("in_train", F.lit(True))
     x = rows.where("held").select("row", "n", F.explode_outer("digests").alias("x")).select("row", "n", "x.d", "x.len").join(train, "d", "left")
     total = x.groupBy("row", "n").agg(F.sum("len").alias("all"), F.sum(F.when(F.col("in_train"), F.col("len")).otherwise(0)).alias("common"))
@@ -205,9 +239,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and source: records with a counterpart across the splits, and the pairs they are in."""
+    """Per split and source: records with a counterpart across the splits, the pairs they are in, and of held-out records the
+    share of words in chunks that also stand in train (null for train)."""
     df = table(spark, sf_dir, "english", "row_id", "split", "source", "text")
     pairs = written(cross_pairs(df))
     ends = pairs.select(F.col("row_a").alias("row_id")).unionByName(pairs.select(F.col("row_b").alias("row_id"))).groupBy("row_id").agg(F.count("*").alias("k"))
-    rows = df.select("row_id", norm_split(F.col("split")).alias("split"), slice_name(F.col("source")).alias("source"))
-    return rows.join(ends, "row_id", "left").groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("k").alias("n_overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_pairs"))
+    shares = overlap_fractions(df).select(F.col("row").alias("row_id"), "n_words", (F.col("overlap") * F.col("n_words")).alias("shared"))
+    rows = df.select("row_id", norm_split(F.col("split")).alias("split"), slice_name(F.col("source")).alias("source")).join(ends, "row_id", "left").join(shares, "row_id", "left")
+    return rows.groupBy("split", "source").agg(
+        F.count("*").alias("n_rows"), F.count("k").alias("n_overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_pairs"), (F.sum("shared") / F.nullif(F.sum("n_words"), F.lit(0))).alias("word_overlap"),
+    )

@@ -11,6 +11,7 @@ the longest common subsequence of words decides the rest.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,11 +28,13 @@ ALIKE = 0.8
 #: A cut follows one of so many word pairs; no chunk is shorter than SHORTEST or longer than LONGEST words.
 DIVISOR, SHORTEST, LONGEST = 2, 2, 8
 #: Longs in the bitmap of a record's words.
-LONGS = 4
+LONGS = 3
 #: Counters of the words of each side, by hash: what is sent to the workers has this size however large the tables are.
 WIDTH = 1 << 20
 #: Words kept by a worker with their hashes, at most; others are hashed again.
 CACHE = 500_000
+#: Records whose words are handled as arrays at once.
+AT_ONCE = 5_000
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -80,19 +83,6 @@ class Chunker:
         return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), b - a) for a, b in spans if b > a]
 
 
-def bag(code: np.ndarray) -> tuple[list[int], list[int]]:
-    """(tokens, bitmap): one 64-bit token per word, repeated words told apart by their count so far; a bit per token."""
-    seen: dict[int, int] = {}
-    tokens, bits = [], 0
-    for x in code.tolist():
-        k = seen.get(x, 0)
-        seen[x] = k + 1
-        t = (x + k * 0x9E3779B97F4A7C15) & (1 << 64) - 1
-        tokens.append(t - (1 << 63))
-        bits |= 1 << t % (64 * LONGS)
-    return tokens, np.frombuffer(bits.to_bytes(8 * LONGS, "little"), "<i8").tolist()
-
-
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, one bit per element of a."""
     at: dict[int, int] = {}
@@ -136,18 +126,43 @@ def word_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def prefix(code: np.ndarray, tokens: list[int], own: np.ndarray, other: np.ndarray, alike: float) -> tuple[list[int], list[int]]:
-    """(tokens, words before each) of the first tokens of a record of which one must be shared with any record this much alike.
+class Heads:
+    """Of a batch of records the bitmaps of their words, and the first tokens of each in the order of all words.
 
-    The order of all words: those that the other side lacks, which can't be shared, then by how often both sides have
-    them, then by token.
+    A token is a word with its count so far in the record, so repeated words are told apart. The order: words that the
+    other side lacks, which can't be shared, then by how often both sides have them, then by token. So many tokens are
+    taken that one must be shared with any record this much alike.
     """
-    at = (code % np.uint64(len(own))).astype(np.int64)
-    n, there, t = len(code), other[at], np.array(tokens, np.int64)
-    take = n - int(np.ceil(n * alike - 1e-9)) + 1
-    order = np.lexsort((t, np.where(there > 0, there + own[at], 0)))[:take]
-    keep = np.flatnonzero(there[order] > 0)
-    return t[order[keep]].tolist(), keep.tolist()
+
+    def __init__(self, codes: list[np.ndarray], held: np.ndarray, counts: np.ndarray, alike: float):
+        size = np.array([len(c) for c in codes], np.int64)
+        code = np.concatenate([*codes, np.zeros(0, np.uint64)])
+        rec, ends = np.repeat(np.arange(len(codes)), size), np.cumsum(size)
+        # the count so far of each word in its record
+        order = np.lexsort((code, rec))
+        new = np.ones(len(code), bool)
+        new[1:] = (code[order][1:] != code[order][:-1]) | (rec[order][1:] != rec[order][:-1])
+        at = np.arange(len(code))
+        nth = np.empty(len(code), np.uint64)
+        nth[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            token = code + nth * np.uint64(0x9E3779B97F4A7C15)
+        bits = np.zeros((len(codes), 64 * LONGS), bool)
+        bits[rec, (token % np.uint64(64 * LONGS)).astype(np.int64)] = True
+        self.bits = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        cell = (code % np.uint64(counts.shape[1])).astype(np.int64)
+        side = held.astype(np.int64)[rec]
+        there = counts[1 - side, cell].astype(np.int64)
+        often = np.where(there > 0, there + counts[side, cell], 0)
+        order = np.lexsort((token, often, rec))
+        passed = at - np.repeat(ends - size, size)  # words before, in the order
+        taken = (passed < np.repeat(size - np.ceil(size * alike - 1e-9).astype(np.int64) + 1, size)) & (there[order] > 0)
+        self.cut = np.cumsum(np.bincount(rec[taken], minlength=len(codes)))[:-1] if len(codes) else []
+        # 32 bits tell tokens apart well enough for candidates
+        self.tokens, self.passed = token[order][taken].astype(np.uint32).view(np.int32), passed[taken].astype(np.int32)
+
+    def columns(self) -> dict[str, list]:
+        return {"tokens": np.split(self.tokens, self.cut), "passed": np.split(self.passed, self.cut)} | {f"b{i}": self.bits[:, i] for i in range(LONGS)}
 
 
 def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", alike: float = ALIKE, width: int = WIDTH) -> DataFrame:
@@ -156,25 +171,25 @@ def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", s
     Exact: with C words in common, the first shared one in the order of all words is among the first n - C + 1 of each
     record. The order rests on counters of fixed size; where words share one it is only less sharp. Equal word sequences
     form one class, so copies are compared once, and pairs of rows are made only for the result. Texts without words are
-    equal to each other. Null text, id or split is no case; repeated rows count each.
+    equal to each other. alike is above 0 and at most 1. Null text, id or split is no case; repeated rows count each.
     """
     spark = df.sparkSession
     rows = sides(df, id_col, text_col, split_col)
     sent = spark.sparkContext.broadcast(word_counts(rows, width))
     made: dict[str, Chunker] = {}
     names = [f"b{i}" for i in range(LONGS)]
-    schema = "row long, held boolean, w1 long, w2 long, n int, codes binary, tokens array<long>, passed array<int>, " + ", ".join(f"{b} long" for b in names)
+    schema = "row long, held boolean, w1 long, w2 long, n int, codes binary, tokens array<int>, passed array<int>, " + ", ".join(f"{b} long" for b in names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = made.setdefault("c", Chunker())
-        for pdf in batches:
-            out = []
-            for row, held, text in zip(pdf["row"], pdf["held"], pdf["text"]):
-                code = c.codes(text)
-                raw, (tokens, bits) = code.tobytes(), bag(code)
-                first, passed = prefix(code, tokens, sent.value[int(held)], sent.value[1 - int(held)], alike) if len(code) else ([], [])
-                out.append((row, held, xxhash.xxh64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(code), code.astype("<u4").tobytes(), first, passed, *bits))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+        for pdf in (x[i : i + AT_ONCE] for x in batches for i in range(0, len(x), AT_ONCE)):
+            codes = [c.codes(t) for t in pdf["text"]]
+            raw = [x.tobytes() for x in codes]
+            out = {
+                "row": pdf["row"].to_numpy(), "held": pdf["held"].to_numpy(), "w1": [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raw], "w2": [xxhash.xxh64_intdigest(r, 7) - (1 << 63) for r in raw],
+                "n": [len(x) for x in codes], "codes": [x.astype("<u4").tobytes() for x in codes],
+            }
+            yield pd.DataFrame(out | Heads(codes, pdf["held"].to_numpy(bool), sent.value, alike).columns())
 
     rows = written(rows.mapInPandas(read, schema))
     classes = rows.groupBy("w1", "w2").agg(F.min("row").alias("cls"), F.max(F.col("held").cast("int")).alias("any_held"), F.min(F.col("held").cast("int")).alias("all_held"))
@@ -184,15 +199,18 @@ def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", s
 
     # a repeated row id would make a class of its own twice: any of its rows stands for it
     first = one.where("n > 0").select("cls", "n", "h", "t", *names, F.explode(F.arrays_zip("tokens", "passed")).alias("x")).select(F.col("x.tokens").alias("d"), "cls", "n", F.col("x.passed").alias("passed"), *names, "h", "t")
-    a = first.where("h").drop("h", "t").toDF("d", "a", "na", "pa", *(f"a{x}" for x in names))
-    b = first.where("t").drop("h", "t").toDF("d", "b", "nb", "pb", *(f"b{x}" for x in names))
+    # lengths in steps of `alike`: what can be alike lies in the same step or the next one
+    step = F.floor(F.log(F.col("n") + 0.0) / F.lit(-math.log(alike) or 1.0)).cast("int")
+    first = first.withColumn("s", step)
+    a = first.where("h").withColumn("s", F.explode(F.array(*[F.col("s") + k for k in (-1, 0, 1)]))).select("d", "s", "cls", "n", "passed", *names).toDF("d", "s", "a", "na", "pa", *(f"a{x}" for x in names))
+    b = first.where("t").select("d", "s", "cls", "n", "passed", *names).toDF("d", "s", "b", "nb", "pb", *(f"b{x}" for x in names))
     least = lambda n: F.ceil(n * alike - 1e-9)
     only = lambda p, q: sum((F.bit_count(F.col(f"{p}{x}").bitwiseAND(F.bitwise_not(F.col(f"{q}{x}")))) for x in names), F.lit(0))
     must = least(F.greatest("na", "nb"))
     near = (F.col("a") != F.col("b")) & (F.col("na") - F.col("pa") >= must) & (F.col("nb") - F.col("pb") >= must)
     near = near & (F.col("na") - only("a", "b") >= must) & (F.col("nb") - only("b", "a") >= must)
     # in both orders a pair of two-sided classes is the same pair
-    pairs = a.join(b, "d").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = a.join(b, ["d", "s"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     text = one.groupBy("cls").agg(F.first("codes").alias("codes"))
     pairs = pairs.join(text.select(F.col("cls").alias("a"), F.col("codes").alias("ca")), "a").join(text.select(F.col("cls").alias("b"), F.col("codes").alias("cb")), "b")

@@ -35,7 +35,7 @@ SAME = {"<wide>", "<narrow>", "<noBreak>", "<small>", "<isolated>", "<initial>",
 BLANK = " "
 #: Characters that are handled as arrays at once; longer texts are an array of their own.
 AT_ONCE = 1_000_000
-#: Canonical letters and combining marks from here on may take part in recomposition.
+#: Combining marks stand from here on.
 FIRST_MARK = 0x300
 
 
@@ -74,12 +74,23 @@ def mapping() -> dict[int, str]:
     return out
 
 
+@cache
+def compositions() -> dict[tuple[int, int], int]:
+    """(letter, mark) -> composed letter, for every pair that Unicode composes again; not those that it leaves apart."""
+    out = {}
+    for o in range(0xC0, sys.maxunicode + 1):
+        d = unicodedata.decomposition(chr(o)) if not 0xAC00 <= o <= 0xD7A3 else ""
+        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(o)) == chr(o):
+            a, b = d.split()
+            out[int(a, 16), int(b, 16)] = o
+    return out
+
+
 class Canonical:
     """The mapping as arrays: the replacement of code point o is pool[start[o]:start[o] + size[o]]."""
 
     def __init__(self, table: dict[int, str]):
         n = sys.maxunicode + 1
-        # code points that may begin or continue a composition
         self.size = np.ones(n, np.uint8)
         self.start = np.arange(n, dtype=np.int32)
         pool = [np.arange(n, dtype=np.uint32)]
@@ -92,11 +103,15 @@ class Canonical:
         self.pool = np.concatenate(pool)
         self.single = self.pool[self.start]  # of those with one code point
         self.multi = self.size != 1
-        self.mark = np.zeros(n, bool)
+        #: the class of each combining mark, and what may join the character before it
+        self.order = np.zeros(n, np.uint8)
         for o in range(FIRST_MARK, n):
-            if not 0xD800 <= o <= 0xDFFF and unicodedata.combining(chr(o)):
-                self.mark[o] = True
-        self.mark[0x1100:0x1200] = True  # Hangul parts compose too
+            if not 0xD800 <= o <= 0xDFFF and (k := unicodedata.combining(chr(o))):
+                self.order[o] = k
+        self.pairs = compositions()
+        self.joins = self.order > 0
+        self.joins[0x1161:0x11C3] = True  # Hangul parts
+        self.joins[[b for _, b in self.pairs]] = True
 
     def forms(self, texts: list[str]) -> Iterator[str]:
         """The canonical forms of texts, in arrays of bounded size."""
@@ -124,12 +139,48 @@ class Canonical:
             new = self.pool[first + np.arange(len(first))]
             stops = np.concatenate([[0], upto])[ends]
         out = new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        has = np.zeros(len(out) + 1, np.int64)
-        np.cumsum(self.mark[new], out=has[1:])
         starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
-        marks = has[stops] - has[starts]
-        # NFC orders runs of marks by their class and recomposes; without any mark there is nothing to order
-        return [unicodedata.normalize("NFC", out[a:b]) if m else out[a:b] for a, b, m in zip(starts, stops, marks)]
+        joins = self.joins[new]
+        if not joins.any():
+            return [out[a:b] for a, b in zip(starts, stops)]
+        starts_here = np.zeros(len(new), bool)
+        starts_here[starts[starts < len(new)]] = True
+        new = self.ordered(new, starts_here)
+        joins = self.joins[new] & ~starts_here  # nothing joins the text before
+        has = np.concatenate([[0], np.cumsum(joins)])
+        return [self.composed(new[a:b], joins[a:b]) if has[b] > has[a] else out[a:b] for a, b in zip(starts, stops)]
+
+    def ordered(self, code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The code points with each run of combining marks in the order of their classes, equal ones as they stood; a run ends where a text begins."""
+        at = np.flatnonzero(self.order[code])
+        if not len(at):
+            return code
+        run = np.cumsum(np.concatenate([[0], (np.diff(at) != 1) | begins[at[1:]]]))
+        code = code.copy()
+        code[at] = code[at[np.lexsort((self.order[code[at]], run))]]
+        return code
+
+    def composed(self, code: np.ndarray, joins: np.ndarray) -> str:
+        """The text with marks and Hangul parts joined to the letters before them; only the places where one stands are looked at."""
+        out = code.tolist()
+        for i in np.flatnonzero(joins).tolist():
+            # the last letter before; marks between of the same class or a higher one are in the way
+            k, c = i - 1, int(self.order[out[i]])
+            while k >= 0 and (out[k] < 0 or self.order[out[k]]):
+                k -= 1
+            between = [out[j] for j in range(k + 1, i) if out[j] >= 0]
+            if k < 0 or any(self.order[x] >= c for x in between):
+                continue
+            a, b = out[k], out[i]
+            if 0x1100 <= a <= 0x1112 and 0x1161 <= b <= 0x1175:
+                to = 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28
+            elif 0xAC00 <= a <= 0xD7A3 and (a - 0xAC00) % 28 == 0 and 0x11A8 <= b <= 0x11C2:
+                to = a + b - 0x11A7
+            else:
+                to = self.pairs.get((a, b))
+            if to is not None:
+                out[k], out[i] = to, -1
+        return np.array([x for x in out if x >= 0], "<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def canonical(df: DataFrame, text_col: str = "text", out: str = "canonical") -> DataFrame:
@@ -155,17 +206,34 @@ def canonical(df: DataFrame, text_col: str = "text", out: str = "canonical") ->
     return spread(df.drop(out)).withColumn(out, form(F.col(text_col)))
 
 
+def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, f1, f2, t1, t2): 128 bits of each text's form and of the text; null texts and ids are left out."""
+    two = lambda c: [F.xxhash64(c), F.xxhash64(F.lit("second"), c)]
+    f = canonical(df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col(id_col).isNotNull()))
+    (f1, f2), (t1, t2) = two("canonical"), two("text")
+    return written(f.select("row", f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2")))
+
+
+def look_alike_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """(row, class, n_rows, n_links): of every row whose text looks like another string its class (the smallest row), the
+    rows of the class, and how many of them are different strings.
+
+    Forms that occur as one string only are left out. Counts are aggregated map-side: a form with a third of all rows
+    is never gathered. Null texts and ids are left out, repeated rows count each.
+    """
+    h = _hashed(df, id_col, text_col)
+    texts = h.groupBy("f1", "f2", "t1", "t2").agg(F.min("row").alias("lo"), F.count("*").alias("k"))
+    forms = texts.groupBy("f1", "f2").agg(F.min("lo").alias("class"), F.sum("k").alias("n_rows"), F.count("*").alias("strings")).where("strings > 1").drop("strings")
+    sizes = written(texts.join(forms, ["f1", "f2"]).select("f1", "f2", "t1", "t2", "class", "n_rows", (F.col("n_rows") - F.col("k")).alias("n_links")))
+    return h.join(sizes, ["f1", "f2", "t1", "t2"]).select("row", "class", "n_rows", "n_links")
+
+
 def same_looking(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row_a, row_b), row_a < row_b: rows whose texts are different strings with the same canonical form.
 
-    Only 128 bits of each form and text are shuffled. Forms that occur as one string only are left out before the join,
-    and rows are gathered per string, so byte-equal copies are never paired with each other. Null texts and ids are left out.
+    The classes written out as pairs; their number is that of the links, so a large corpus takes look_alike_classes.
     """
-    two = lambda c: [F.xxhash64(c), F.xxhash64(F.lit("second"), c)]
-    f = canonical(df.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col(id_col).isNotNull()))
-    f1, f2 = two("canonical")
-    t1, t2 = two("text")
-    h = written(f.select("row", f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2")))
+    h = _hashed(df, id_col, text_col)
     several = h.groupBy("f1", "f2").agg(F.min("t1").alias("lo1"), F.max("t1").alias("hi1"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2"))
     several = several.where((F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2"))).select("f1", "f2")
     h = written(h.join(several, ["f1", "f2"], "left_semi"))
@@ -182,3 +250,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [canonical(table(spark, sf_dir, t, "row_id", "text")).select(F.lit(t).alias("tab"), "row_id", F.col("canonical").alias("text")) for t in ("natural_zh", "article_zh")]
     return parts[0].unionByName(parts[1])
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [look_alike_classes(table(spark, sf_dir, t, "row_id", "text")).select(F.lit(t).alias("tab"), F.col("row").alias("row_id"), "class", "n_rows", "n_links") for t in ("natural_zh", "article_zh")]
+    return parts[0].unionByName(parts[1])

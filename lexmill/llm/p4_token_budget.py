@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import language_code, slice_name, spread, table, written
+from lexmill.operators.tokens import byte_letters
 
 #: Words of the tokenizer: ` ?letters`, ` ?digits`, ` ?other marks`, blanks.
 WORDS = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
-#: A blank after a non-blank and before a non-blank always begins a word: no word but a run of blanks has an inner blank.
-PROVEN = regex.compile(r"(?<=\S)(?= \S)")
+#: No word has a blank after a non-blank, and none has two of letters, digits and other marks: words end at these places.
+PROVEN = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}])(?=[\p{L}\p{N}])")
 CHUNK = 50_000
 #: At most so many words' counts are kept by a worker; others are counted again.
 CACHE = 500_000
@@ -30,22 +31,12 @@ LONG_WORD = 200
 MAX_MERGES = 1_000_000
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte: visible Latin-1 characters stand for themselves, the rest for 256 and up."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    out = {b: chr(b) for b in own}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(own))
-    return out
-
-
 class Merges:
     """A byte-level BPE given by its ranked merges; counts tokens of words."""
 
     def __init__(self, pairs: list[tuple[str, str]]):
         self.rank = {p: i for i, p in reversed([*enumerate(pairs)])}  # of a repeated pair the first counts
-        self.byte = byte_alphabet()
+        self.byte = byte_letters()
         self.known: dict[str, int] = {}
 
     def encode(self, word: str) -> list[str]:

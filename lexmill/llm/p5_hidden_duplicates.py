@@ -1,8 +1,8 @@
 """Problem 5: duplicates hidden by formatting differences.
 
-Records are dictionary-encoded: each distinct field value is canonicalised once per worker and gets an integer from a
-dictionary table over all values; a record becomes the sorted tuple of the integers of its (label, value) fields, and
-the compact tuples are grouped.
+Records are dictionary-encoded: each distinct field as it stands is canonicalised once and gets the integer of its
+canonical form from a dictionary table; a record becomes the sorted tuple of the integers of its (label, value) fields,
+and the compact tuples are grouped.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ FIELD_END = re.compile(r"[\n\r;；|｜]")
 LABEL = re.compile(r"[^\w:：]*([^\W\d][^\d:：.。,，!！?？()（）]{0,39}?)\s*[:：]")
 DECIMAL = re.compile(r"(?<=\d)\.(?=\d)")
 POINT = "\ufdd0"
-CACHE, CACHED_LENGTH = 200_000, 80
 
 
 def dropped() -> dict[int, str | None]:
@@ -41,26 +40,17 @@ def dropped() -> dict[int, str | None]:
 
 
 class Encoder:
-    """Turns a text into the digests of its canonical (label, value) fields."""
+    """Gives the digest of the canonical form of a (label, value) field."""
 
     def __init__(self) -> None:
-        self.drop, self.known = dropped(), {}
+        self.drop = dropped()
 
     def canon(self, s: str) -> str:
         return DECIMAL.sub(POINT, s).translate(self.drop).lower()
 
     def digest(self, label: str, value: str) -> tuple[int, int]:
-        key = (label, value)
-        d = self.known.get(key)
-        if d is None:
-            raw = hashlib.blake2b(f"{self.canon(label)}\x1f{self.canon(value)}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            d = int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
-            if len(value) <= CACHED_LENGTH and len(self.known) < CACHE:
-                self.known[key] = d
-        return d
-
-    def record(self, text: str) -> list[int]:
-        return [x for field in fields(text) for x in self.digest(*field)]
+        raw = hashlib.blake2b(f"{self.canon(label)}\x1f{self.canon(value)}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
 def fields(text: str) -> list[tuple[str, str]]:
@@ -83,28 +73,38 @@ def fields(text: str) -> list[tuple[str, str]]:
 
 
 def encoded(df: DataFrame, id_col: str = "row_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., row, code): each record as the sorted tuple of its fields' integers. Null texts and ids are left out.
+    """(keep..., row, code): each record as the sorted tuple of its fields' integers. Null texts and ids are left out;
+    repeated rows with the same keep and id are one record each.
 
-    The integers come from a dictionary with one row per distinct canonical field; a value held by a third of all rows
-    is one dictionary row, and the join with it is split by adaptive skew handling.
+    Only texts with a colon can be made of fields and are read in Python for it. Fields as they stand are told apart by
+    128 bits; one of each kind is moved and canonicalised, and gets the integer of its form. A value held by a third of
+    all rows is one row of the dictionary, counted by map-side aggregation; the joins with it are split by adaptive skew
+    handling and carry integers only.
     """
     made: dict[str, Encoder] = {}
 
-    @F.pandas_udf("array<long>")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if "e" not in made:
-            made["e"] = Encoder()
-        for s in batches:
-            yield s.map(made["e"].record)
+    @F.pandas_udf("array<struct<a:string,b:string>>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"a": a, "b": b} for a, b in fields(t)])
+
+    @F.pandas_udf("struct<hi:long,lo:long>")
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = made.setdefault("e", Encoder())
+        for pdf in batches:
+            yield pd.DataFrame([e.digest(a, b) for a, b in zip(pdf["a"], pdf["b"])], columns=["hi", "lo"])
 
     rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = spread(rows.select(*keep, F.col(id_col).alias("row"), F.col(text_col).alias("text"))).select(*keep, "row", digests("text").alias("d"))
-    rows = written(rows)
-    pairs = F.expr("transform(sequence(0, size(d) div 2 - 1), i -> struct(d[2 * i] AS hi, d[2 * i + 1] AS lo))")
-    each = rows.select(*keep, "row", F.explode(pairs).alias("f")).select(*keep, "row", "f.hi", "f.lo")
-    dictionary = written(each.select("hi", "lo").distinct().select("hi", "lo", F.monotonically_increasing_id().alias("code")))
-    coded = each.join(dictionary, ["hi", "lo"])
-    return coded.groupBy(*keep, "row").agg(F.sort_array(F.collect_list("code")).alias("code"))  # as many as the record has fields
+    rows = spread(rows.select(*keep, F.col(id_col).alias("row"), F.col(text_col).alias("text"))).withColumn("rec", F.monotonically_increasing_id())
+    colon = F.col("text").rlike("[:：]")
+    plain = rows.where(~colon).select(*keep, "row", "rec", F.lit("").alias("a"), F.col("text").alias("b"))
+    made_of = rows.where(colon).select(*keep, "row", "rec", F.explode(cut("text")).alias("f")).select(*keep, "row", "rec", "f.a", "f.b")
+    each = plain.unionByName(made_of).select(*keep, "row", "rec", F.xxhash64("a", "b").alias("h1"), F.xxhash64(F.lit("second"), "a", "b").alias("h2"), "a", "b")
+    kinds = each.groupBy("h1", "h2").agg(F.first(F.struct("a", "b")).alias("v")).select("h1", "h2", digests(F.struct(F.col("v.a").alias("a"), F.col("v.b").alias("b"))).alias("d")).select("h1", "h2", "d.hi", "d.lo")
+    kinds = written(kinds)
+    codes = kinds.select("hi", "lo").distinct().select("hi", "lo", F.monotonically_increasing_id().alias("code"))
+    dictionary = written(kinds.join(codes, ["hi", "lo"]).select("h1", "h2", "code"))
+    coded = each.drop("a", "b").join(dictionary, ["h1", "h2"])
+    return coded.groupBy(*keep, "row", "rec").agg(F.sort_array(F.collect_list("code")).alias("code")).drop("rec")  # as many as the record has fields
 
 
 def copies(codes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,7 +112,7 @@ def copies(codes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Sets are counted with map-side aggregation and never gathered; only records of sets with more than one row are joined.
     """
-    codes = written(codes)
+    codes = written(codes)  # of rows with a given id and equal text, each is a copy but the first
     first = codes.groupBy(*keep, "code").agg(F.min("row").alias("keep_row"), F.count("*").alias("n")).where("n > 1").drop("n")
     return codes.join(first, [*keep, "code"]).where(F.col("row") != F.col("keep_row")).select(*keep, "keep_row", F.col("row").alias("copy_row"))
 

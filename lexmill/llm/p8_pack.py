@@ -79,14 +79,25 @@ class Packer:
         return b
 
 
-def tokenizer(path: str):
-    """(encode: text -> list of ids) of a public tokenizer's rank file."""
-    import tiktoken
+#: A tokenizer's file may be sent to the workers up to this size.
+MAX_FILE = 64 << 20
+
 
+def tokenizer_file(path: str) -> bytes:
+    """The rank file of a public tokenizer, read on the driver."""
     if not os.path.exists(path):
         raise FileNotFoundError(f"no tokenizer at {path}")
+    if os.path.getsize(path) > MAX_FILE:
+        raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def tokenizer(raw: bytes):
+    """The public tokenizer of a rank file."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -95,11 +106,12 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
 
     A null text has no row, an empty one a row of size 0. Pieces follow each other and cover all tokens.
     """
-    path = path or tokenizer_path()
+    sent = df.sparkSession.sparkContext.broadcast(tokenizer_file(path or tokenizer_path()))
+    kept: dict[str, object] = {}
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokenizer(path)
+        enc = kept["t"] if "t" in kept else kept.setdefault("t", tokenizer(sent.value))
         for pdf in batches:
             rows = []
             for i, t in zip(pdf["id"], pdf["text"]):
@@ -159,7 +171,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN
 
     items = items.select(*COLUMNS[:4])
     one = written(items.mapInPandas(first, PLACED))
-    n = max(1, -(-items.rdd.getNumPartitions() // FAN_IN))
+    n = max(1, -(-len(one.inputFiles()) // FAN_IN))  # a file per partition
     rest = one.where(F.col("container").isNull()).select(*COLUMNS[:4]).repartition(n, "id", "piece_no").sortWithinPartitions(F.desc("size"), "id", "piece_no")
     return one.where(F.col("container").isNotNull()).unionByName(rest.mapInPandas(again, PLACED))
 

@@ -259,9 +259,22 @@ def test_canonical_forms():
     assert c.batch(out) == out and all(unicodedata.normalize("NFC", x) == x for x in out)
 
 
+def test_ordering_and_composition_match_unicode():
+    c = p3.Canonical(p3.mapping())
+    rng = random.Random(13)
+    pool = [0x41, 0x61, 0x65, 0x6F, 0x300, 0x301, 0x302, 0x304, 0x307, 0x308, 0x323, 0x327, 0x328, 0x338, 0x345, 0x5B0, 0x5B4, 0x5D0, 0x915, 0x93C, 0x9C7, 0x9BE, 0x1100, 0x1102, 0x1161, 0x1163, 0x11A8, 0x3099, 0x304B, 0xAC00, 0x3042, 0x1112, 0x1175, 0x11C2, 0x4E00]
+    for _ in range(4000):
+        t = "".join(chr(rng.choice(pool)) for _ in range(rng.randrange(1, 9)))
+        assert c.batch([t]) == [unicodedata.normalize("NFC", t)], [hex(ord(x)) for x in t]
+    batch = ["".join(chr(rng.choice(pool)) for _ in range(rng.randrange(4))) for _ in range(500)]
+    assert c.batch(batch) == [unicodedata.normalize("NFC", t) for t in batch]
+
+
 def test_same_looking(spark):
     d = spark.createDataFrame([(1, "Ａ", "t"), (2, "A", "t"), (3, "A", "t"), (4, "А", "t"), (5, None, "t"), (6, "", "t"), (7, "", "t"), (None, "A", "t"), (8, "b" * 50_000, "t")], "row_id long, text string, canonical string")
     assert rows(p3.same_looking(d)) == [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)]
+    assert rows(p3.look_alike_classes(d)) == [(1, 1, 4, 3), (2, 1, 4, 2), (3, 1, 4, 2), (4, 1, 4, 3)]
+    assert p3.look_alike_classes(d.limit(0)).count() == 0
     assert rows(p3.same_looking(d.limit(0))) == []
 
 
@@ -273,8 +286,8 @@ def test_token_counts_match_the_merges(spark, small):
     from tokenizers import Tokenizer, models, pre_tokenizers
     from tokenizers import Regex
 
-    letters = p4.byte_alphabet()
-    vocab = {t: i for i, t in enumerate(dict.fromkeys([*letters.values(), *(a + b for a, b in merges)]))}
+    letters = p4.byte_letters()
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*letters, *(a + b for a, b in merges)]))}
     tok = Tokenizer(models.BPE(vocab=vocab, merges=[m for m in dict.fromkeys(merges)]))
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     texts = [r["text"] for r in spark.read.parquet(f"{small}/english.parquet").select("text").limit(40).collect() if r["text"]] + ["", "  two  blanks ", "中文 é\n\n12ab", "a" * 300]
@@ -285,6 +298,10 @@ def test_token_counts_match_the_merges(spark, small):
     assert dict(rows_any(p4.token_counts(d, merges, chunk=200), "i", "n_tokens")) == want
     assert "".join(p4.chunks(long, 100)) == long and len(p4.chunks(long, 100)) > 5
     assert p4.token_counts(d.limit(0), merges).count() == 0
+    solid = "中文，12个。(ab)12" * 300  # no blank at all
+    cut = p4.chunks(solid, 50)
+    m = p4.Merges(merges)
+    assert len(cut) > 50 and "".join(cut) == solid and sum(map(m.count, cut)) == m.count(solid)
 
 
 def rows_any(df, *cols):

@@ -255,3 +255,25 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [look_alike_classes(table(spark, sf_dir, t, "row_id", "text")).select(F.lit(t).alias("tab"), F.col("row").alias("row_id"), "class", "n_rows", "n_links") for t in ("natural_zh", "article_zh")]
     return parts[0].unionByName(parts[1])
+
+
+def _form_sql() -> str:
+    """c: (tab, row_id, text, f) with the canonical form of each text, character by character; the table is made of the mapping."""
+    values = ", ".join(f"({o}, '{to.replace(chr(39), chr(39) * 2)}')" for o, to in mapping().items())
+    return f"""
+WITH m(o, v) AS (VALUES {values}), t AS (SELECT 'natural_zh' AS tab, row_id, text FROM natural_zh UNION ALL SELECT 'article_zh', row_id, text FROM article_zh),
+p AS (SELECT tab, row_id, unnest(range(1, length(text) + 1)) AS i, text FROM t), x AS (SELECT tab, row_id, i, substr(text, i::INTEGER, 1) AS ch FROM p),
+s AS (SELECT tab, row_id, nfc_normalize(string_agg(coalesce(v, ch), '' ORDER BY i)) AS f FROM x LEFT JOIN m ON o = unicode(ch) GROUP BY tab, row_id),
+c AS (SELECT t.tab, t.row_id, text, CASE WHEN text IS NOT NULL THEN coalesce(f, '') END AS f FROM t LEFT JOIN s ON t.tab = s.tab AND t.row_id = s.row_id)
+"""
+
+
+def sql() -> dict[str, str]:
+    form = _form_sql()
+    return {
+        "p3_canonical": form + "SELECT tab, row_id, f AS text FROM c",
+        "p3_found": form + "SELECT a.tab, a.row_id AS row_a, b.row_id AS row_b FROM c a JOIN c b ON a.tab = b.tab AND a.f = b.f AND a.text <> b.text AND a.row_id < b.row_id",
+        "p3_classes": form + """, k AS (SELECT tab, f, text, count(*) AS k, min(row_id) AS lo FROM c WHERE f IS NOT NULL GROUP BY ALL),
+g AS (SELECT tab, f, min(lo) AS class, sum(k)::BIGINT AS n_rows FROM k GROUP BY tab, f HAVING count(*) > 1)
+SELECT c.tab, c.row_id, class, n_rows, n_rows - k.k AS n_links FROM c JOIN g ON c.tab = g.tab AND c.f = g.f JOIN k ON k.tab = c.tab AND k.f = c.f AND k.text = c.text""",
+    }

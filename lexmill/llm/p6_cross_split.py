@@ -267,3 +267,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "source").agg(
         F.count("*").alias("n_rows"), F.count("k").alias("n_overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_pairs"), (F.sum("shared") / F.nullif(F.sum("n_words"), F.lit(0))).alias("word_overlap"),
     )
+
+
+#: The longest common subsequence row by row, for the pairs across the splits whose words could suffice.
+SQL = {
+    "p6_found": r"""
+WITH RECURSIVE d AS (SELECT row_id, CASE WHEN lower(trim(split)) = 'validation' THEN 'valid' ELSE lower(trim(split)) END AS s, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM english WHERE text IS NOT NULL),
+c AS (SELECT h.row_id AS x, t.row_id AS y, h.w AS a, t.w AS b, ceil(greatest(len(h.w), len(t.w)) * 0.8 - 1e-9) AS must FROM d h JOIN d t ON h.s IN ('valid', 'test') AND t.s = 'train'
+  WHERE least(len(h.w), len(t.w)) >= must AND len(list_filter(h.w, lambda x: list_contains(t.w, x))) >= must AND len(list_filter(t.w, lambda x: list_contains(h.w, x))) >= must),
+s AS (SELECT x, y, a, b, must, 0 AS j, list_transform(range(0, len(a) + 1), lambda i: 0) AS r FROM c
+  UNION ALL SELECT x, y, a, b, must, j + 1, list_transform(range(1, len(k) + 1), lambda i: list_max(k[1:i]))
+  FROM (SELECT *, list_transform(range(1, len(a) + 2), lambda i: CASE WHEN i > 1 AND a[i - 1] = b[j + 1] THEN greatest(r[i], r[i - 1] + 1) ELSE r[i] END) AS k FROM s WHERE j < len(b)))
+SELECT least(x, y) AS row_a, greatest(x, y) AS row_b FROM s WHERE j = len(b) AND r[-1] >= must""",
+}

@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in PROBLEMS for k, s in getattr(m, "SQL", {}).items()}
+    return {k: s for m in PROBLEMS for k, s in getattr(m, "SQL", {}).items()} | p3.sql()

@@ -16,7 +16,7 @@ BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
 #: one shared name would make a candidate otherwise.
 DEPTH = 12
 #: An element that more sets have among their smallest is hot: joining on it would pair too many of them.
-HOT = 500
+HOT = 200
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "line_no") -> DataFrame:

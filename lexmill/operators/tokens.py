@@ -15,8 +15,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Special tokens in the order of their ids, the wanted size and the least count of a merge (fixed values).
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 VOCABULARY, MIN_COUNT = 10_000, 1
-#: Training folds over the distinct pre-tokens on the driver; with more than this many the rarest count is raised by the caller.
-MAX_WORDS = 20_000_000
+#: Training folds over the distinct pre-tokens on the driver, about 560 bytes each; with more than this many the caller
+#: raises the least count of a word.
+MAX_WORDS = 2_000_000
 
 
 def byte_letters() -> list[str]:

@@ -412,7 +412,7 @@ def test_no_local_folder_on_a_cluster():
     assert tables.shared_root(s) == "hdfs://x/y"
 
 
-def test_reports_and_articles(spark):
+def test_reports_and_articles(spark, tmp_path):
     from lexmill.operators import rights
 
     d = spark.createDataFrame([(1, "a", "https://h.example/p", "T", "all rights: licence"), (2, "b", None, "A b", "x"), (3, "c", "https://h.example/p", None, "copyright"), (4, "d", None, None, "x")], "line_no long, id string, source_url string, source_title string, text string")
@@ -423,5 +423,8 @@ def test_reports_and_articles(spark):
     assert got["A b"]["candidate_url"] == "https://w.example/A%20c" and got["A b"]["host"] == "w.example" and got["A b"]["rights_status"] == rights.STATUS[1]
     lines = [r["line"] for r in rights.attribution_lines(inv, pol, ["# Top"], ["End"]).orderBy("host", "part", "t", "u").collect()]
     assert lines[0] == "# Top" and lines[-1] == "End" and "## H: 1 pages, 2 records" in lines and "| [A b](https://w.example/A%20c) | [history](https://w.example/A%20c?action=history) | 1 |" in lines
+    rights.write_report(rights.attribution_lines(inv, pol, ["# Top"], ["End"]), f"file://{tmp_path}/report")
+    said = [r["value"] for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert sorted(said) == sorted(lines)
     kept, short = text.clean_articles(spark.createDataFrame([("好" * 240,), ("短",), (" ",), (None,)], "text string"))
     assert kept.count() == 1 and sorted(r["skipped"] for r in short.collect()) == ["empty extract", "empty extract", "too short after clean"]

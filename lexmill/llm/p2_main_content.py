@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table, written
+from lexmill.llm.common import BMP, FACTOR, run_digest, table, written
 from lexmill.llm.p1_group_splits import page_address
 
 #: A host with more rows or characters is split into shards of about so many, page by page; runs are counted over all of them.
@@ -132,32 +132,12 @@ def blocks(text: str) -> list[str]:
 
 #: Kinds of characters; code points from BMP on count as letters.
 BLANK, LETTER, DIGIT, MARK, BREAK = range(5)
-BMP = 0x10000
-#: Digests of a number (all are equal) and of a line end, and the factors of the digests (fixed odd numbers).
+#: Digests of a number (all are equal) and of a line end (fixed odd numbers).
 NUMBER, LINE = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
-FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Characters that are handled as arrays at once.
 AT_ONCE = 1_000_000
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, FACTOR, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _digests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each run values[start:end]; the runs cover the values."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    with np.errstate(over="ignore"):
-        place = np.arange(len(values)) - np.repeat(starts, size)
-        out = np.add.reduceat((values + FACTOR) * _powers(int(size.max()))[place], starts)
-        out = (out ^ (out >> np.uint64(31))) * MIX
-    return out ^ (out >> np.uint64(29))
-
-
 class Streams:
     """Texts as streams of token digests: letters (case ignored), numbers, single marks, a line end before each block and after the last."""
 
@@ -198,7 +178,7 @@ class Streams:
         begins = solid & ((kind != np.concatenate([[BLANK], kind[:-1]])) | (kind == MARK))
         inside = np.flatnonzero(solid)
         starts = np.flatnonzero(begins[inside])
-        word = _digests(value[inside], starts, np.append(starts[1:], len(inside)))
+        word = run_digest(value[inside], starts, np.append(starts[1:], len(inside)))
         at_char = inside[starts]
         word[kind[at_char] == DIGIT] = NUMBER
         # blocks: lines with a token
@@ -208,7 +188,7 @@ class Streams:
         block_of[new[1:]] = 1
         block_of = np.cumsum(block_of)
         text_of = np.searchsorted(text_end, at_char, side="right")
-        line = _digests(word, new, np.append(new[1:], len(word)))
+        line = run_digest(word, new, np.append(new[1:], len(word)))
         per_text = np.bincount(text_of[new], minlength=len(texts))
         stream = np.full(len(word) + len(new) + len(texts), LINE, np.uint64)
         stream[np.arange(len(word)) + block_of + 1 + text_of] = word

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import norm_split, slice_name, spread, table, written
+from lexmill.llm.common import WordCodes, norm_split, slice_name, spread, table, written
 
 #: Share of the longer text's words that both must have in order.
 ALIKE = 0.8
@@ -111,11 +111,13 @@ def word_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
     A task counts into arrays of fixed size and passes on the places that aren't empty.
     """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, n = Chunker(), np.zeros((2, width), np.int64)
-        for pdf in batches:
-            for h, part in pdf.groupby("held")["text"]:
-                code = [c.codes(t) for t in part]
-                n[int(h)] += np.bincount((np.concatenate(code) % np.uint64(width)).astype(np.int64), minlength=width)
+        c, n = WordCodes(), np.zeros(2 * width, np.int64)
+        for pdf in (x[i : i + AT_ONCE] for x in batches for i in range(0, len(x), AT_ONCE)):
+            code, size = c.of(pdf["text"].tolist())
+            side = np.repeat(pdf["held"].to_numpy(bool), size)
+            at, k = np.unique((code % np.uint64(width)).astype(np.int64) + side * width, return_counts=True)
+            n[at] += k
+        n = n.reshape(2, width)
         side, at = np.nonzero(n)
         yield pd.DataFrame({"side": side.astype(np.int32), "at": at.astype(np.int32), "n": n[side, at]})
 
@@ -134,10 +136,10 @@ class Heads:
     taken that one must be shared with any record this much alike.
     """
 
-    def __init__(self, codes: list[np.ndarray], held: np.ndarray, counts: np.ndarray, alike: float):
-        size = np.array([len(c) for c in codes], np.int64)
-        code = np.concatenate([*codes, np.zeros(0, np.uint64)])
-        rec, ends = np.repeat(np.arange(len(codes)), size), np.cumsum(size)
+    def __init__(self, code: np.ndarray, size: np.ndarray, held: np.ndarray, counts: np.ndarray, alike: float):
+        """code: the words of all records, size: how many of them are each record's."""
+        n = len(size)
+        rec, ends = np.repeat(np.arange(n), size), np.cumsum(size)
         # the count so far of each word in its record
         order = np.lexsort((code, rec))
         new = np.ones(len(code), bool)
@@ -147,7 +149,7 @@ class Heads:
         nth[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
         with np.errstate(over="ignore"):
             token = code + nth * np.uint64(0x9E3779B97F4A7C15)
-        bits = np.zeros((len(codes), 64 * LONGS), bool)
+        bits = np.zeros((n, 64 * LONGS), bool)
         bits[rec, (token % np.uint64(64 * LONGS)).astype(np.int64)] = True
         self.bits = np.packbits(bits, axis=1, bitorder="little").view("<i8")
         cell = (code % np.uint64(counts.shape[1])).astype(np.int64)
@@ -157,7 +159,7 @@ class Heads:
         order = np.lexsort((token, often, rec))
         passed = at - np.repeat(ends - size, size)  # words before, in the order
         taken = (passed < np.repeat(size - np.ceil(size * alike - 1e-9).astype(np.int64) + 1, size)) & (there[order] > 0)
-        self.cut = np.cumsum(np.bincount(rec[taken], minlength=len(codes)))[:-1] if len(codes) else []
+        self.cut = np.cumsum(np.bincount(rec[taken], minlength=n))[:-1] if n else []
         # 32 bits tell tokens apart well enough for candidates
         self.tokens, self.passed = token[order][taken].astype(np.uint32).view(np.int32), passed[taken].astype(np.int32)
 
@@ -176,20 +178,21 @@ def cross_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", s
     spark = df.sparkSession
     rows = sides(df, id_col, text_col, split_col)
     sent = spark.sparkContext.broadcast(word_counts(rows, width))
-    made: dict[str, Chunker] = {}
+    made: dict[str, WordCodes] = {}
     names = [f"b{i}" for i in range(LONGS)]
     schema = "row long, held boolean, w1 long, w2 long, n int, codes binary, tokens array<int>, passed array<int>, " + ", ".join(f"{b} long" for b in names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = made.setdefault("c", Chunker())
+        c = made.setdefault("c", WordCodes())
         for pdf in (x[i : i + AT_ONCE] for x in batches for i in range(0, len(x), AT_ONCE)):
-            codes = [c.codes(t) for t in pdf["text"]]
-            raw = [x.tobytes() for x in codes]
+            code, size = c.of(pdf["text"].tolist())
+            cut = np.cumsum(size)[:-1]
+            raw, short = [x.tobytes() for x in np.split(code, cut)], [x.tobytes() for x in np.split(code.astype("<u4"), cut)]
             out = {
                 "row": pdf["row"].to_numpy(), "held": pdf["held"].to_numpy(), "w1": [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raw], "w2": [xxhash.xxh64_intdigest(r, 7) - (1 << 63) for r in raw],
-                "n": [len(x) for x in codes], "codes": [x.astype("<u4").tobytes() for x in codes],
+                "n": size, "codes": short,
             }
-            yield pd.DataFrame(out | Heads(codes, pdf["held"].to_numpy(bool), sent.value, alike).columns())
+            yield pd.DataFrame(out | Heads(code, size, pdf["held"].to_numpy(bool), sent.value, alike).columns())
 
     rows = written(rows.mapInPandas(read, schema))
     classes = rows.groupBy("w1", "w2").agg(F.min("row").alias("cls"), F.max(F.col("held").cast("int")).alias("any_held"), F.min(F.col("held").cast("int")).alias("all_held"))

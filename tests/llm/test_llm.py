@@ -340,6 +340,22 @@ def test_hidden_duplicates(spark):
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 
+def test_word_codes_match_the_words():
+    from lexmill.llm.common import WordCodes
+
+    rng = random.Random(2)
+    pool = "aB9_ é中ß.İ\n\u200b𝔘😀x"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "  "]
+    code, size = WordCodes().of(texts)
+    words = [p6.WORDS.findall(t.lower()) for t in texts]
+    assert size.tolist() == [len(w) for w in words]
+    seen: dict = {}
+    for w, c in zip([x for ws in words for x in ws], code.tolist()):
+        assert seen.setdefault(w, c) == c
+    assert len({*seen.values()}) == len(seen)
+    assert [len(x) for x in WordCodes().of([])] == [0, 0]
+
+
 def test_common_words():
     def lcs(a, b):
         p = [0] * (len(b) + 1)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
+from lexmill.functions.text import KEPT_MARKS
 from lexmill.functions.text import TRAILING_SECTIONS as TRAILING
+from lexmill.operators.tokens import byte_letters
 from lexmill.plans.queries import WIKI_INSIDE, WIKI_LEAD, WIKI_TAIL
 
 #: All blanks of Unicode text as a class of DuckDB's regular expressions.
@@ -85,6 +90,31 @@ near AS (SELECT a, b, i / (n - i) AS jaccard FROM j WHERE i / (n - i) >= 0.85)
 PRETOKENS = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^" + WS[1:-1] + r"\x01\p{L}\p{N}]+|" + WS + "+"
 
 
+LETTERS = ", ".join("'" + c.replace("'", "''") + "'" for c in byte_letters())
+#: After d (word): n (word, k), the tokens of each distinct word under bpe_merges. A word is its bytes' letters between
+#: marks; the pair of lowest rank is merged in each step, until there is none.
+MERGED = f"""
+r AS (SELECT first_piece AS a, second_piece AS b, min(rank_no) AS r FROM bpe_merges GROUP BY 1, 2), hx AS (SELECT word, hex(encode(word)) AS h FROM d),
+s AS (SELECT word, chr(1) || array_to_string(list_transform(range(1, length(h)::BIGINT, 2), lambda i: [{LETTERS}][('0x' || substr(h, i::INTEGER, 2))::INTEGER + 1]), chr(1)) || chr(1) AS t FROM hx
+  UNION ALL SELECT word, replace(t, x.p, chr(1) || x.a || x.b || chr(1)) FROM (
+    SELECT word, t, arg_min({{'p': chr(1) || a || chr(1) || b || chr(1), 'a': a, 'b': b}}, r) AS x FROM (SELECT word, t, string_split(t, chr(1)) AS y FROM s) q, unnest(range(2, len(y) - 1)) u(i) JOIN r ON r.a = y[i] AND r.b = y[i + 1] GROUP BY word, t)),
+n AS (SELECT word, min(len(string_split(t, chr(1))) - 2) AS k FROM s GROUP BY word)
+"""
+
+
+def pretokens(c: str) -> str:
+    """The pre-tokens of a text, which has a mark before the last of several blanks."""
+    return f"regexp_extract_all(regexp_replace({c}, '({WS}+)({WS}[^{WS[1:-1]}])', '\\1' || chr(1) || '\\2', 'g'), '{PRETOKENS}')"
+
+
+def compatible() -> str:
+    """m (o, v): what the tokenizer's normal form makes of each character but the marks it keeps, before composition."""
+    kept = {ord(c) for c in KEPT_MARKS}
+    each = ((o, unicodedata.normalize("NFKD", chr(o))) for o in range(0x80, sys.maxunicode + 1) if not 0xAC00 <= o <= 0xD7A3 and not 0xD800 <= o <= 0xDFFF and o not in kept)
+    values = ", ".join(f"({o}, '{v.replace(chr(39), chr(39) * 2)}')" for o, v in each if v != unicodedata.normalize("NFD", chr(o)))
+    return f"m(o, v) AS (VALUES {values})"
+
+
 def picked(parts: tuple[str, ...]) -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'"
     return f"[{', '.join(map(lit, parts))}][row_id % {len(parts)} + 1]"
@@ -321,9 +351,15 @@ SELECT a AS held_row, b AS train_row, round(i / (n - i), 6) AS jaccard FROM c WH
     "zh_clean": f"""
 WITH w AS (SELECT row_id, {picked(WIKI_LEAD)} || substr(text, 1, 20) || {picked(WIKI_INSIDE)} || substr(text, 21) || {picked(WIKI_TAIL)} AS t FROM article_zh), c AS (SELECT row_id, t, {cleaned('t')} AS x FROM w)
 SELECT row_id, length(x)::INTEGER AS n_chars, sha256(x) AS sha256, CASE WHEN t IS NULL THEN 'empty extract' WHEN length(x) < 230 THEN 'too short after clean' END AS skipped FROM c""",
-    "bpe_pretoken_counts": f"""
-WITH m AS (SELECT regexp_replace(text, '({WS}+)({WS}[^{WS[1:-1]}])', '\\1' || chr(1) || '\\2', 'g') AS t FROM english)
-SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '{PRETOKENS}')) AS word FROM m) GROUP BY word""",
+    "bpe_pretoken_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({pretokens('text')}) AS word FROM english) GROUP BY word",
+    "bpe_encode": f"""
+WITH RECURSIVE e AS (SELECT row_id, {pretokens('text')} AS w FROM english WHERE text IS NOT NULL), d AS (SELECT DISTINCT unnest(w) AS word FROM e), {MERGED},
+x AS (SELECT row_id, sum(k) AS k FROM (SELECT row_id, unnest(w) AS word FROM e) JOIN n USING (word) GROUP BY row_id)
+SELECT e.row_id, (coalesce(k, 0) + 2)::INTEGER AS n_ids, true AS round_trip FROM e LEFT JOIN x ON e.row_id = x.row_id""",
+    "tokenizer_form": f"""
+WITH {compatible()}, x AS (SELECT row_id, unnest(range(1, length(text) + 1)) AS i, text FROM natural_zh),
+s AS (SELECT row_id, any_value(text) AS text, nfc_normalize(string_agg(coalesce(v, substr(text, i::INTEGER, 1)), '' ORDER BY i)) AS f FROM x LEFT JOIN m ON o = unicode(substr(text, i::INTEGER, 1)) GROUP BY row_id)
+SELECT row_id, f AS normal FROM s WHERE f <> text""",
     "zh_space_before_punct": "SELECT row_id, f AS fixed FROM (SELECT row_id, text, regexp_replace(text, '([㐀-䶿一-鿿]) +([，。！？；：、])', '\\1\\2', 'g') AS f FROM (SELECT row_id, regexp_replace(text, '([，。])', ' \\1', 'g') AS text FROM article_zh)) WHERE text <> f",
     "paren_balance": "SELECT row_id, length(replace(text, '(', '')) = length(replace(text, ')', '')) AS balanced, abs(length(replace(text, '(', '')) - length(replace(text, ')', ''))) < 3 AS nearly FROM natural_zh WHERE text IS NOT NULL",
     "title_links": """

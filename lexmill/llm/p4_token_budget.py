@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import LANGUAGE_NAMES, language_code, slice_name, spread, table, written
 from lexmill.operators.tokens import byte_letters
+from lexmill.plans.oracle import MERGED, WS
 
 #: Words of the tokenizer: ` ?letters`, ` ?digits`, ` ?other marks`, blanks.
 WORDS = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
@@ -177,18 +178,8 @@ def p4_doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sf_dir, "row_id", "text").select("row_id", "n_tokens")
 
 
-#: Blanks of Unicode text, for a class of DuckDB's regular expressions.
-_WS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_LETTERS = ", ".join("'" + c.replace("'", "''") + "'" for c in byte_letters())
-#: Distinct words as their bytes' letters between marks; the pair of lowest rank is merged in each step, until there is none.
 _COUNTED = f"""
-WITH RECURSIVE e AS (SELECT row_id, source, language, domain, text, regexp_extract_all(text, ' ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WS}\\p{{L}}\\p{{N}}]+|[{_WS}]+') AS w FROM english),
-r AS (SELECT first_piece AS a, second_piece AS b, min(rank_no) AS r FROM bpe_merges GROUP BY 1, 2),
-d AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT unnest(w) AS word FROM e)),
-s AS (SELECT word, chr(1) || array_to_string(list_transform(range(1, length(h)::BIGINT, 2), lambda i: [{_LETTERS}][('0x' || substr(h, i::INTEGER, 2))::INTEGER + 1]), chr(1)) || chr(1) AS t FROM d
-  UNION ALL SELECT word, replace(t, x.p, chr(1) || x.a || x.b || chr(1)) FROM (
-    SELECT word, t, arg_min({{'p': chr(1) || a || chr(1) || b || chr(1), 'a': a, 'b': b}}, r) AS x FROM (SELECT word, t, string_split(t, chr(1)) AS y FROM s) q, unnest(range(2, len(y) - 1)) u(i) JOIN r ON r.a = y[i] AND r.b = y[i + 1] GROUP BY word, t)),
-n AS (SELECT word, min(len(string_split(t, chr(1))) - 2) AS k FROM s GROUP BY word),
+WITH RECURSIVE e AS (SELECT row_id, source, language, domain, text, regexp_extract_all(text, ' ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WS[1:-1]}\\p{{L}}\\p{{N}}]+|{WS}+') AS w FROM english), d AS (SELECT DISTINCT unnest(w) AS word FROM e), {MERGED},
 x AS (SELECT row_id, sum(k)::BIGINT AS k FROM (SELECT row_id, unnest(w) AS word FROM e) JOIN n USING (word) GROUP BY row_id),
 c AS (SELECT e.row_id, source, language, domain, CASE WHEN text IS NOT NULL THEN coalesce(k, 0) END AS n_tokens FROM e LEFT JOIN x ON e.row_id = x.row_id)
 """

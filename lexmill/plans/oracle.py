@@ -321,8 +321,9 @@ UNION ALL SELECT '', * FROM (VALUES (0, '# Attribution'), (1, ''), (2, 'A draft.
 WITH n AS (SELECT topic AS t, dense_rank() OVER (ORDER BY topic) AS k FROM (SELECT DISTINCT topic FROM eval_items WHERE topic IS NOT NULL))
 SELECT t AS title_seed, CASE WHEN k % 3 = 0 THEN t || '_page' WHEN k % 5 <> 0 THEN t ELSE t || '_hit' END AS title FROM n""",
     "revision_lookup": """
-SELECT title, CASE WHEN length(title) % 2 = 0 THEN title || '*' ELSE title END AS resolved_title, CASE WHEN length(title) % 2 = 1 THEN length(title) END::INTEGER AS page_id,
-  CASE WHEN length(title) % 2 = 1 THEN length(title) + 1000 END::INTEGER AS revision_id, length(title) % 2 = 0 AS changed, length(title) % 2 = 1 AS page_found FROM (SELECT DISTINCT title FROM source_catalog WHERE title IS NOT NULL)""",
+WITH t AS (SELECT DISTINCT source_title AS title FROM article_en WHERE source_title IS NOT NULL), n AS (SELECT title, replace(title, ' ', '_') AS n FROM t),
+c AS (SELECT title, CASE WHEN length(n) % 3 = 0 THEN n || '~' ELSE n END AS c FROM n), r AS (SELECT title, CASE WHEN length(c) % 2 = 0 THEN c || '*' ELSE c END AS r FROM c)
+SELECT title, r AS resolved_title, length(r)::INTEGER AS page_id, (length(r) + 1000)::INTEGER AS revision_id, title <> r AS changed, length(r) % 5 <> 0 AS page_found FROM r""",
     "file_hashes": "SELECT 'title' AS name, sha256(string_agg(title || chr(10), '' ORDER BY title, id)) AS sha256 FROM source_catalog WHERE title IS NOT NULL UNION ALL SELECT 'url', sha256(string_agg(url || chr(10), '' ORDER BY url, id)) FROM source_catalog WHERE url IS NOT NULL",
     "file_manifest": f"""
 WITH f AS (SELECT 'title' AS file, title AS x, id FROM source_catalog UNION ALL SELECT 'url', url, id FROM source_catalog),

@@ -632,11 +632,18 @@ def title_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revision_lookup(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "source_catalog").groupBy("title").agg(F.min("id").alias("i"))
-    none = spark.createDataFrame([], "source string, target string")
-    redirects = t.where(F.length("title") % 2 == 0).select(F.col("title").alias("source"), F.concat("title", F.lit("*")).alias("target"))
-    pages = t.select(F.col("title"), F.length("title").alias("page_id"), (F.length("title") + 1000).alias("revision_id"), F.lit(False).alias("missing"))
-    return look_up_revisions(t.select("title"), none, none, redirects, pages)
+    """Titles of the articles; blanks are normalised, every third of the longer names converted, every second redirects, every fifth page is missing."""
+    t = _t(spark, d, "article_en").select(F.col("source_title").alias("title")).where(F.col("source_title").isNotNull()).distinct()
+    step = lambda c, when, to: t.select(c.alias("source")).distinct().where(when).withColumn("target", to)
+    n = F.replace("title", F.lit(" "), F.lit("_"))
+    c = F.when(F.length(n) % 3 == 0, F.concat(n, F.lit("~"))).otherwise(n)
+    last = F.when(F.length(c) % 2 == 0, F.concat(c, F.lit("*"))).otherwise(c)
+    s = F.col("source")
+    normalized = step(F.col("title"), F.contains(s, F.lit(" ")), F.replace(s, F.lit(" "), F.lit("_")))
+    converted = step(n, F.length(s) % 3 == 0, F.concat(s, F.lit("~")))
+    redirects = step(c, F.length(s) % 2 == 0, F.concat(s, F.lit("*")))
+    pages = t.select(last.alias("title")).distinct().select("title", F.length("title").alias("page_id"), (F.length("title") + 1000).alias("revision_id"), (F.length("title") % 5 == 0).alias("missing"))
+    return look_up_revisions(t, normalized, converted, redirects, pages)
 
 
 # --- files ----------------------------------------------------------------------------------------------------------

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import sha256
 from lexmill.operators.graph import connected_components
+from lexmill.operators.sketch import counts, rare_first
 
 #: Shingles per record that go to the buckets, shared buckets and similarity that make a pair, least ratio of sizes.
 BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
@@ -17,6 +20,8 @@ BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
 DEPTH = 12
 #: An element that more sets have among their smallest is hot: joining on it would pair too many of them.
 HOT = 200
+#: Sets that are cut as arrays at once.
+AT_ONCE = 1_000
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "line_no") -> DataFrame:
@@ -51,13 +56,21 @@ def prefix_duplicates(df: DataFrame, n: int = 15, text_col: str = "text", order:
     return d.join(groups, "prefix")
 
 
-def _prefixes(df: DataFrame, rare: DataFrame, node: str, n: str, similar: float) -> DataFrame:
-    """(node, n, h): of each set the rarest elements, so many that two sets this similar share DEPTH of them."""
-    x = df.select("node", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(rare, "h")
-    # elements held by one set only come first in the order and can't be shared: they use up the prefix
-    g = x.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))  # as many as the set has
-    take = F.col("n") - F.ceil(F.col("n") * similar).cast("int") + DEPTH - (F.col("n") - F.size("x"))
-    return g.where(take > 0).select(F.col("node").alias(node), F.col("n").alias(n), F.explode(F.slice("x", F.lit(1), take)).alias("y")).select(node, n, F.col("y.h").alias("h"))
+def _prefixes(df: DataFrame, node: str, n: str, similar: float, count: np.ndarray) -> DataFrame:
+    """(node, n, h): of each set (node, sig) the rarest elements, so many that two sets this similar share DEPTH of them.
+
+    The sets are cut where they lie; only the prefixes go on to a join.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(count)  # counters of fixed size
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (x[i : i + AT_ONCE] for x in batches for i in range(0, len(x), AT_ONCE)):
+            size = pdf["sig"].map(len).to_numpy(np.int64)
+            flat = np.concatenate([*pdf["sig"], np.zeros(0, np.int64)]).astype(np.int64)
+            rec, h = rare_first(size, flat, sent.value, size - np.ceil(size * similar).astype(np.int64) + DEPTH)
+            yield pd.DataFrame({node: pdf["node"].to_numpy()[rec], n: size[rec].astype(np.int32), "h": h})
+
+    return df.select("node", "sig").mapInPandas(cut, f"{node} long, {n} int, h long")
 
 
 def _candidates(a: DataFrame, b: DataFrame, similar: float, near: Column) -> DataFrame:
@@ -66,10 +79,6 @@ def _candidates(a: DataFrame, b: DataFrame, similar: float, near: Column) -> Dat
     return a.join(b, "h").where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(must).alias("must")).where("c >= must").select("a", "b")
 
 
-def _rare(each: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-
-
 def similar_pairs(sets: DataFrame, written: Callable[[DataFrame], DataFrame], similar: float = SIMILAR, bottom: int = BOTTOM, shared: int = SHARED, hot: int = HOT) -> DataFrame:
     """(a, b, jaccard) with a < b of sets (node, language, sig) of one language, at least `similar`, that also share at
     least `shared` of their `bottom` smallest elements.
@@ -87,10 +96,12 @@ def similar_pairs(sets: DataFrame, written: Callable[[DataFrame], DataFrame], si
     a, b = cold.toDF("a", "la", "na", "h", "ka"), cold.toDF("b", "lb", "nb", "h", "kb")
     fits = (F.col("a") < F.col("b")) & F.col("la").eqNullSafe(F.col("lb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar)
     cand = a.join(b, "h").where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("ka", "kb")).alias("k")).where(F.col("c") + F.col("k") >= shared).select("a", "b")
-    warm = s.join(heated.where(F.col("k") >= shared).select("node"), "node", "left_semi")
-    p = written(_prefixes(warm, _rare(warm.select(F.explode("sig").alias("h")), written), "a", "na", similar))
-    more = _candidates(p, p.toDF("b", "nb", "h"), similar, (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar))
-    cand = written(cand.unionByName(more).distinct())
+    if heated.head(1):
+        warm = written(s.join(heated.where(F.col("k") >= shared).select("node"), "node", "left_semi"))
+        p = written(_prefixes(warm, "a", "na", similar, counts(warm.select("sig"))))
+        more = _candidates(p, p.toDF("b", "nb", "h"), similar, (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar))
+        cand = cand.unionByName(more).distinct()
+    cand = written(cand)
     both = cand.join(s.toDF("a", "la", "sa"), "a").join(s.toDF("b", "lb", "sb"), "b").where(F.col("la").eqNullSafe(F.col("lb")))
     inter = F.size(F.array_intersect("sa", "sb"))
     small = F.size(F.array_intersect(F.slice("sa", 1, bottom), F.slice("sb", 1, bottom)))
@@ -135,8 +146,8 @@ def similar_across(left: DataFrame, right: DataFrame, written: Callable[[DataFra
     lu, lm = classes(left, "a_row")
     ru, rm = classes(right, "b_row")
     lu, ru = written(lu), written(ru)
-    rare = _rare(lu.select(F.explode("sig").alias("h")).unionByName(ru.select(F.explode("sig").alias("h"))), written)
-    a, b = _prefixes(lu, rare, "a", "na", similar), _prefixes(ru, rare, "b", "nb", similar)
+    count = counts(lu.select("sig").unionByName(ru.select("sig")))
+    a, b = _prefixes(lu, "a", "na", similar, count), _prefixes(ru, "b", "nb", similar, count)
     bound = max(similar, ratio)
     cand = written(_candidates(a, b, similar, F.least("na", "nb") >= F.greatest("na", "nb") * bound))
     p = cand.join(lu.toDF("a", "sa"), "a").join(ru.toDF("b", "sb"), "b")

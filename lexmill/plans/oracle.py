@@ -79,8 +79,8 @@ def grams(table: str, row: str, language: str, more: str = "") -> str:
 
 #: Pairs of distinct sets of one language: two of the twelve smallest digests are shared, and the sets are similar.
 NEAR = """
-h AS (SELECT min(r) AS r, l, sig FROM g GROUP BY l, sig), e AS (SELECT r, l, unnest(sig[1:12]) AS x FROM h),
-c AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.l IS NOT DISTINCT FROM b.l AND a.r < b.r GROUP BY 1, 2 HAVING count(*) >= 2),
+h AS (SELECT min(r) AS r, l, sig FROM g GROUP BY l, sig), e AS (SELECT r, l, len(sig) AS n, unnest(sig[1:12]) AS x FROM h),
+c AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.l IS NOT DISTINCT FROM b.l AND a.r < b.r AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.85 GROUP BY 1, 2 HAVING count(*) >= 2),
 j AS (SELECT c.a, c.b, len(list_intersect(x.sig, y.sig)) AS i, len(x.sig) + len(y.sig) AS n FROM c JOIN h x ON x.r = c.a JOIN h y ON y.r = c.b),
 near AS (SELECT a, b, i / (n - i) AS jaccard FROM j WHERE i / (n - i) >= 0.85)
 """

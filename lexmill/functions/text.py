@@ -205,11 +205,16 @@ def clean_zh(c: Column) -> Column:
     return c
 
 
+def cleaned_articles(df: DataFrame, text_col: str = "text", least: int = MIN_ARTICLE) -> DataFrame:
+    """df with the cleaned texts and, where one is no article, the reason in `skipped`: empty extract, or too short after clean."""
+    d = df.select("*", is_blank(F.col(text_col)).alias("_blank"), clean_zh(F.col(text_col)).alias("_clean"))
+    why = F.when(F.col("_blank"), "empty extract").when(F.length("_clean") < least, "too short after clean")
+    return d.withColumn("skipped", why).withColumn(text_col, F.col("_clean")).drop("_blank", "_clean")
+
+
 def clean_articles(df: DataFrame, text_col: str = "text", least: int = MIN_ARTICLE) -> tuple[DataFrame, DataFrame]:
-    """(articles with their cleaned text, the others with the reason in `skipped`): empty extract, or too short after clean."""
-    c = F.col(text_col)
-    why = F.when(is_blank(c), "empty extract").when(F.length(clean_zh(c)) < least, "too short after clean")
-    d = df.withColumn("skipped", why).withColumn(text_col, clean_zh(c))
+    """(the articles with their cleaned text, the others with the reason in `skipped`)."""
+    d = cleaned_articles(df, text_col, least)
     return d.where(F.col("skipped").isNull()).drop("skipped"), d.where(F.col("skipped").isNotNull())
 
 

@@ -19,7 +19,7 @@ BOTTOM, SHARED, SIMILAR, RATIO = 12, 2, 0.85, 0.7
 #: one shared name would make a candidate otherwise.
 DEPTH = 12
 #: An element that more sets have among their smallest is hot: joining on it would pair too many of them.
-HOT = 200
+HOT = 500
 #: Sets that are cut as arrays at once.
 AT_ONCE = 1_000
 
@@ -36,6 +36,14 @@ def keep_first(df: DataFrame, key: Column, order: str = "line_no") -> DataFrame:
     return kept.drop("_k")
 
 
+def first_values(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(key, columns...) of the row of smallest order per key, in one aggregation; null keys are equal to each other.
+
+    For small columns: what keep_first gets by a join of whole rows. Ties in `order` go to any one of the tied rows.
+    """
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_v")).select(key, "_v.*")
+
+
 def duplicates_of(df: DataFrame, key: Column, id_col: str = "id", order: str = "line_no") -> DataFrame:
     """(id, line, kept_id, kept_line): every record that keep_first drops, with the record kept in its stead."""
     k = sha256(F.coalesce(F.concat(F.lit("k"), key), F.lit("n")))

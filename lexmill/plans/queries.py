@@ -57,11 +57,10 @@ def dedup_decision_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    """Key and counts are taken first: no text is moved."""
-    df = _docs(spark, d).select("line_no", "lang", text.dedup_key(F.col("text")).alias("key"), F.length("text").alias("n"), F.size(_words(F.col("text"))).alias("t"))
-    df = df.select("line_no", "lang", text.sha256(F.col("key")).alias("key"), "n", "t")
-    kept = dedup.keep_first(df, F.col("key"))
-    return kept.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_chars"), F.sum(F.coalesce("t", F.lit(0))).alias("n_tokens"), F.avg(F.coalesce("t", F.lit(0))).alias("mean_tokens"))
+    """Key and counts are taken first, and of each key the first row's: no text is moved, and each is read once."""
+    df = _docs(spark, d).select("line_no", "lang", text.sha256(text.dedup_key(F.col("text"))).alias("key"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.coalesce(F.size(_words(F.col("text"))), F.lit(0)).alias("t"))
+    kept = dedup.first_values(df, "key", "line_no", ["lang", "n", "t"])
+    return kept.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"), F.sum("t").alias("n_tokens"), F.avg("t").alias("mean_tokens"))
 
 
 def nfc_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -252,9 +251,8 @@ def zh_clean(spark: SparkSession, d: str) -> DataFrame:
     """The texts with parts of an encyclopedia extract put in; the texts below the least length are told apart."""
     pick = lambda parts: F.element_at(F.array(*[F.lit(x) for x in parts]), (F.col("row_id") % len(parts) + 1).cast("int"))
     wiki = F.concat(pick(WIKI_LEAD), F.substring("text", 1, 20), pick(WIKI_INSIDE), F.expr("substring(text, 21)"), pick(WIKI_TAIL))
-    kept, short = text.clean_articles(_t(spark, d, "article_zh").select("row_id", wiki.alias("text")))
-    both = kept.select("row_id", "text", F.lit(None).cast("string").alias("skipped")).unionByName(short.select("row_id", "text", "skipped"))
-    return both.select("row_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "skipped")
+    done = text.cleaned_articles(_t(spark, d, "article_zh").select("row_id", wiki.alias("text")))
+    return done.select("row_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"), "skipped")
 
 
 def zh_punct_space(spark: SparkSession, d: str) -> DataFrame:

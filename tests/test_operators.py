@@ -322,6 +322,21 @@ def test_pairs_of_hot_sketches_are_found_too(spark):
         assert rows(dedup.similar_pairs(d, written, hot=hot), "a", "b") == want
 
 
+def test_near_duplicates_keep_no_table_of_signatures(spark):
+    """Signatures are several times the text: no intermediate table may hold them."""
+    kept = []
+
+    def watched(df):
+        kept.extend(df.dtypes)
+        return written(df)
+
+    t = "one text that is long enough to have more than a few shingles of its own"
+    d = spark.createDataFrame([(1, "en", t), (2, "en", t), (3, "en", t + "s"), (4, "fr", t), (5, None, t), (6, None, t + "s"), (7, "en", None)], "row_id long, language string, text string")
+    got = dict(rows(dedup.near_duplicates(d, uni.key_shingles(F.col("text")), watched), "node", "root"))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+    assert kept and not [x for x in kept if x[1].startswith("array")]
+
+
 def test_groups_are_named_and_written_back(spark):
     import hashlib
 

@@ -113,3 +113,10 @@ def test_html(spark):
     got = column(spark, [page, "", "<p>no body", None], html.extract)
     assert [tuple(r) if r else r for r in got[:2]] == [("T", "One & two three"), ("", "")]
     assert html.page_text("<body>a<script>b</script>c") == ("", "a c")
+
+
+def test_shingles_fold_plain_texts_like_the_key(spark):
+    texts = ["".join(chr(o) for o in range(a, a + 64) if not 0xD800 <= o < 0xE000) for a in (*range(0, 0x3100, 64), *range(0x4E00, 0xA000, 64), *range(0xFF00, 0xFFF0, 64))] + ["", " ", "ab", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    for digest in ("blake2b", "md5"):
+        assert d.select(uni.key_shingles(F.col("text"), digest).alias("a"), uni.shingles(text.dedup_key(F.col("text")), digest=digest).alias("b")).where("NOT (a <=> b)").count() == 0

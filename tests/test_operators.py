@@ -322,6 +322,18 @@ def test_pairs_of_hot_sketches_are_found_too(spark):
         assert rows(dedup.similar_pairs(d, written, hot=hot), "a", "b") == want
 
 
+def test_pairs_of_large_and_small_sets_match_brute_force(spark):
+    rng = random.Random(12)
+    data = []
+    for size in (100, 124, 128, 135, 250):
+        for _ in range(6):
+            s = rng.sample(range(5000), size)
+            data += [sorted({*s[k:]} | {9000 + rng.randrange(50) for _ in range(k // 2)}) for k in (0, 3, 9, size // 12, size // 7)]
+    d = spark.createDataFrame([(i, "en", s) for i, s in enumerate(data)], "node long, language string, sig array<long>")
+    want = [(i, j) for i, x in enumerate(data) for j, y in enumerate(data) if i < j and len({*x} & {*y}) / len({*x} | {*y}) >= 0.85 and len({*x[:12]} & {*y[:12]}) >= 2]
+    assert want and rows(dedup.similar_pairs(d, written), "a", "b") == want
+
+
 def test_near_duplicates_keep_no_table_of_signatures(spark):
     """Signatures are several times the text: no intermediate table may hold them."""
     kept = []

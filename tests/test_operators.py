@@ -209,6 +209,46 @@ def test_bpe(spark):
         assert r["e"] == tok.encode(r["text"]).ids
 
 
+def merges_by_count(words, room):
+    """Merges one by one, all pairs counted anew each time."""
+    letter, out, known = tokens.byte_letters(), [], set()
+    words = {w: ([letter[b] for b in w.encode()], n) for w, n in words.items()}
+    while len(known) < room:
+        n = {}
+        for t, k in words.values():
+            for p in zip(t, t[1:]):
+                n[p] = n.get(p, 0) + k
+        if not n:
+            break
+        best = min(n, key=lambda p: (-n[p], p))
+        out.append(best)
+        known.add("".join(best))
+        for t, _ in words.values():
+            i = 0
+            while i + 1 < len(t):
+                if (t[i], t[i + 1]) == best:
+                    t[i : i + 2] = ["".join(best)]
+                i += 1
+    return out
+
+
+def test_bpe_merges_of_long_words(spark, monkeypatch):
+    """Words of many letters, as Chinese clauses are: a merge must not go over all of a word's pairs again."""
+    import time
+
+    rng = random.Random(3)
+    few = {"".join(rng.choice(a) for _ in range(rng.choice([1, 2, 9, 40]))): rng.choice([1, 1, 2, 5]) for a in ("a", "ab", "aé中", "abcd") for _ in range(12)}
+    many = {"".join(rng.choice("的一是在不了有和人这中大为上个国我以要他") for _ in range(60)): 1 for _ in range(3000)}
+    of = lambda words: spark.createDataFrame([*words.items()], "word string, n long")
+    for chunk in (3, tokens.CHUNK):  # places in parts of a run
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        assert tokens.train(of(few), 256 + 4 + 150) == merges_by_count(few, 150)
+        assert tokens.train(of(few).limit(0)) == []
+    began = time.process_time()
+    assert len(tokens.train(of(many), 256 + 4 + 1000)) == 1000
+    assert time.process_time() - began < 10
+
+
 def test_losses(spark):
     d = spark.createDataFrame([("a", 2.0, 3), ("a", 1.0, 2), ("a", 9.0, 1), ("b", 9.0, 1)], "f string, loss double, size int")
     assert rows(stats.weighted_loss(d, ["f"]), "f", "n_tokens", "mean_loss") == [("a", 3, 5 / 3), ("b", 0, 0.0)]

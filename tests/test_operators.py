@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text
 from lexmill.functions import unicode as uni
-from lexmill.operators import dedup, gates, packing, qa, review, rights, rules, split, stats, tokens
+from lexmill.operators import dedup, gates, packing, qa, review, rights, rules, sketch, split, stats, tables, tokens
 from lexmill.operators.graph import connected_components
 from lexmill.operators.prefix import running
 from lexmill.operators.tables import written
@@ -249,6 +249,35 @@ def test_bpe_merges_of_long_words(spark, monkeypatch):
     assert time.process_time() - began < 10
 
 
+def test_quick_signatures_find_the_same(spark):
+    """Sets by the quick hash are as large and share as much as those by a digest; so the components are the same."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdef gé中文ß") for _ in range(90)) for _ in range(12)]
+    texts = [x if k == 0 else x[:k] + "z" + x[k + 1 :] for x in base for k in (0, 1, 44, 60)] + [*base[:3], base[0].upper() + " ", None, "", "ab", "A B", "ab\0", "abcde", "aaaaaaaa", "😀ßẞᾳ x", "😀ssß ᾳx", "\u1e9e\u0345abc"]
+    d = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "row_id long, text string, language string")
+    slow, quick = uni.key_shingles(F.col("text"), digest="md5"), uni.quick_shingles(F.col("text"))
+    got = d.select(slow.alias("x"), quick.alias("y")).collect()
+    for a in got:
+        assert (a["x"] is None) == (a["y"] is None)
+        if a["x"] is not None:
+            assert a["y"] == sorted({*a["y"]}) and len(a["x"]) == len(a["y"])
+            assert all(len({*a["x"]} & {*b["x"]}) == len({*a["y"]} & {*b["y"]}) for b in got if b["x"] is not None)
+    of = lambda **k: rows(dedup.near_duplicates(d, slow, tables.written, **k), "node", "root")
+    assert of(quick=quick) == of() and len({r for _, r in of()}) < len(texts)
+
+
+def test_counters_of_all_widths(spark):
+    """Counters pass as blocks, whatever their width; of places without a count nothing is passed on."""
+    values = [-5, 0, 1, 1, 7, 2**62, -(2**63)]
+    d = spark.createDataFrame([([v],) for v in values] + [([],), (None,)], "x array<long>").repartition(3)
+    for width in (10, 1 << 15, 3 << 14):
+        want = [0] * width
+        for v in values:
+            want[v % 2**64 % width] += 1
+        assert sketch.counts(d, width).tolist() == want
+        assert sketch.counts(d.limit(0), width).tolist() == [0] * width
+
+
 def test_losses(spark):
     d = spark.createDataFrame([("a", 2.0, 3), ("a", 1.0, 2), ("a", 9.0, 1), ("b", 9.0, 1)], "f string, loss double, size int")
     assert rows(stats.weighted_loss(d, ["f"]), "f", "n_tokens", "mean_loss") == [("a", 3, 5 / 3), ("b", 0, 0.0)]

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,6 +419,45 @@ def test_near_duplicates_keep_no_table_of_signatures(spark):
     assert kept and not [x for x in kept if x[1].startswith("array")]
 
 
+def test_large_texts_that_share_phrases_are_no_candidates(spark):
+    """Of texts of thousands of shingles 256 bits tell nothing: pairs that share a few rare phrases were all compared as texts."""
+    rng = random.Random(8)
+    phrase = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(400)]
+    texts = ["".join(rng.sample(phrase, 60)) for _ in range(40)]
+    texts += [texts[3][:-30] + "w" * 30, "zq" + texts[4][60:], texts[5], None, ""]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "row_id long, text string, language string").repartition(3)
+    found = []
+
+    def watched(df):
+        out = tables.written(df)
+        if out.columns == ["a", "b"]:
+            found.extend(rows(out))
+        return out
+
+    for quick in (uni.quick_made(F.col("text")), uni.quick_shingles(F.col("text")), None):
+        found.clear()
+        got = dict(rows(dedup.near_duplicates(d, uni.key_shingles(F.col("text")), watched, quick=quick), "node", "root"))
+        assert got == {i: {40: 3, 41: 4, 42: 5}.get(i, i) for i in range(len(texts))}
+        assert sorted(found) == [(3, 40), (4, 41)]
+
+
+def test_wide_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(4)
+    for n, k, m in ((512, 40, 40), (1030, 90, 0), (5000, 700, 300), (16, 3, 2)):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n + k + m, dtype=np.int64))
+        a, b = x[:n], np.r_[x[k:n], x[n:]]
+        for p, q in ((a, b), (b, a)):
+            d = len(np.setxor1d(p, q))
+            if n >= sketch.WIDE:
+                got = sketch.parities_differ(sketch.wide_parities(p), sketch.wide_parities(q))
+                assert got <= d and got > d / 3 and (d - got) % 2 == 0
+    count = rng.integers(0, 4, 1 << 10).astype(np.int32)
+    sizes, take = np.array([5, 1, 300, 40]), np.array([2, 1, 50, 60])
+    flat = np.concatenate([np.sort(rng.choice(10**6, n, replace=False)) for n in sizes]).astype(np.int64)
+    want = [(r, int(e), p) for r, at in enumerate(np.cumsum(sizes) - sizes) for p, (c, e) in enumerate(sorted((max(int(count[e % 1024]), 1), int(e)) for e in flat[at : at + sizes[r]])) if p < take[r] and c > 1]
+    assert list(zip(*(x.tolist() for x in sketch.rare_first(sizes, flat, count, take)))) == want
+
+
 def test_groups_are_named_and_written_back(spark):
     import hashlib
 

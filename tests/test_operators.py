@@ -434,13 +434,26 @@ def test_large_texts_that_share_phrases_are_no_candidates(spark):
             found.extend(rows(out))
         return out
 
-    for quick in (uni.quick_made(F.col("text")), uni.quick_shingles(F.col("text")), None):
+    for sig, quick in ((uni.key_made(F.col("text")), None), (uni.key_shingles(F.col("text")), uni.quick_made(F.col("text"))), (uni.key_shingles(F.col("text")), None)):
         found.clear()
-        got = dict(rows(dedup.near_duplicates(d, uni.key_shingles(F.col("text")), watched, quick=quick), "node", "root"))
+        got = dict(rows(dedup.near_duplicates(d, sig, watched, quick=quick), "node", "root"))
         assert got == {i: {40: 3, 41: 4, 42: 5}.get(i, i) for i in range(len(texts))}
         assert sorted(found) == [(3, 40), (4, 41)]
 
 
+def test_pairs_compared_in_python_are_the_same(spark):
+    rng = random.Random(9)
+    word = ["".join(rng.choice("abcdeé日本語中文") for _ in range(4)) for _ in range(60)]
+    base = [[rng.choice(word) for _ in range(rng.choice((1, 3, 20, 60)))] for _ in range(60)]
+    texts = [" ".join(w if rng.random() > rng.choice((0, 0.02, 0.05)) else rng.choice(word) for w in b) for b in base for _ in range(3)] + [None, "", "", "Ａb\u0130", "ab"]
+    d = spark.createDataFrame([(i, t, rng.choice(("en", "en", None))) for i, t in enumerate(texts)], "node long, text string, language string").repartition(4)
+    for bottom, shared in ((12, 2), (3, 3)):
+        got = [rows(dedup.similar_pairs(d, written, bottom=bottom, shared=shared, sig=sig)) for sig in (uni.key_made(F.col("text")), uni.key_shingles(F.col("text")))]
+        assert got[0] == got[1] and len(got[0]) > 20
+    plan = dedup.similar_pairs(d, written, sig=uni.key_made(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrayType" not in plan and "array_intersect" not in plan  # sets of whole batches took an executor's memory
+
+
 def test_wide_parities_bound_the_difference(spark):
     rng = np.random.default_rng(4)
     for n, k, m in ((512, 40, 40), (1030, 90, 0), (5000, 700, 300), (16, 3, 2)):
